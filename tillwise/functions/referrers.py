@@ -95,14 +95,26 @@ class Suffixes:
             exception=frozenset(w[1:] for w in words if w.startswith("!")),
         )
 
-    def match(self, name: Column) -> Column:
-        """Whether ``name`` is a public suffix."""
-        found = name.isin(*sorted(self.plain))
-        if self.wildcard:
-            found = found | F.regexp_replace(name, r"^[^.]*\.", "").isin(*sorted(self.wildcard))
-        if self.exception:
-            found = found & ~name.isin(*sorted(self.exception))
-        return found
+    @property
+    def depth(self) -> int:
+        """The most labels a suffix can have."""
+        names = [*self.plain, *[f"*.{name}" for name in self.wildcard]]
+        return max(name.count(".") + 1 for name in names)
+
+    def match(self, name: Column, labels: int) -> Column:
+        """Whether ``name``, of at most ``labels`` labels, is a public suffix of that many."""
+
+        def of_length(names: Iterable[str], length: int) -> list[str]:
+            return sorted(n for n in names if n.count(".") + 1 == length)
+
+        parent = F.regexp_replace(name, r"^[^.]*\.", "")
+        found = _any_of(name, of_length(self.plain, labels))
+        found = found | _any_of(parent, of_length(self.wildcard, labels - 1))
+        return found & ~_any_of(name, of_length(self.exception, labels))
+
+
+def _any_of(name: Column, names: list[str]) -> Column:
+    return name.isin(*names) if names else F.lit(False)
 
 
 DEFAULT_SUFFIXES = Suffixes(plain=frozenset(COMMON_SUFFIXES))
@@ -123,7 +135,8 @@ def _has(url: Column, parts: Iterable[str]) -> Column:
 def _title(text: Column) -> Column:
     """Upper case for the first letter after anything that is no letter, else lower."""
     words = F.split(text, r"(?<=\P{L})(?=\p{L})")
-    return F.array_join(F.transform(words, F.initcap), "")
+    titled = F.array_join(F.transform(words, F.initcap), "")
+    return F.when(text.rlike("^[a-z]+( [a-z]+)*$"), F.initcap(text)).otherwise(titled)
 
 
 def _as_name(label: Column) -> Column:
@@ -135,19 +148,13 @@ def site_label(host: Column, suffixes: Suffixes = DEFAULT_SUFFIXES) -> Column:
 
     A host under no known suffix gives its last label, an IPv4 address itself.
     """
-    return let(F.split(host, r"\."), lambda labels: _registered(host, labels, suffixes))
-
-
-def _registered(host: Column, labels: Column, suffixes: Suffixes) -> Column:
-    n = F.size(labels)
-    # The first position whose tail is a suffix belongs to the longest one.
-    starts = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: suffixes.match(F.array_join(F.slice(labels, i, n), ".")),
-    )
-    before = F.coalesce(F.get(starts, F.lit(0)), n + 1) - 2
-    label = F.when(before >= 0, F.get(labels, before)).otherwise("")
-    return F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), host).otherwise(label)
+    label = F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), host)
+    for labels in range(suffixes.depth, 0, -1):
+        tail = F.substring_index(host, ".", -labels)
+        longer = F.substring_index(host, ".", -labels - 1)
+        before = F.when(host == tail, "").otherwise(F.substring_index(longer, ".", 1))
+        label = label.when(suffixes.match(tail, labels), before)
+    return label.otherwise(F.substring_index(host, ".", -1))
 
 
 def clean_referrer(
@@ -209,7 +216,5 @@ def _domain(netloc: Column, suffixes: Suffixes) -> Column:
         .when(F.size(tail) >= 2, _as_name(F.get(tail, F.size(tail) - 2)))
         .otherwise(NO_LABEL)
     )
-    return let(
-        site_label(host, suffixes),
-        lambda label: F.when(label != "", _as_name(label)).otherwise(fallback),
-    )
+    label = let(host, lambda name: site_label(name, suffixes))
+    return let(label, lambda name: F.when(name != "", _as_name(name)).otherwise(fallback))

@@ -5,9 +5,10 @@ has three tags stands there three times, and line-level sums count it three time
 lines without a matching product stay, with null product columns; a product without tags or
 without SKUs matches nothing.
 
-``sku_sales`` gives the same sums without building that table: it adds the order lines up
-per SKU before they meet the catalog, so neither a SKU with very many lines nor a SKU shared
-by many products multiplies rows.
+``sku_sales`` and ``order_totals`` give the same sums without building that table. The
+first adds the order lines up per SKU before they meet the catalog, the second adds the
+catalog up per SKU before it meets the order lines, so neither a SKU with very many lines
+nor a SKU shared by many products multiplies rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import as_double, as_timestamp, exact
+from ..functions.numbers import as_double, as_timestamp, exact_sum
 from ..functions.referrers import DEFAULT_SUFFIXES, Store, Suffixes, clean_referrer
 from ..schemas import LINE_ITEM_COLUMNS, optional_column, require_columns
 
@@ -83,7 +84,22 @@ def line_items(
     suffixes: Suffixes = DEFAULT_SUFFIXES,
 ) -> DataFrame:
     """The full line-item table: 39 columns of both sides and 6 derived ones."""
-    return join_products(order_lines(orders), products, stores, suffixes)
+    # Sources are named per order, before its lines and their tags multiply it.
+    named = with_source(orders, stores, suffixes)
+    return join_products(order_lines(named), products, stores, suffixes)
+
+
+def with_source(
+    orders: DataFrame, stores: Sequence[Store] = (), suffixes: Suffixes = DEFAULT_SUFFIXES
+) -> DataFrame:
+    """Add ``cleaned_referring_site`` unless it is there already."""
+    if "cleaned_referring_site" in orders.columns:
+        return orders
+    if "referring_site" in orders.columns:
+        source = clean_referrer(F.col("referring_site"), stores, suffixes)
+    else:
+        source = F.lit(SITE_COLUMN_MISSING)
+    return orders.withColumn("cleaned_referring_site", source)
 
 
 def join_products(
@@ -101,7 +117,9 @@ def join_products(
         .drop("product_tags", "product_id")
     )
     joined = lines.join(catalog, F.col("order_product_sku") == F.col("product_sku"), "left")
-    return derived_columns(typed_lines(joined.select(*LINE_ITEM_COLUMNS)), stores, suffixes)
+    derived = [name for name in ("cleaned_referring_site",) if name in joined.columns]
+    items = typed_lines(joined.select(*LINE_ITEM_COLUMNS, *derived))
+    return derived_columns(items, stores, suffixes)
 
 
 def typed_lines(lines: DataFrame) -> DataFrame:
@@ -129,15 +147,10 @@ def derived_columns(
         compound = F.lit(TAG_COLUMN_MISSING)
     status = optional_column(lines, "order_status_from_tag", STATUS_COLUMN_MISSING)
     customer_type = optional_column(lines, "customer_type", CUSTOMER_TYPE_COLUMN_MISSING)
-    if "referring_site" in present:
-        source = clean_referrer(F.col("referring_site"), stores, suffixes)
-    else:
-        source = F.lit(SITE_COLUMN_MISSING)
-    return lines.withColumns(
+    return with_source(lines, stores, suffixes).withColumns(
         {
             "line_item_revenue": revenue,
             "extracted_status": F.coalesce(status, F.lit(NO_STATUS)),
-            "cleaned_referring_site": source,
             "product_tags_list": tags,
             "product_tags_compound": compound,
             "imputed_customer_type": F.coalesce(customer_type, F.lit(NO_CUSTOMER_TYPE)),
@@ -151,13 +164,12 @@ def sku_sales(
     """Quantity and revenue per (product SKU row, ``keys``), with the line-item sums.
 
     ``lines`` are order lines; ``keys`` are the order columns a result groups or filters by.
-    The output has the line-item names ``quantity`` and ``line_item_revenue`` (as decimals)
-    next to the product columns, so every result that only sums takes it in place of the
-    line-item table; ``line_rows`` is the number of line-item rows summed. With ``per_tag``
+    The output has the line-item names ``quantity`` and ``line_item_revenue`` next to the
+    product columns, so every result that only sums takes it in place of the line-item table; ``line_rows`` is the number of line-item rows summed. With ``per_tag``
     there is a row per tag, else the tags are multiplied in.
     """
     units = lines.groupBy("order_product_sku", *keys).agg(
-        F.sum(exact(lines, "quantity")).alias("_units"),
+        exact_sum("quantity").alias("_units"),
         F.count(F.lit(1)).alias("line_rows"),
     )
     joined = units.join(
@@ -170,14 +182,53 @@ def sku_sales(
         joined = joined.withColumn("quantity", F.col("_units")).drop("_tag")
     else:
         copies = F.coalesce(F.array_size("product_tags"), F.lit(1))
-        joined = joined.withColumn("quantity", (F.col("_units") * copies).cast("decimal(30,6)"))
+        joined = joined.withColumn("quantity", F.col("_units") * copies)
         joined = joined.withColumn("line_rows", F.col("line_rows") * copies)
-    revenue = (F.col("quantity") * exact(joined, "price")).cast("decimal(30,6)")
+    revenue = F.col("quantity") * F.col("price")
     return joined.withColumn("line_item_revenue", revenue).drop(
         "_units", "order_product_sku", "product_tags"
     )
 
 
+# Copies of the per-SKU catalog, so that the lines of one SKU spread over several tasks.
+SALTS = 4
+
+
+def order_totals(
+    lines: DataFrame, products: DataFrame, priced_only: bool = False
+) -> DataFrame:
+    """Per order, ``quantity``, ``line_item_revenue`` and ``line_rows`` of its line items.
+
+    The catalog comes down to one row per SKU, the number of its line-item rows and their
+    summed price, so a line never becomes more than one row. With ``priced_only`` only line
+    items that have a revenue are counted.
+    """
+    skus = product_skus(products).where(F.col("price").isNotNull() | F.lit(not priced_only))
+    weights = skus.groupBy("product_sku").agg(
+        F.sum(F.size("product_tags")).alias("_rows"),
+        F.sum(F.size("product_tags") * F.col("price")).alias("_price"),
+    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    weights = weights.withColumn("_copy", salts)
+    salt = F.pmod(F.xxhash64("order_id"), F.lit(SALTS)).cast("int")
+    same = (F.col("order_product_sku") == F.col("product_sku")) & (salt == F.col("_copy"))
+    items = lines.join(weights, same, "left")
+    rows = F.coalesce(F.col("_rows"), F.lit(1))
+    items = items.select(
+        "order_id",
+        (F.col("quantity") * rows).alias("quantity"),
+        (F.col("quantity") * F.col("_price")).alias("line_item_revenue"),
+        rows.alias("line_rows"),
+    )
+    if priced_only:
+        items = items.where(F.col("line_item_revenue").isNotNull())
+    return items.groupBy("order_id").agg(
+        exact_sum("quantity").alias("quantity"),
+        exact_sum("line_item_revenue").alias("line_item_revenue"),
+        F.sum("line_rows").alias("line_rows"),
+    )
+
+
 def last_sku_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     """The newest order line of each SKU (by date, then order id) with its product columns."""
     newest = lines.groupBy("order_product_sku").agg(

@@ -47,5 +47,9 @@ def lines_of_product(lines: DataFrame, products: DataFrame, product_name: str) -
 
 
 def with_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those orders that occur in ``lines``."""
-    return orders.join(lines.select("order_id").distinct(), "order_id", "left_semi")
+    """Those orders, one row each, that occur in ``lines``.
+
+    Both sides are distinct, so this is an inner join; Spark would move a semi join below
+    the de-duplication of ``orders`` and shuffle all copies of an order.
+    """
+    return orders.join(lines.select("order_id").distinct(), "order_id")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.binding import let
+from ..functions.numbers import exact_sum
+
 
 def top_k(df: DataFrame, measure: str, k: int, *tie: str) -> DataFrame:
     """The ``k`` rows with the largest measure, nulls last, ties by the smaller ``tie`` key."""
@@ -27,15 +30,18 @@ def value_counts(df: DataFrame, column: str, count: str = "count") -> DataFrame:
 
 def with_share(df: DataFrame, measure: str, share: str = "share_pct") -> DataFrame:
     """Add each row's percentage of the column total, which is a scalar subquery."""
-    total = df.agg(F.sum(measure)).scalar()
+    total = df.agg(exact_sum(measure)).scalar()
     return df.withColumn(
         share, F.when(total > 0, F.col(measure) * 100.0 / total).otherwise(F.lit(0.0))
     )
 
 
-# Buckets a ranked set is cut into, and sampled rows per bucket to place the cuts.
-RANK_BUCKETS = 256
+# Rows that one task may sort, the most buckets a ranked set is cut into, and the sampled
+# rows per bucket that place the cuts.
+ROWS_PER_BUCKET = 250_000
+MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 16
+KEYS_PER_CHUNK = 32
 
 Key = tuple[float, object]
 
@@ -45,7 +51,7 @@ def rank_scores(
     id_column: str,
     metrics: Mapping[str, str],
     bins: int = 5,
-    buckets: int = RANK_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Score every row 1..``bins`` by its rank in each metric.
 
@@ -58,8 +64,12 @@ def rank_scores(
     is enough to find the rows that hold those ranks. Cut points from a fixed sample split
     the (value, id) keys into buckets; their sizes tell which few buckets hold the wanted
     ranks, and only these are sorted. The driver sees the sample, the bucket sizes and the
-    wanted rows, all of fixed size. ``df`` is read four times and should be a stored table.
+    wanted rows, all of bounded size. ``df`` is read several times and should be a stored
+    table. ``buckets`` follows the number of rows unless given.
     """
+    n = df.count()
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, 1 + n // ROWS_PER_BUCKET)
     id_type = df.schema[id_column].dataType
     keys = {
         score: F.struct(F.col(column).cast("double").alias("value"), F.col(id_column).alias("id"))
@@ -67,9 +77,8 @@ def rank_scores(
     }
     cuts = _cut_points(df, id_column, keys, buckets)
     places = {score: _position(key, cuts[score], id_type) for score, key in keys.items()}
-    wanted = {
-        score: _wanted_ranks(sizes, bins) for score, sizes in _bucket_sizes(df, places).items()
-    }
+    sizes = _bucket_sizes(df, places) if buckets > 1 else {score: {0: n} for score in keys}
+    wanted = {score: _wanted_ranks(sizes[score], bins) for score in keys}
     edges = _edge_keys(df, keys, places, wanted)
     return df.withColumns(
         {
@@ -80,19 +89,38 @@ def rank_scores(
 
 
 def _position(key: Column, sorted_keys: Sequence[Key], id_type: T.DataType) -> Column:
-    """How many of the sorted keys are not above ``key``."""
-    kind = T.ArrayType(
-        T.StructType([T.StructField("value", T.DoubleType()), T.StructField("id", id_type)])
-    )
+    """How many of the sorted keys are not above ``key``: first by chunk, then within one."""
+    if not sorted_keys:
+        return F.lit(0)
+    kind = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("id", id_type)])
     rows = [{"value": value, "id": id_} for value, id_ in sorted_keys]
-    edges = F.from_json(F.lit(json.dumps(rows)), kind)
-    return F.size(F.filter(edges, lambda edge: edge <= key))
+    chunks = [rows[i : i + KEYS_PER_CHUNK] for i in range(0, len(rows), KEYS_PER_CHUNK)]
+
+    def not_above(keys: Column) -> Column:
+        return F.size(F.filter(keys, lambda edge: edge <= key))
+
+    if len(chunks) == 1:
+        return not_above(_constant(rows, T.ArrayType(kind)))
+    heads = _constant([chunk[0] for chunk in chunks], T.ArrayType(kind))
+    inner = _constant(chunks, T.ArrayType(T.ArrayType(kind)))
+    return let(
+        not_above(heads) - 1,
+        lambda chunk: F.when(chunk < 0, 0).otherwise(
+            chunk * KEYS_PER_CHUNK + not_above(F.get(inner, chunk))
+        ),
+    )
+
+
+def _constant(value: list, kind: T.DataType) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _cut_points(
     df: DataFrame, id_column: str, keys: Mapping[str, Column], buckets: int
 ) -> dict[str, list[Key]]:
     """Per metric, sorted keys that split the rows into about equal buckets."""
+    if buckets < 2:
+        return {score: [] for score in keys}
     # The smallest hashes are a uniform sample that is the same in every run.
     ordered = df.orderBy(F.xxhash64(id_column), F.col(id_column))
     columns = [key.alias(score) for score, key in keys.items()]

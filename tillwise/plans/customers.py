@@ -18,9 +18,9 @@ def customer_kpis(customers: DataFrame) -> DataFrame:
     """Customers, money spent, and means of the orders and of the order value per customer."""
     return customers.agg(
         F.count_distinct("customer_id").alias("total_customers"),
-        total(customers, "total_spent").alias("total_lifetime_spent"),
-        mean(customers, "orders_count").alias("avg_lifetime_orders"),
-        mean(customers, "aov").alias("avg_lifetime_aov"),
+        total("total_spent").alias("total_lifetime_spent"),
+        mean("orders_count").alias("avg_lifetime_orders"),
+        mean("aov").alias("avg_lifetime_aov"),
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import fixed_point
-from ..functions.numbers import exact, total
+from ..functions.numbers import exact_sum, mean, total
 from ..operators.ranking import top_k
 
 # Fixed value: where the map is centered when there is nothing to show.
@@ -18,38 +18,29 @@ def geo_kpis(orders: DataFrame) -> DataFrame:
     """Order value, orders, states and cities, from one row per order."""
     # Summed per place first, so that the distinct counts only see the places.
     places = orders.groupBy("geography_state", "geography_city").agg(
-        F.sum(exact(orders, "total_order_value")).alias("value"),
+        exact_sum("total_order_value").alias("value"),
         F.count("order_id").alias("orders"),
     )
     return places.agg(
-        total(places, "value").alias("total_revenue"),
+        total("value").alias("total_revenue"),
         F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
         F.count_distinct("geography_state").alias("unique_states"),
         F.count_distinct("geography_city").alias("unique_cities"),
     )
 
 
-def map_points(lines: DataFrame, order_lines: DataFrame | None = None) -> DataFrame:
-    """Revenue, units and orders per place, from lines with a position and a revenue.
-
-    ``lines`` may be summed beforehand if ``order_lines`` gives the rows (place, order id)
-    whose orders are to be counted.
-    """
-    located = lines.dropna(subset=[*POINT, "line_item_revenue"])
-    sums = [
-        total(lines, "line_item_revenue").alias("total_revenue"),
-        total(lines, "quantity").alias("total_quantity"),
-    ]
-    orders = F.count_distinct("order_id").alias("order_count")
-    if order_lines is None:
-        points = located.groupBy(*POINT).agg(*sums, orders)
-    else:
-        counted = order_lines.dropna(subset=POINT).groupBy(*POINT).agg(orders)
-        points = located.groupBy(*POINT).agg(*sums).join(counted, POINT, "left")
+def map_points(rows: DataFrame) -> DataFrame:
+    """Revenue, units and orders per place, from rows with a position and a revenue."""
+    located = rows.dropna(subset=[*POINT, "line_item_revenue"])
+    points = located.groupBy(*POINT).agg(
+        total("line_item_revenue").alias("total_revenue"),
+        total("quantity").alias("total_quantity"),
+        F.count_distinct("order_id").alias("order_count"),
+    )
     return points.withColumn("tooltip_text", _tooltip())
 
 
-def _tooltip():
+def _tooltip() -> Column:
     # A whole quantity shows one zero after the point.
     quantity = F.col("total_quantity").cast("decimal(28,6)").cast("string")
     quantity = F.regexp_replace(quantity, r"(\.\d+?)0*$", "$1")
@@ -67,20 +58,15 @@ def _tooltip():
 
 def map_center(points: DataFrame, default: tuple[float, float] = DEFAULT_CENTER) -> DataFrame:
     """The plain mean of the points' positions, or ``default`` without points."""
-    latitude, longitude = (F.col(name).cast("decimal(18,9)") for name in POINT[:2])
     return points.agg(
-        F.coalesce(_mean(latitude), F.lit(default[0])).alias("center_lat"),
-        F.coalesce(_mean(longitude), F.lit(default[1])).alias("center_lon"),
+        F.coalesce(mean(POINT[0]), F.lit(default[0])).alias("center_lat"),
+        F.coalesce(mean(POINT[1]), F.lit(default[1])).alias("center_lon"),
     )
 
 
-def _mean(column):
-    return F.sum(column).cast("double") / F.nullif(F.count(column), F.lit(0))
-
-
 def _revenue_by(lines: DataFrame, column: str, k: int) -> DataFrame:
     known = lines.where(F.col(column).isNotNull()).groupBy(column)
-    summed = known.agg(total(lines, "line_item_revenue").alias("line_item_revenue"))
+    summed = known.agg(total("line_item_revenue").alias("line_item_revenue"))
     return top_k(summed, "line_item_revenue", k, column)
 
 

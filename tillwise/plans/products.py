@@ -14,8 +14,8 @@ LOW_STOCK = 20
 def product_kpis(lines: DataFrame) -> DataFrame:
     """Units, revenue, distinct SKUs and revenue per unit."""
     return lines.agg(
-        total(lines, "quantity").alias("total_products_sold"),
-        total(lines, "line_item_revenue").alias("total_product_revenue"),
+        total("quantity").alias("total_products_sold"),
+        total("line_item_revenue").alias("total_product_revenue"),
         F.count_distinct("product_sku").alias("unique_products_sold"),
     ).withColumn(
         "avg_product_price",
@@ -25,7 +25,7 @@ def product_kpis(lines: DataFrame) -> DataFrame:
 
 def _sum_by(lines: DataFrame, column: str, measure: str) -> DataFrame:
     known = lines.where(F.col(column).isNotNull())
-    return known.groupBy(column).agg(total(lines, measure).alias(measure))
+    return known.groupBy(column).agg(total(measure).alias(measure))
 
 
 def _top_by(lines: DataFrame, column: str, measure: str, k: int) -> DataFrame:
@@ -67,7 +67,7 @@ def tag_quantity_share(lines: DataFrame) -> DataFrame:
 def _daily(lines: DataFrame, measure: str, name: str) -> DataFrame:
     days = lines.withColumn("date", F.to_date("order_date"))
     known = days.where(F.col("date").isNotNull())
-    return known.groupBy("date").agg(total(lines, measure).alias(name)).orderBy("date")
+    return known.groupBy("date").agg(total(measure).alias(name)).orderBy("date")
 
 
 def daily_product_revenue(lines: DataFrame) -> DataFrame:

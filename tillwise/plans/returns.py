@@ -16,15 +16,15 @@ def daily_sales(lines: DataFrame) -> DataFrame:
     """Units and revenue per day and product name."""
     days = lines.withColumn("date", F.to_date("order_date")).dropna(subset=DAY_PRODUCT)
     return days.groupBy(*DAY_PRODUCT).agg(
-        total(lines, "quantity").alias("total_sold_quantity"),
-        total(lines, "line_item_revenue").alias("total_sales_revenue"),
+        total("quantity").alias("total_sold_quantity"),
+        total("line_item_revenue").alias("total_sales_revenue"),
     )
 
 
 def daily_product_returns(returns: DataFrame) -> DataFrame:
     """Returned units per day and product name."""
     days = returns.withColumn("date", F.to_date("return_date")).dropna(subset=DAY_PRODUCT)
-    quantity = total(returns, "returned_quantity").alias("total_returned_quantity")
+    quantity = total("returned_quantity").alias("total_returned_quantity")
     return days.groupBy(*DAY_PRODUCT).agg(quantity)
 
 
@@ -51,10 +51,10 @@ def returns_vs_sales(lines: DataFrame, returns: DataFrame) -> DataFrame:
 def return_kpis(rvs: DataFrame) -> DataFrame:
     """Totals and overall return rate of ``returns_vs_sales``."""
     totals = rvs.agg(
-        total(rvs, "total_sold_quantity").alias("total_sold"),
-        total(rvs, "total_returned_quantity").alias("total_returned"),
-        total(rvs, "total_sales_revenue").alias("total_sales_value"),
-        total(rvs, "estimated_returned_value").alias("total_estimated_returned_value"),
+        total("total_sold_quantity").alias("total_sold"),
+        total("total_returned_quantity").alias("total_returned"),
+        total("total_sales_revenue").alias("total_sales_value"),
+        total("estimated_returned_value").alias("total_estimated_returned_value"),
     )
     rate = percentage(F.col("total_returned"), F.col("total_sold"))
     return totals.withColumn("overall_return_rate", rate)
@@ -62,7 +62,7 @@ def return_kpis(rvs: DataFrame) -> DataFrame:
 
 def _rollup(rvs: DataFrame, key: str) -> DataFrame:
     measures = ("total_returned_quantity", "total_sold_quantity", "estimated_returned_value")
-    summed = rvs.groupBy(key).agg(*[total(rvs, name).alias(name) for name in measures])
+    summed = rvs.groupBy(key).agg(*[total(name).alias(name) for name in measures])
     rate = percentage(F.col("total_returned_quantity"), F.col("total_sold_quantity"))
     return summed.withColumn("return_rate_percentage", rate)
 

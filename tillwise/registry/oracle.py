@@ -155,7 +155,8 @@ WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k}"""
 
 
 def _shared(body: str, value: str) -> str:
-    return f"SELECT *, {value} * 100.0::DOUBLE / sum({value}) OVER () AS share_pct FROM ({body})"
+    total = f"CAST(sum({_exact(value)}) OVER () AS DOUBLE)"
+    return f"SELECT *, {value} * 100.0::DOUBLE / {total} AS share_pct FROM ({body})"
 
 
 _DISCOUNTS = f"""SELECT discount_applied, {_sum("discount_amount")} AS total_discount_amount,

@@ -1,7 +1,7 @@
 """Every operator as a query over the tables of one folder.
 
-Sums over lines go through ``sku_sales``; order-level results start from the orders table.
-Both give what the full line-item table gives, without building it.
+Sums over lines go through ``sku_sales`` or ``order_totals``; order-level results start from
+the orders table. All give what the full line-item table gives, without building it.
 """
 
 from __future__ import annotations
@@ -9,18 +9,19 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import amount, count_text, currency, percent_text, short_number
-from ..functions.referrers import clean_referrer
 from ..operators import filters
 from ..operators.line_items import (
     join_products,
     last_sku_lines,
     order_lines,
+    order_totals,
     product_skus,
     sku_sales,
+    with_source,
 )
 from ..operators.orders import lines_of_product, one_row_per_order, order_rows
 from ..plans import customers, geo, products, referrers, returns, rfm, sales
@@ -55,14 +56,18 @@ def _sales(shop: StarShop, *keys: str, per_tag: bool = False, **options) -> Data
     return sku_sales(lines, shop.products(), keys, per_tag)
 
 
-def _line_items(shop: StarShop, **options) -> DataFrame:
-    """The full line-item table."""
-    options = {"geography": True, "referrers": True} | options
-    return join_products(shop.order_lines(**options), shop.products(), STORES)
+def _order_totals(
+    shop: StarShop, *columns: str, priced_only: bool = False, **options
+) -> DataFrame:
+    """Line sums per order next to order columns."""
+    totals = order_totals(shop.lines(), shop.products(), priced_only)
+    return one_row_per_order(shop.orders(**options), columns).join(totals, "order_id")
 
 
-def _source() -> Column:
-    return clean_referrer(F.col("referring_site"), STORES)
+def _line_items(shop: StarShop) -> DataFrame:
+    """The full line-item table."""
+    orders = with_source(shop.orders(geography=True, referrers=True), STORES)
+    return join_products(orders.join(shop.lines(), "order_id"), shop.products(), STORES)
 
 
 # Line items
@@ -136,7 +141,7 @@ def sales_kpis_filtered(shop):
     orders = _orders(
         shop, "order_channel", "discount_applied", "referring_site", *MONEY, referrers=True
     )
-    orders = orders.withColumn("cleaned_referring_site", _source())
+    orders = with_source(orders, STORES)
     return sales.sales_kpis(
         filters.filter_rows(
             orders,
@@ -185,7 +190,8 @@ def revenue_by_status(shop):
 @_query
 def top_referrers(shop):
     orders = _orders(shop, "referring_site", "total_order_value", referrers=True)
-    return sales.top_referrers(orders.withColumn("cleaned_referring_site", _source()))
+    sites = sales.revenue_by_site(orders)
+    return sales.top_referrers(with_source(sites, STORES))
 
 
 @_query
@@ -252,12 +258,12 @@ def tag_quantity_share(shop):
 
 @_query
 def daily_product_revenue(shop):
-    return products.daily_product_revenue(_sales(shop, "order_date"))
+    return products.daily_product_revenue(_order_totals(shop, "order_date"))
 
 
 @_query
 def daily_quantity(shop):
-    return products.daily_quantity(_sales(shop, "order_date"))
+    return products.daily_quantity(_order_totals(shop, "order_date"))
 
 
 @_query
@@ -350,13 +356,7 @@ def geo_kpis_state(shop):
 
 
 def _map_points(shop: StarShop) -> DataFrame:
-    lines = shop.order_lines(geography=True)
-    priced = product_skus(shop.products()).where(F.col("price").isNotNull())
-    same = F.col("order_product_sku") == F.col("product_sku")
-    sold = lines.where(F.col("quantity").isNotNull())
-    sold = sold.join(priced.select("product_sku"), same, "left_semi")
-    sums = sku_sales(sold, shop.products().where(F.col("price").isNotNull()), geo.POINT)
-    return geo.map_points(sums, sold)
+    return geo.map_points(_order_totals(shop, *geo.POINT, geography=True, priced_only=True))
 
 
 @_query
@@ -371,12 +371,12 @@ def map_center(shop):
 
 @_query
 def state_revenue(shop):
-    return geo.state_revenue(_sales(shop, "geography_state", geography=True))
+    return geo.state_revenue(_order_totals(shop, "geography_state", geography=True))
 
 
 @_query
 def city_revenue(shop):
-    return geo.city_revenue(_sales(shop, "geography_city", geography=True))
+    return geo.city_revenue(_order_totals(shop, "geography_city", geography=True))
 
 
 @_query
@@ -500,12 +500,13 @@ def top_return_comments(shop):
 @_query
 def referrer_names(shop):
     sites = shop.orders(referrers=True).select("referring_site").distinct()
-    return sites.withColumn("cleaned_referring_site", _source())
+    return with_source(sites, STORES)
 
 
 @_query
 def raw_referrer_counts(shop):
-    return referrers.raw_referrer_counts(_sales(shop, "referring_site", referrers=True))
+    totals = _order_totals(shop, "referring_site", referrers=True)
+    return referrers.raw_referrer_counts(totals)
 
 
 @_query

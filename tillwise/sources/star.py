@@ -8,61 +8,118 @@ and are never collected into the arrays of an order: one order may have any numb
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.referrers import Store
 from ..operators.filters import date_range
-from ..schemas import ORDERS, PRODUCTS
 from .tables import typed_customers, typed_returns
 
 STORES = (Store("Example Shop", ("shop.example",)),)
 
-# Referring sites by order key modulo 16; the rest come from ``pages``.
-SITES = (
-    None,
-    "",
-    "android-app://com.google.android.gm/",
-    "https://www.google.com/search?q=x",
-    "https://www.google.com/",
-    "https://l.instagram.com/",
-    "https://m.facebook.com/",
-    "https://shop.example/products/1",
-    "https://shop.example/?fbclid=1",
-    "https://www.reddit.com/r/x",
-)
-CHANNELS = ("web", "pos", "app", None)
-TYPES = ("new", "returning", None)
-COMMENTS = ("Damaged / Late", "wrong item", "", None, "Bad taste, smell")
+# The shop's columns as SQL over the star columns; together with STORES they are the shop.
+_KNOWN_PLACE = "o_orderkey % 50 <> 0"
+ORDER_SQL = {
+    "order_date": "timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate)",
+    "updated_at": "o_orderdate",
+    "order_id": "o_orderkey",
+    "order_number": "cast(o_orderkey as double)",
+    "customer_id": "case when o_custkey % 50 <> 7 then o_custkey end",
+    "email": "cast(null as string)",
+    "cross_product_linkage": "cast(null as string)",
+    "total_order_value": "o_totalprice",
+    "discount_applied": """case when o_orderkey % 5 = 1 then ''
+        when o_orderkey % 5 > 1 then 'CODE' || (o_orderkey % 23) end""",
+    "discount_amount": "(o_orderkey % 40) * 2.5D",
+    "tax_amount": "(o_orderkey % 30) * 1.25D",
+    "payment_status": "'paid'",
+    "fulfillment_status": "case when o_orderkey % 24 < 12 then 'fulfilled' end",
+    "shipping_method": "o_orderpriority",
+    "shipping_cost": "(o_orderkey % 7) * 10.0D",
+    "return_refund_status": "cast(null as string)",
+    "order_channel": "case o_orderkey % 4 when 0 then 'web' when 1 then 'pos' when 2 then 'app' end",
+    "customer_type": "case o_orderkey % 3 when 0 then 'new' when 1 then 'returning' end",
+    "order_status_from_tag": "case when o_orderkey % 11 <> 0 then o_orderstatus end",
+    "geography_country": "'Example'",
+    "geography_postal_code": "cast(null as string)",
+}
+PLACE_SQL = {
+    "geography_state": f"case when {_KNOWN_PLACE} then n_name end",
+    "geography_city": f"case when {_KNOWN_PLACE} then n_name || '-' || (o_custkey % 4) end",
+    "shipping_address_latitude": f"case when {_KNOWN_PLACE} then 8.0D + n_nationkey end",
+    "shipping_address_longitude": f"""case when {_KNOWN_PLACE}
+        then 68.0D + (o_custkey % 4) * 0.5D end""",
+}
+SITE_SQL = {
+    "referring_site": """case o_orderkey % 16 when 0 then null when 1 then ''
+        when 2 then 'android-app://com.google.android.gm/'
+        when 3 then 'https://www.google.com/search?q=x'
+        when 4 then 'https://www.google.com/'
+        when 5 then 'https://l.instagram.com/'
+        when 6 then 'https://m.facebook.com/'
+        when 7 then 'https://shop.example/products/1'
+        when 8 then 'https://shop.example/?fbclid=1'
+        when 9 then 'https://www.reddit.com/r/x' else url end""",
+}
+LINE_SQL = {
+    "order_id": "l_orderkey",
+    "order_product_sku": "'SKU-' || l_partkey",
+    "order_product_id": "l_partkey",
+    "quantity": "l_quantity",
+}
+PRODUCT_SQL = {
+    "product_id": "p_partkey",
+    "product_sku": "array('SKU-' || p_partkey)",
+    "product_tags": """case when p_size % 10 <> 0 then array(p_type, p_brand)
+        else cast(array() as array<string>) end""",
+    "product_name": "p_name",
+    "product_status": "'active'",
+    "product_type": "p_type",
+    "price": "p_retailprice",
+    "product_created_at": "cast(null as timestamp)",
+    "updated_at": "cast(null as timestamp)",
+    "stock_available": "case when p_size % 7 <> 0 then cast(p_size as double) end",
+    "shipping_weight": "cast(null as double)",
+}
+CUSTOMER_SQL = {
+    "customer_id": "c_custkey",
+    "first_name": "c_name",
+    "email": "c_name || '@shop.example'",
+    "signup_date": "cast(date_add(date'1995-01-01', cast(c_custkey % 700 as int)) as timestamp)",
+    "updated_at": "cast(null as timestamp)",
+    "total_spent": "c_acctbal",
+    "orders_count": "case when c_custkey % 50 <> 49 then cast(c_custkey % 5 as double) end",
+    "aov": "case when c_custkey % 50 <> 49 then c_acctbal / nullif(c_custkey % 5, 0) end",
+    "marketing_opt_in": "c_custkey % 2 = 0",
+    "state": "n_name",
+    "city": "n_name || '-' || (c_custkey % 4)",
+}
+SHEET_SQL = {
+    "Date": "case when l_suppkey % 50 = 0 then 'n/a' else date_format(l_shipdate, 'yyyy-MM-dd') end",
+    "Product Name": "p_name",
+    "Quantity": "case when l_partkey % 97 = 0 then '' else cast(l_quantity as string) end",
+    "Comments": """case l_linenumber % 5 when 0 then 'Damaged / Late' when 1 then 'wrong item'
+        when 2 then '' when 4 then 'Bad taste, smell' end""",
+}
+
+
+def _derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{sql} as `{name}`" for name, sql in columns.items()])
 
 
-def _choose(key: Column, values: tuple, modulus: int | None = None) -> Column:
-    """``values[key % modulus]``, null beyond the end."""
-    chosen = F.when(F.lit(False), F.lit(None).cast("string"))
-    for i, value in enumerate(values):
-        chosen = chosen.when(key % (modulus or len(values)) == i, F.lit(value))
-    return chosen
-
-
-def _sku(part: str) -> Column:
-    return F.concat(F.lit("SKU-"), F.col(part).cast("string"))
-
-
-def _city(customer: str) -> Column:
-    return F.concat("n_name", F.lit("-"), (F.col(customer) % 4).cast("string"))
-
-
-@dataclass(frozen=True)
 class StarShop:
     """A shop in a folder of star-schema parquet files."""
 
-    spark: SparkSession
-    folder: str
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark = spark
+        self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def _located_customers(self) -> DataFrame:
         nations = self.table("nation").select("n_nationkey", "n_name")
@@ -81,63 +138,23 @@ class StarShop:
         The range is applied to the stored date, where the file scan can use it.
         """
         raw = date_range(self.table("orders"), "o_orderdate", start, end)
-        key = F.col("o_orderkey")
-        hour = (key % 24).cast("int")
-        null = F.lit(None)
-        columns = {
-            "order_date": F.expr("timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate)"),
-            "updated_at": F.col("o_orderdate"),
-            "order_id": key,
-            "order_number": key.cast("double"),
-            "customer_id": F.when(F.col("o_custkey") % 50 != 7, F.col("o_custkey")),
-            "email": null.cast("string"),
-            "cross_product_linkage": null.cast("string"),
-            "total_order_value": F.col("o_totalprice"),
-            "discount_applied": F.when(key % 5 == 1, "").when(
-                key % 5 > 1, F.concat(F.lit("CODE"), (key % 23).cast("string"))
-            ),
-            "discount_amount": (key % 40) * 2.5,
-            "tax_amount": (key % 30) * 1.25,
-            "shipping_cost": (key % 7) * 10.0,
-            "payment_status": F.lit("paid"),
-            "fulfillment_status": F.when(hour < 12, "fulfilled"),
-            "shipping_method": F.col("o_orderpriority"),
-            "return_refund_status": null.cast("string"),
-            "order_channel": _choose(key, CHANNELS),
-            "customer_type": _choose(key, TYPES),
-            "order_status_from_tag": F.when(key % 11 != 0, F.col("o_orderstatus")),
-            "geography_country": F.lit("Example"),
-            "geography_postal_code": null.cast("string"),
-        }
+        columns = dict(ORDER_SQL)
         if geography:
             homes = self._located_customers().select("c_custkey", "n_nationkey", "n_name")
             raw = raw.join(homes, F.col("o_custkey") == F.col("c_custkey"), "left")
-            known = key % 50 != 0
-            columns |= {
-                "geography_state": F.when(known, F.col("n_name")),
-                "geography_city": F.when(known, _city("o_custkey")),
-                "shipping_address_latitude": F.when(known, F.col("n_nationkey") + 8.0),
-                "shipping_address_longitude": F.when(known, (F.col("o_custkey") % 4) * 0.5 + 68.0),
-            }
+            columns |= PLACE_SQL
         if referrers:
             pages = self.table("pages").select("page_id", "url")
             count = pages.agg(F.nullif(F.count("page_id"), F.lit(0))).scalar()
             # Every order gets a page, needed or not: null keys would all meet in one task.
-            raw = raw.withColumn("_page", key % count)
+            raw = raw.withColumn("_page", F.col("o_orderkey") % count)
             raw = raw.join(pages, F.col("_page") == F.col("page_id"), "left")
-            site = F.when(key % 16 < len(SITES), _choose(key, SITES, 16)).otherwise(F.col("url"))
-            columns["referring_site"] = site
-        order = [name for name in ORDERS.names if name in columns]
-        return raw.select(*[columns[name].alias(name) for name in order])
+            columns |= SITE_SQL
+        return _derive(raw, columns)
 
     def lines(self) -> DataFrame:
         """Order lines without order-level columns."""
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            _sku("l_partkey").alias("order_product_sku"),
-            F.col("l_partkey").alias("order_product_id"),
-            F.col("l_quantity").alias("quantity"),
-        )
+        return _derive(self.table("lineitem"), LINE_SQL)
 
     def order_lines(self, **options) -> DataFrame:
         """Order lines with the order-level columns of their order."""
@@ -145,59 +162,18 @@ class StarShop:
 
     def products(self) -> DataFrame:
         """The catalog: two tags per product, none for some; some stock unknown."""
-        size = F.col("p_size")
-        null = F.lit(None)
-        columns = {
-            "product_id": F.col("p_partkey"),
-            "product_sku": F.array(_sku("p_partkey")),
-            "product_tags": F.when(size % 10 != 0, F.array("p_type", "p_brand")).otherwise(
-                F.array().cast("array<string>")
-            ),
-            "product_name": F.col("p_name"),
-            "product_status": F.lit("active"),
-            "product_type": F.col("p_type"),
-            "price": F.col("p_retailprice"),
-            "product_created_at": null.cast("timestamp"),
-            "updated_at": null.cast("timestamp"),
-            "stock_available": F.when(size % 7 != 0, size.cast("double")),
-            "shipping_weight": null.cast("double"),
-        }
-        return self.table("part").select(*[columns[n].alias(n) for n in PRODUCTS.names])
+        return _derive(self.table("part"), PRODUCT_SQL)
 
     def customers(self) -> DataFrame:
         """The customer master, typed; some order counts unknown, some 0."""
-        key = F.col("c_custkey")
-        count = F.when(key % 50 != 49, (key % 5).cast("double"))
-        raw = self._located_customers().select(
-            key.alias("customer_id"),
-            F.col("c_name").alias("first_name"),
-            F.concat("c_name", F.lit("@shop.example")).alias("email"),
-            F.date_add(F.lit(dt.date(1995, 1, 1)), (key % 700).cast("int"))
-            .cast("timestamp")
-            .alias("signup_date"),
-            F.lit(None).cast("timestamp").alias("updated_at"),
-            F.col("c_acctbal").alias("total_spent"),
-            count.alias("orders_count"),
-            (F.col("c_acctbal") / F.nullif(count, F.lit(0.0))).alias("aov"),
-            (key % 2 == 0).alias("marketing_opt_in"),
-            F.col("n_name").alias("state"),
-            _city("c_custkey").alias("city"),
-        )
-        return typed_customers(raw)
+        return typed_customers(_derive(self._located_customers(), CUSTOMER_SQL))
 
     def returns_sheet(self) -> DataFrame:
         """The text sheet of returns, with unreadable dates and blank quantities."""
         returned = self.table("lineitem").where(F.col("l_returnflag") == "R")
         parts = self.table("part").select("p_partkey", "p_name")
         named = returned.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-        day = F.date_format("l_shipdate", "yyyy-MM-dd")
-        quantity = F.col("l_quantity").cast("string")
-        return named.select(
-            F.when(F.col("l_suppkey") % 50 == 0, "n/a").otherwise(day).alias("Date"),
-            F.col("p_name").alias("Product Name"),
-            F.when(F.col("l_partkey") % 97 == 0, "").otherwise(quantity).alias("Quantity"),
-            _choose(F.col("l_linenumber"), COMMENTS).alias("Comments"),
-        )
+        return _derive(named, SHEET_SQL)
 
     def returns(self) -> DataFrame:
         """The returns sheet, typed."""
