@@ -57,7 +57,7 @@ def exact_sum(name: str) -> Column:
     """
     value = F.col(name).cast("double")
     whole = F.floor(value)
-    millionths = F.rint((value - whole) * 1e6).cast("bigint")
+    millionths = F.floor((value - whole) * 1e6 + 0.5)
     units = F.sum(whole).cast("decimal(20,0)")
     parts = F.sum(millionths).cast("decimal(20,0)")
     return (units + parts * F.lit(Decimal("0.000001"))).cast("double")
