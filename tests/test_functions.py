@@ -88,6 +88,10 @@ def test_short_numbers(spark):
     assert got == [text for _, text in NUMBERS]
 
 
+def test_short_numbers_of_text(spark):
+    assert _map(spark, ["1500", "many", None], "string", short_number) == ["1.5K", "many", "N/A"]
+
+
 def test_fixed_texts_match_python(spark):
     values = [0.5, 1.5, 2.5, 1234567.891, 0.045, 33.335, 1e12 + 0.5, 0.0, 99.995, -3.145]
     assert _map(spark, values, "double", amount) == [f"₹ {v:.2f}" for v in values]

@@ -60,6 +60,16 @@ def test_scores_equal_a_plain_window(spark):
     assert both.where("s <> p").count() == 0
 
 
+def test_decimal_ids(spark):
+    df = spark.range(500).selectExpr("cast(id as decimal(20,2)) as id", "id % 3 as v")
+    plain = spark.range(500).selectExpr("id", "id % 3 as v")
+    got, want = (
+        [r.s for r in rank_scores(x, "id", {"s": "v"}, buckets=9).orderBy("id").collect()]
+        for x in (df, plain)
+    )
+    assert got == want
+
+
 def test_top_k_ties_and_nulls(spark):
     df = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", None), ("d", 1.0)], "k string, m double")
     assert [r.k for r in top_k(df, "m", 1, "k").collect()] == ["a"]

@@ -1,8 +1,8 @@
-"""A name for a value inside a column expression."""
+"""A name for a value inside a column expression, and a choice among cases."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,3 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     projection repeats it again; a lambda variable is not.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_match(cases: Sequence[tuple[Column, Column | object]], default: Column | object) -> Column:
+    """The value of the first case whose condition holds, else ``default``."""
+    (condition, value), *rest = cases
+    column = F.when(condition, value)
+    for condition, value in rest:
+        column = column.when(condition, value)
+    return column.otherwise(default)

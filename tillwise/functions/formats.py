@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let
+from .binding import first_match, let
 
 CURRENCY = "₹ "
 # A fraction times this is a whole number for every double whose rounding is in doubt.
@@ -51,22 +51,21 @@ SHORT_FORMS = ((1e9, "B", 2), (1e6, "M", 2), (1e3, "K", 1))
 
 
 def short_number(value: Column) -> Column:
-    """A number shortened with K, M or B; ``N/A`` for null and NaN."""
-    return let(value.cast("double"), _short)
+    """A number shortened with K, M or B; ``N/A`` for null and NaN, other text as it is."""
+    number = value.try_cast("double")
+    other = value.isNotNull() & number.isNull()
+    return F.when(other, value.cast("string")).otherwise(let(number, _short))
 
 
 def _short(number: Column) -> Column:
     size = F.abs(number)
     whole = size == F.floor(size)
-    divisor, suffix, digits = F, F, F
-    for least, letter, places in SHORT_FORMS:
-        divisor = divisor.when(size >= least, least)
-        suffix = suffix.when(size >= least, letter)
-        # Full thousands go without a point.
-        short = F.lit(places) if letter != "K" else F.when(size % 1000 == 0, 0).otherwise(places)
-        digits = digits.when(size >= least, short)
-    divisor, suffix = divisor.otherwise(1.0), suffix.otherwise("")
-    digits = digits.otherwise(F.when(whole, 0).otherwise(2))
+    divisor = first_match([(size >= least, least) for least, _, _ in SHORT_FORMS], 1.0)
+    suffix = first_match([(size >= least, letter) for least, letter, _ in SHORT_FORMS], "")
+    places = first_match([(size >= least, digits) for least, _, digits in SHORT_FORMS], 2)
+    # Whole numbers and full thousands go without a point.
+    bare = ((size < 1e3) & whole) | ((size >= 1e3) & (size < 1e6) & (size % 1000 == 0))
+    digits = F.when(bare, 0).otherwise(places)
     text = F.concat(_point_text(size / divisor, digits, size < 1e3), suffix)
     signed = F.concat(F.when(number < 0, "-").otherwise(""), text)
     return F.when(number.isNull() | F.isnan(number), "N/A").otherwise(signed)

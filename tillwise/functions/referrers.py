@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let
+from .binding import first_match, let
 
 # Labels and the URL parts they stand for. The first match wins and a part
 # may stand anywhere in the URL, so "t.co" also takes every host that ends in "t.com".
@@ -171,27 +171,22 @@ def clean_referrer(
 
 
 def _app(site: Column) -> Column:
-    name = F
-    for part, label in APPS:
-        name = name.when(site.contains(part), label)
-    return name.otherwise(OTHER_APP)
+    return first_match([(site.contains(part), label) for part, label in APPS], OTHER_APP)
 
 
 def _source(url: Column, stores: Sequence[Store], suffixes: Suffixes) -> Column:
     """The first rule that applies; a URL no rule knows is named after its domain."""
-    label = F.when(F.lit(False), "")
+    cases = []
     for store in stores:
         own = _has(url, store.domains)
-        label = label.when(own & _has(url, INTERNAL_PATHS), f"{store.label} (Internal)")
-        label = label.when(own & _has(url, PAID_MARKS), f"{store.label} (Paid Ads)")
-        label = label.when(own, store.label)
-    for parts, name in SITES_BEFORE_GOOGLE:
-        label = label.when(_has(url, parts), name)
-    label = label.when(url.contains(GOOGLE), _google(url))
-    for parts, name in SITES_AFTER_GOOGLE:
-        label = label.when(_has(url, parts), name)
+        cases.append((own & _has(url, INTERNAL_PATHS), f"{store.label} (Internal)"))
+        cases.append((own & _has(url, PAID_MARKS), f"{store.label} (Paid Ads)"))
+        cases.append((own, store.label))
+    cases += [(_has(url, parts), name) for parts, name in SITES_BEFORE_GOOGLE]
+    cases.append((url.contains(GOOGLE), _google(url)))
+    cases += [(_has(url, parts), name) for parts, name in SITES_AFTER_GOOGLE]
     netloc = F.regexp_extract(url, NETLOC, 1)
-    return label.otherwise(let(netloc, lambda part: _domain(part, suffixes)))
+    return first_match(cases, let(netloc, lambda part: _domain(part, suffixes)))
 
 
 def _google(url: Column) -> Column:

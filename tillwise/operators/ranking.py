@@ -112,7 +112,7 @@ def _position(key: Column, sorted_keys: Sequence[Key], id_type: T.DataType) -> C
 
 
 def _constant(value: list, kind: T.DataType) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+    return F.from_json(F.lit(json.dumps(value, default=str)), kind)
 
 
 def _cut_points(

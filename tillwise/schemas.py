@@ -17,6 +17,7 @@ def _struct(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+# The input columns.
 ORDERS = _struct(
     order_date=_TIME,
     updated_at=_TIME,
@@ -86,7 +87,8 @@ RETURNS = _struct(
     return_date=_TIME, product_name=_TEXT, returned_quantity=_NUMBER, return_comments=_TEXT
 )
 
-# Order-level columns of the line-item table, in output order. Two are renamed on the way.
+# The columns of the line-item table in output order. Two order columns are
+# renamed on the way, as products have columns of the same names.
 ORDER_COLUMNS = (
     "order_date",
     "order_updated_at",

@@ -86,7 +86,7 @@ CUSTOMER_SQL = {
     "customer_id": "c_custkey",
     "first_name": "c_name",
     "email": "c_name || '@shop.example'",
-    "signup_date": "cast(date_add(date'1995-01-01', cast(c_custkey % 700 as int)) as timestamp)",
+    "signup_date": "cast(date_add(date'1995-01-01', cast(c_custkey % 700 as int)) as timestamp_ntz)",
     "updated_at": "cast(null as timestamp)",
     "total_spent": "c_acctbal",
     "orders_count": "case when c_custkey % 50 <> 49 then cast(c_custkey % 5 as double) end",
