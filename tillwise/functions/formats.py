@@ -5,70 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import first_match, let
+from .binding import first_match
 
 CURRENCY = "₹ "
-# A fraction times this is a whole number for every double whose rounding is in doubt.
-_ONE = 2**62
-
-
-def _rounded_units(value: Column, scale: Column) -> Column:
-    """``value * scale`` of a value >= 0, rounded as the binary number it is.
-
-    The rounding (ties to even) is done on the exact fraction; rounding the decimal print of
-    the double would move some ties.
-    """
-    whole = F.floor(value)
-    parts = ((value - whole) * float(_ONE)).cast("bigint").cast("decimal(20,0)") * scale
-    floor = F.floor(parts / F.lit(_ONE))
-    units = whole.cast("bigint") * scale + floor.cast("bigint")
-    twice_rest = (parts - floor * F.lit(_ONE)) * 2
-    up = (twice_rest > _ONE) | ((twice_rest == _ONE) & (units % 2 == 1))
-    return units + up.cast("bigint")
-
-
-def _point_text(value: Column, digits: Column, thousands: Column) -> Column:
-    scale = F.when(digits == 2, 100).when(digits == 1, 10).otherwise(1)
-
-    def text(units: Column) -> Column:
-        rest = units % scale
-        whole = ((units - rest) / scale).cast("bigint")
-        grouped = F.when(thousands, F.format_number(whole, 0)).otherwise(whole.cast("string"))
-        end = F.concat(F.lit("."), F.lpad(rest.cast("string"), digits, F.lit("0")))
-        return F.concat(grouped, F.when(digits > 0, end).otherwise(""))
-
-    return let(_rounded_units(value, scale), text)
 
 
 def fixed_point(value: Column, digits: int, thousands: bool = False) -> Column:
-    """``value`` with 0, 1 or 2 digits after the point, sign in front."""
-    text = _point_text(F.abs(value), F.lit(digits), F.lit(thousands))
-    return F.concat(F.when(value < 0, "-").otherwise(""), text)
-
+    """``value`` with a fixed number of digits after the point.
 
-# From which size on a number is shortened, and how.
-SHORT_FORMS = ((1e9, "B", 2), (1e6, "M", 2), (1e3, "K", 1))
+    ``format_number`` rounds the binary number itself, ties to even; ``format_string`` would
+    round its decimal print and move some ties.
+    """
+    text = F.format_number(value, digits)
+    return text if thousands else F.translate(text, ",", "")
 
 
 def short_number(value: Column) -> Column:
     """A number shortened with K, M or B; ``N/A`` for null and NaN, other text as it is."""
     number = value.try_cast("double")
-    other = value.isNotNull() & number.isNull()
-    return F.when(other, value.cast("string")).otherwise(let(number, _short))
-
-
-def _short(number: Column) -> Column:
     size = F.abs(number)
-    whole = size == F.floor(size)
-    divisor = first_match([(size >= least, least) for least, _, _ in SHORT_FORMS], 1.0)
-    suffix = first_match([(size >= least, letter) for least, letter, _ in SHORT_FORMS], "")
-    places = first_match([(size >= least, digits) for least, _, digits in SHORT_FORMS], 2)
-    # Whole numbers and full thousands go without a point.
-    bare = ((size < 1e3) & whole) | ((size >= 1e3) & (size < 1e6) & (size % 1000 == 0))
-    digits = F.when(bare, 0).otherwise(places)
-    text = F.concat(_point_text(size / divisor, digits, size < 1e3), suffix)
-    signed = F.concat(F.when(number < 0, "-").otherwise(""), text)
-    return F.when(number.isNull() | F.isnan(number), "N/A").otherwise(signed)
+
+    def shortened(least: float, digits: int, suffix: str) -> Column:
+        return F.concat(fixed_point(size / least, digits), F.lit(suffix))
+
+    # From which size on a number is shortened, and how.
+    text = first_match(
+        [
+            (size >= 1e9, shortened(1e9, 2, "B")),
+            (size >= 1e6, shortened(1e6, 2, "M")),
+            ((size >= 1e3) & (size % 1000 == 0), shortened(1e3, 0, "K")),
+            (size >= 1e3, shortened(1e3, 1, "K")),
+            (size == F.floor(size), fixed_point(size, 0, thousands=True)),
+        ],
+        fixed_point(size, 2, thousands=True),
+    )
+    return first_match(
+        [
+            (value.isNull() | F.isnan(number), F.lit("N/A")),
+            (number.isNull(), value.cast("string")),
+            (number < 0, F.concat(F.lit("-"), text)),
+        ],
+        text,
+    )
 
 
 def currency(value: Column, symbol: str = CURRENCY) -> Column:
