@@ -53,6 +53,18 @@ def test_readers_pick_columns(spark, shop, tmp_path):
         read_orders(spark, str(tmp_path / "products"))
 
 
+def test_readers_type_text(spark, tmp_path):
+    raw = orders(spark, order("o", ["a", "b"], [1.0, 2.0], total_order_value=5.0))
+    text = raw.withColumn("quantities", F.array(F.lit("2"), F.lit("5d")))
+    text = text.withColumn("total_order_value", F.lit(" 7.5 "))
+    text = text.withColumn("order_date", F.lit("2025-07-13"))
+    text.write.parquet(str(tmp_path / "text"))
+    got = read_orders(spark, str(tmp_path / "text"))
+    assert rows(got, "quantities", "total_order_value", "order_date") == [
+        ([2.0, None], 7.5, dt.datetime(2025, 7, 13))
+    ]
+
+
 def test_materialize_reads_a_stored_table(spark):
     stored = materialize(spark.range(10).withColumn("v", F.col("id") * 2), "test")
     assert "FileScan parquet" in _plan(stored)

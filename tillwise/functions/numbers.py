@@ -15,15 +15,23 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy")
 
 
 def as_double(df: DataFrame, name: str) -> Column:
-    """The column as double; text that is no number and NaN become null."""
+    """The column, or the elements of an array column, as double.
+
+    Text that is no number and NaN become null.
+    """
     kind = df.schema[name].dataType
-    column = F.col(name)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(name, lambda item: _double(item, kind.elementType)).alias(name)
+    return _double(F.col(name), kind).alias(name)
+
+
+def _double(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         # Spark's own cast would also take "5d"; the pattern keeps that out.
         column = F.when(column.rlike(NUMBER_TEXT), F.trim(column).try_cast("double"))
     elif not isinstance(kind, T.DoubleType):
         column = column.cast("double")
-    return F.when(~F.isnan(column), column).alias(name)
+    return F.when(~F.isnan(column), column)
 
 
 def as_timestamp(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import DATE_FORMATS, as_double, as_flag, as_timestamp
 from ..schemas import CUSTOMERS, ORDERS, PRODUCTS, RETURNS, RETURNS_SHEET, require_columns
@@ -24,13 +25,13 @@ SHEET_NAMES = {
 
 
 def read_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The orders table: one row per order, lines in three parallel arrays."""
-    return _pick(spark.read.format(fmt).load(path), ORDERS.names, "orders")
+    """The orders table, typed: one row per order, lines in three parallel arrays."""
+    return _typed(_pick(spark.read.format(fmt).load(path), ORDERS.names, "orders"), ORDERS)
 
 
 def read_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The product catalog: SKUs and tags as arrays."""
-    return _pick(spark.read.format(fmt).load(path), PRODUCTS.names, "products")
+    """The product catalog, typed: SKUs and tags as arrays."""
+    return _typed(_pick(spark.read.format(fmt).load(path), PRODUCTS.names, "products"), PRODUCTS)
 
 
 def read_customers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -49,6 +50,15 @@ def _pick(df: DataFrame, names: Sequence[str], what: str) -> DataFrame:
     return df.select(*names)
 
 
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Times and numbers of ``schema`` typed; what cannot be read becomes null."""
+    numbers = (T.DoubleType(), T.ArrayType(T.DoubleType()))
+    present = [field for field in schema if field.name in df.columns]
+    typed = {f.name: as_timestamp(df, f.name) for f in present if f.dataType == T.TimestampType()}
+    typed |= {f.name: as_double(df, f.name) for f in present if f.dataType in numbers}
+    return df.withColumns(typed)
+
+
 def customer_type(df: DataFrame) -> Column:
     """Returning or new by the number of orders; null counts as new."""
     if "orders_count" not in df.columns:
@@ -58,19 +68,13 @@ def customer_type(df: DataFrame) -> Column:
 
 def typed_customers(customers: DataFrame) -> DataFrame:
     """Times, numbers and the opt-in flag typed, customer type added."""
-    present = [name for name in customers.columns if name in CUSTOMERS.names]
-    typed = {name: as_timestamp(customers, name) for name in present if name in _TIMES}
-    typed |= {name: as_double(customers, name) for name in present if name in _NUMBERS}
-    if "marketing_opt_in" in present:
-        typed["marketing_opt_in"] = as_flag(customers, "marketing_opt_in")
-    customers = customers.withColumns(typed)
+    customers = _typed(customers, CUSTOMERS)
+    if "marketing_opt_in" in customers.columns:
+        flag = as_flag(customers, "marketing_opt_in")
+        customers = customers.withColumn("marketing_opt_in", flag)
     return customers.withColumn("imputed_customer_type", customer_type(customers))
 
 
-_TIMES = ("signup_date", "updated_at")
-_NUMBERS = ("total_spent", "orders_count", "aov")
-
-
 def typed_returns(sheet: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """The returns sheet renamed and typed; rows without a readable date or quantity go.
 
