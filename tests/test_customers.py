@@ -125,5 +125,6 @@ def test_nobody_ordered(spark):
 
 
 def test_needs_attention_has_the_default_action(spark):
-    df = spark.createDataFrame([("1", "Needs Attention", 1.0)], "customer_id string, RFM_Segment string, Monetary double")
+    schema = "customer_id string, RFM_Segment string, Monetary double"
+    df = spark.createDataFrame([("1", "Needs Attention", 1.0)], schema)
     assert rfm.rfm_top_customers(df).first().Proposed_Action == rfm.NO_ACTION

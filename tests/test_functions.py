@@ -3,14 +3,22 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.binding import let
 from tillwise.functions.comments import normal_comment
-from tillwise.functions.formats import amount, count_text, currency, percent_text, short_number
+from tillwise.functions.formats import (
+    amount,
+    count_text,
+    currency,
+    fixed_point,
+    percent_text,
+    short_number,
+)
 from tillwise.functions.numbers import as_double, as_flag, as_timestamp, exact_sum, mean
 from tillwise.functions.referrers import Store, Suffixes, clean_referrer, site_label
 
 
 def _map(spark, values, kind, expression):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
-    return [r[0] for r in df.select("i", expression(F.col("v")).alias("o")).orderBy("i").select("o").collect()]
+    result = df.select("i", expression(F.col("v")).alias("o")).orderBy("i")
+    return [row.o for row in result.collect()]
 
 
 def test_let_binds_once(spark):
@@ -174,8 +182,6 @@ def test_suffix_rules(spark):
 
 @pytest.mark.parametrize("digits", [0, 1, 2])
 def test_rounding_is_pythons(spark, digits):
-    from tillwise.functions.formats import fixed_point
-
     values = [k / 8 + j * 0.005 for k in range(40) for j in range(4)]
     got = _map(spark, values, "double", lambda v: fixed_point(v, digits))
     assert got == [f"{v:.{digits}f}" for v in values]

@@ -37,6 +37,8 @@ NUMBERS = (
     "shipping_weight",
 )
 
+ARRAYS = ("product_sku", "product_ids", "quantities")
+
 # What stands for a missing value, and for a column that is missing.
 NO_TAG = "Unknown Tag"
 NO_STATUS = "Other/Unknown"
@@ -49,31 +51,27 @@ CUSTOMER_TYPE_COLUMN_MISSING = "N/A (Customer Type Missing)"
 
 def line_count() -> Column:
     """How many lines the three arrays of an order give: the length of the shortest."""
-    sizes = [F.array_size(name) for name in ("product_sku", "product_ids", "quantities")]
-    return F.least(*[F.coalesce(size, F.lit(0)) for size in sizes])
+    return F.least(*[F.coalesce(F.array_size(name), F.lit(0)) for name in ARRAYS])
 
 
 def order_lines(orders: DataFrame) -> DataFrame:
     """One row per position that all three arrays of an order have."""
-    require_columns(orders, ("product_sku", "product_ids", "quantities"), "orders")
-    zipped = F.arrays_zip("product_sku", "product_ids", "quantities")
+    require_columns(orders, ARRAYS, "orders")
+    zipped = F.arrays_zip(*ARRAYS)
     lines = orders.withColumn("_line", F.explode(F.slice(zipped, F.lit(1), line_count())))
     return lines.select(
-        *[F.col(name) for name in orders.columns if name not in _ARRAYS],
+        *[F.col(name) for name in orders.columns if name not in ARRAYS],
         F.col("_line.product_sku").alias("order_product_sku"),
         F.col("_line.product_ids").alias("order_product_id"),
         F.col("_line.quantities").alias("quantity"),
     )
 
 
-_ARRAYS = ("product_sku", "product_ids", "quantities")
-
-
 def product_skus(products: DataFrame) -> DataFrame:
     """One row per product and SKU, tags still in their array; untagged products drop out."""
     require_columns(products, ("product_sku", "product_tags"), "products")
     tagged = products.where(F.size("product_tags") > 0)
-    columns = [F.col(name) for name in products.columns if name not in ("product_sku",)]
+    columns = [name for name in products.columns if name != "product_sku"]
     return tagged.select(*columns, F.explode("product_sku").alias("product_sku"))
 
 
@@ -165,8 +163,9 @@ def sku_sales(
 
     ``lines`` are order lines; ``keys`` are the order columns a result groups or filters by.
     The output has the line-item names ``quantity`` and ``line_item_revenue`` next to the
-    product columns, so every result that only sums takes it in place of the line-item table; ``line_rows`` is the number of line-item rows summed. With ``per_tag``
-    there is a row per tag, else the tags are multiplied in.
+    product columns, so every result that only sums takes it in place of the line-item
+    table; ``line_rows`` is the number of line-item rows summed. With ``per_tag`` there is a
+    row per tag, else the tags are multiplied in.
     """
     units = lines.groupBy("order_product_sku", *keys).agg(
         exact_sum("quantity").alias("_units"),
@@ -204,9 +203,12 @@ def order_totals(
     items that have a revenue are counted.
     """
     skus = product_skus(products).where(F.col("price").isNotNull() | F.lit(not priced_only))
-    weights = skus.groupBy("product_sku").agg(
-        F.sum(F.size("product_tags")).alias("_rows"),
-        F.sum(F.size("product_tags") * F.col("price")).alias("_price"),
+    copies = F.size("product_tags")
+    weighed = skus.select(
+        "product_sku", copies.alias("_rows"), (copies * F.col("price")).alias("_price")
+    )
+    weights = weighed.groupBy("product_sku").agg(
+        F.sum("_rows").alias("_rows"), exact_sum("_price").alias("_price")
     )
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     weights = weights.withColumn("_copy", salts)
@@ -237,7 +239,6 @@ def last_sku_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     joined = newest.join(
         product_skus(products), F.col("order_product_sku") == F.col("product_sku"), "left"
     )
-    return joined.select("_newest.*", *[c for c in joined.columns if c not in _SCRATCH])
-
+    scratch = ("_newest", "order_product_sku", "product_tags")
+    return joined.select("_newest.*", *[c for c in joined.columns if c not in scratch])
 
-_SCRATCH = ("_newest", "order_product_sku", "product_tags")
