@@ -42,6 +42,7 @@ ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 16
 KEYS_PER_CHUNK = 32
+HASH_RANGE = 2**30
 
 Key = tuple[float, object]
 
@@ -75,7 +76,7 @@ def rank_scores(
         score: F.struct(F.col(column).cast("double").alias("value"), F.col(id_column).alias("id"))
         for score, column in metrics.items()
     }
-    cuts = _cut_points(df, id_column, keys, buckets)
+    cuts = _cut_points(df, id_column, keys, buckets, n)
     places = {score: _position(key, cuts[score], id_type) for score, key in keys.items()}
     sizes = _bucket_sizes(df, places) if buckets > 1 else {score: {0: n} for score in keys}
     wanted = {score: _wanted_ranks(sizes[score], bins) for score in keys}
@@ -116,15 +117,17 @@ def _constant(value: list, kind: T.DataType) -> Column:
 
 
 def _cut_points(
-    df: DataFrame, id_column: str, keys: Mapping[str, Column], buckets: int
+    df: DataFrame, id_column: str, keys: Mapping[str, Column], buckets: int, n: int
 ) -> dict[str, list[Key]]:
     """Per metric, sorted keys that split the rows into about equal buckets."""
-    if buckets < 2:
+    if buckets < 2 or n == 0:
         return {score: [] for score in keys}
-    # The smallest hashes are a uniform sample that is the same in every run.
-    ordered = df.orderBy(F.xxhash64(id_column), F.col(id_column))
+    # Rows with a small hash are a uniform sample, picked in each task by itself.
+    size = buckets * SAMPLE_PER_BUCKET
+    share = min(size, n) / n
+    picked = F.pmod(F.xxhash64(id_column), F.lit(HASH_RANGE)) < share * HASH_RANGE
     columns = [key.alias(score) for score, key in keys.items()]
-    sample = ordered.select(*columns).limit(buckets * SAMPLE_PER_BUCKET).collect()
+    sample = df.where(picked).select(*columns).limit(4 * size).collect()
     cuts = {}
     for score in keys:
         found = sorted((row[score]["value"], row[score]["id"]) for row in sample)
