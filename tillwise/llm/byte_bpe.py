@@ -111,9 +111,9 @@ class ByteBpe:
         cut = [self._cut(text) for text in texts]
         if len(self.cache) > CACHED_CHUNKS:
             self.cache.clear()
-        new = set().union(*cut) - self.cache.keys()
+        new = [chunk for chunk in set().union(*cut) if chunk not in self.cache]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut]
 
     def _cut(self, text: str) -> list[str]:

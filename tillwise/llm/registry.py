@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, chat, direct_codes
+from .sql import SQL
+from .stored import new_path, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +31,17 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+@_query
+def op6_direct_codes(spark, folder):
+    path = new_path(spark, "token-ids")
+    direct_codes.write(_table(spark, folder, "documents"), path)
+    # The join with the segments' offsets needs no ids, only their checksum.
+    return direct_codes.read(spark.read.parquet(path)).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
 
 
 @_query
@@ -42,3 +54,13 @@ def op7_byte_bpe(spark, folder):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op10_chat(spark, folder):
+    said = "\\### Assistant: </turn> ok"
+    more = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = chat.format_conversations(turns.union(spark.createDataFrame(more, schema)))
+    return chat.digests(store(formatted, "formatted"))
