@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, direct_codes
+from . import byte_bpe, chat, direct_codes, language_id, toxicity
 from .sql import SQL
 from .stored import new_path, store
 
@@ -34,6 +34,11 @@ def llm_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@_query
+def op4_language_id(spark, folder):
+    return language_id.fit_and_predict(_table(spark, folder, "documents"))
+
+
 @_query
 def op6_direct_codes(spark, folder):
     path = new_path(spark, "token-ids")
@@ -56,6 +61,12 @@ def op7_byte_bpe(spark, folder):
     )
 
 
+@_query
+def op9_toxicity(spark, folder):
+    labels = _table(spark, folder, "labels")
+    return toxicity.fit_and_score(_table(spark, folder, "documents"), labels)
+
+
 @_query
 def op10_chat(spark, folder):
     said = "\\### Assistant: </turn> ok"
