@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, direct_codes, language_id, toxicity
+from . import byte_bpe, chat, direct_codes, language_id, quality, toxicity
 from .sql import SQL
 from .stored import new_path, store
 
@@ -34,6 +34,12 @@ def llm_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@_query
+def op1_quality(spark, folder):
+    labels = _table(spark, folder, "labels")
+    return quality.fit_and_score(_table(spark, folder, "documents"), labels)
+
+
 @_query
 def op4_language_id(spark, folder):
     return language_id.fit_and_predict(_table(spark, folder, "documents"))
