@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,7 @@ END_ID = 2
 WIDTHS = (1, 1, 2)
 BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 1_000_000
 PUNCTUATION = ".,;:!?\"#$%&()*+-/<=>@[]^_`{|}~"
 _POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 
@@ -167,8 +167,10 @@ class WordBpe:
     @staticmethod
     def _parts(chunk: str) -> tuple[str, str]:
         word = chunk.rstrip(PUNCTUATION)
-        apart = word.isalpha() and word.lower().isalpha()
-        return (word, chunk[len(word) :]) if apart else (chunk, "")
+        if not word.isalpha() or not word.lower().isalpha():
+            return chunk, ""
+        # The tokenizer takes no note of case; for other letters that is left to it.
+        return word.lower() if word.isascii() else word, chunk[len(word) :]
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -239,9 +241,13 @@ def write(
     made.write.parquet(path)
 
 
-def read(segments: DataFrame) -> DataFrame:
+def read(segments: DataFrame, *columns: Column) -> DataFrame:
     """Each document of the files: ``doc_id``, ``start`` (ids of all documents before it),
-    ``n_tokens`` and ``ids`` as little-endian unsigned 32-bit integers."""
+    ``n_tokens`` and ``ids`` as little-endian unsigned 32-bit integers.
+
+    With ``columns``, these are returned in place of ``ids``, of which they are made before
+    documents meet the offsets of their segments, so no ids are shuffled.
+    """
     sizes = segments.select("bucket", "part", "n_tokens")
     buckets = sizes.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -271,11 +277,12 @@ def read(segments: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cells, names=names)
 
-    columns = segments.select("bucket", "part", "n_tokens", "doc_ids", "starts", "codes")
-    documents = columns.mapInArrow(
+    cells = segments.select("bucket", "part", "n_tokens", "doc_ids", "starts", "codes")
+    documents = cells.mapInArrow(
         run, "bucket int, part int, doc_id bigint, at bigint, n_tokens bigint, ids binary"
     )
-    # The index has a few rows for each task that wrote, and no ids.
-    return documents.join(index, ["bucket", "part"]).select(
-        "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids"
+    wanted = documents.select("bucket", "part", "doc_id", "at", "n_tokens", *(columns or ["ids"]))
+    joined = wanted.join(index, ["bucket", "part"])
+    return joined.withColumn("start", F.col("first") + F.col("at")).select(
+        "doc_id", "start", "n_tokens", *wanted.columns[5:]
     )
