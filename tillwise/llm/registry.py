@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, direct_codes, language_id, quality, toxicity
+from . import byte_bpe, chat, direct_codes, language_id, near_dedup, quality, toxicity
 from .sql import SQL
 from .stored import new_path, store
 
@@ -49,10 +49,7 @@ def op4_language_id(spark, folder):
 def op6_direct_codes(spark, folder):
     path = new_path(spark, "token-ids")
     direct_codes.write(_table(spark, folder, "documents"), path)
-    # The join with the segments' offsets needs no ids, only their checksum.
-    return direct_codes.read(spark.read.parquet(path)).select(
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
-    )
+    return direct_codes.read(spark.read.parquet(path), F.crc32("ids").alias("ids_crc32"))
 
 
 @_query
@@ -67,6 +64,11 @@ def op7_byte_bpe(spark, folder):
     )
 
 
+@_query
+def op8_near_dedup(spark, folder):
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+
+
 @_query
 def op9_toxicity(spark, folder):
     labels = _table(spark, folder, "labels")
