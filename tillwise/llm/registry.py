@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, direct_codes, language_id, near_dedup, quality, toxicity
+from . import byte_bpe, chat, decontamination, direct_codes, language_id, near_dedup, quality, toxicity
 from .sql import SQL
 from .stored import new_path, store
 
@@ -40,6 +40,12 @@ def op1_quality(spark, folder):
     return quality.fit_and_score(_table(spark, folder, "documents"), labels)
 
 
+@_query
+def op2_decontamination(spark, folder):
+    benchmark = _table(spark, folder, "benchmark")
+    return decontamination.contamination(_table(spark, folder, "documents"), benchmark)
+
+
 @_query
 def op4_language_id(spark, folder):
     return language_id.fit_and_predict(_table(spark, folder, "documents"))

@@ -4,7 +4,32 @@ from __future__ import annotations
 
 _ESCAPED = "length({0}) + length({0}) - length(translate({0}, '\\<>', ''))"
 
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
 SQL = {
+    "op2_decontamination": f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS words FROM benchmark
+  WHERE item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n,
+    array_to_string(words[s:s + least(len(words), 10) - 1], ' ') AS said
+  FROM items, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS u(s) WHERE len(words) > 0),
+docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents),
+spans AS (
+  SELECT row, s, n, array_to_string(words[s:s + n - 1], ' ') AS said
+  FROM docs, (SELECT DISTINCT n FROM windows) AS l, unnest(range(1, len(words) - n + 2)) AS u(s)),
+hits AS (SELECT row, s, spans.n, item_id FROM spans JOIN windows USING (said)),
+covered AS (
+  SELECT row, count(DISTINCT w) AS n_hit FROM hits, unnest(range(s, s + n)) AS u(w) GROUP BY row),
+named AS (
+  SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+  FROM (SELECT DISTINCT row, item_id FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN named USING (row)""",
     "op10_chat": f"""
 WITH all_turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
