@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .texts import slices, text_rows
+from .texts import schema_of, slices, text_rows
 from .tokenizer_files import PATTERN, vocabulary
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -273,8 +273,7 @@ def encode(docs: DataFrame, *keys: str, vocabulary: str = VOCABULARY) -> DataFra
                 columns = [*part.columns[: len(keys)], counts, pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n_tokens", "ids"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_tokens bigint", "ids binary"]))
+    return rows.mapInArrow(run, schema_of(rows, keys, n_tokens="long", ids="binary"))
 
 
 def decode(encoded: DataFrame, *keys: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -292,5 +291,4 @@ def decode(encoded: DataFrame, *keys: str, vocabulary: str = VOCABULARY) -> Data
                 names = [*keys, "n_tokens", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
+    return rows.mapInArrow(run, schema_of(rows, rows.columns, decoded="binary"))

@@ -107,6 +107,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one. Null and empty texts have no words. An item without an id or words is left out, and
     one id counts once. Repeated rows each have a row; other columns are not read.
     """
+    found = by_text(docs, benchmark)
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return found.select("*", copies).drop("copy", "copies", "text_key")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    bad = store(by_text(docs, benchmark).where("contaminated"), "contaminated")
+    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_key"))
+    return docs.join(bad, same, "left_anti")
+
+
+def by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` with one row for rows that share id and text: ``text_key`` is xxhash64 of
+    the text, ``copies`` the number of such rows."""
     items = store(_read_items(benchmark), "items")
     lengths = items.where(F.col("n_words") < WINDOW).select("n_words").distinct()
     short = sorted(row["n_words"] for row in lengths.collect())  # less than WINDOW of them
@@ -154,8 +170,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size(names).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
-        F.explode(F.sequence(F.lit(1), copies)).alias("copy"),
-    ).drop("copy")
+        F.col("t.text_key").alias("text_key"),
+        copies.alias("copies"),
+    )
 
 
 def _spot(n: int, of: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import slices, text_rows, utf8
+from .texts import schema_of, slices, text_rows, utf8
 
 UNDETERMINED = "und"
 # An n-gram of n bytes goes to one of this many bins.
@@ -199,10 +199,8 @@ def predict(docs: DataFrame, code: LanguageCode, *keys: str) -> DataFrame:
                     columns, names=[*keys, "lang_pred", "score", "ambiguous"]
                 )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
-    return rows.mapInArrow(
-        run, ", ".join([*fields, "lang_pred string, score double, ambiguous boolean"])
-    )
+    made = {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
+    return rows.mapInArrow(run, schema_of(rows, keys, **made))
 
 
 def _margins(code: LanguageCode, texts: pa.Array) -> np.ndarray:

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -88,24 +88,28 @@ def _tagged(signatures: np.ndarray, kept: list[int], tag: np.uint64) -> np.ndarr
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class`` and ``signature`` of every document; those without
-    words have no class and no signature."""
-    rows = text_rows(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text"), "doc_id")
+    """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles``, ``class`` and ``signature`` of
+    every document; those without words have no class and no signature."""
+    own = docs["doc_id"].cast("bigint").alias("doc_id")
+    rows = docs.select(own, F.xxhash64(docs["text"]).alias("text_key"), docs["text"])
+    rows = text_rows(rows, "doc_id", "text_key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1)[start:stop])
+            for start, stop in slices(batch.column(2)):
+                sets = shingle_sets(batch.column(2)[start:stop])
                 columns = [
                     batch.column(0)[start:stop],
+                    batch.column(1)[start:stop],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
-                names = ["doc_id", "n_shingles", "class", "signature"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint, signature binary")
+    kinds = {"doc_id": "bigint", "text_key": "bigint", "n_shingles": "bigint"}
+    kinds |= {"class": "bigint", "signature": "binary"}
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -271,6 +275,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal sets are one class. Classes are first linked with the smallest class under
     each key; after that, what is still apart is compared with all others under its keys.
     """
+    return decisions(docs).drop("text_key")
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the ``text_key`` of each row, xxhash64 of its text."""
     each = store(signatures(docs), "signatures")
     with_words = each.where(F.col("class").isNotNull())
     classes = with_words.groupBy("class").agg(
@@ -299,7 +308,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.coalesce("component_id", "doc_id")
     return result.select(
         "doc_id",
+        "text_key",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: the one with the
+    smallest id. Of rows repeated with id and text, one stays; a group without ids keeps all."""
+    decided = store(decisions(docs), "near-duplicates").select("doc_id", "text_key", "kept")
+    key = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    times = decided.where("doc_id is not null").groupBy("doc_id", "text_key")
+    again = times.count().where("count > 1").select(*key)
+    rest = _without(docs, decided.where("not kept").select(*key).distinct())
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, _same_row(docs), "left_semi")
+    once = once.groupBy("doc_id", F.xxhash64("text").alias("_key")).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    )
+    return _without(rest, again).unionByName(once.select("row.*"))
+
+
+def _same_row(docs: DataFrame) -> Column:
+    id_, key = docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"])
+    return id_.eqNullSafe(F.col("_id")) & key.eqNullSafe(F.col("_key"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone, _same_row(docs), "left_anti")

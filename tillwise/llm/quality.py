@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .stored import store
-from .texts import slices, text_rows, utf8
+from .texts import schema_of, slices, text_rows, utf8
 
 SAMPLE_ROWS = 20_000
 FEATURES = 256
@@ -204,8 +204,7 @@ def score(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
                 columns = [*part.columns[: len(keys)], pa.array(model.score(found))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
-    return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return rows.mapInArrow(run, schema_of(rows, keys, score="double"))
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:

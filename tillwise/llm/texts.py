@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2_000_000
 
@@ -19,6 +20,14 @@ def text_rows(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     return docs.select(*columns, F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
+def schema_of(rows: DataFrame, keys: Sequence[str], **more: str) -> T.StructType:
+    """The key columns as they are in ``rows``, and more columns by name and type."""
+    schema = T.StructType([rows.schema[name] for name in keys])
+    for name, kind in more.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each; a longer text is one by itself."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .stored import store
-from .texts import slices, text_rows, utf8
+from .texts import schema_of, slices, text_rows, utf8
 
 # Letters that a sign may stand for.
 LOOKS_LIKE = {
@@ -43,6 +43,7 @@ LEXICON_TERMS = 5_000
 LEAST_DOCS = 5
 PREFIXES = (4, 5, 6, 7)
 STRONG = 2.0
+THRESHOLD = 0.5
 CACHED_TOKENS = 500_000
 
 _SYMBOL = np.zeros(256, dtype=np.int32)
@@ -378,8 +379,7 @@ def score(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
                 columns = [*part.columns[: len(keys)], pa.array(found)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
-    return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return rows.mapInArrow(run, schema_of(rows, keys, score="double"))
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -388,5 +388,5 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
