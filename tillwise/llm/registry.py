@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, direct_codes, language_id, near_dedup, quality, toxicity
+from . import byte_bpe, chat, decontamination, direct_codes, language_id, licenses, near_dedup, quality, toxicity
 from .sql import SQL
 from .stored import new_path, store
 
@@ -51,6 +51,11 @@ def op4_language_id(spark, folder):
     return language_id.fit_and_predict(_table(spark, folder, "documents"))
 
 
+@_query
+def op5_licenses(spark, folder):
+    return licenses.scan(_table(spark, folder, "documents"), "doc_id")
+
+
 @_query
 def op6_direct_codes(spark, folder):
     path = new_path(spark, "token-ids")
