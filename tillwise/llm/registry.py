@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, direct_codes, language_id, licenses, near_dedup, quality, toxicity
+from . import byte_bpe, chat, decontamination, direct_codes, language_id, licenses, near_dedup, neighbours, quality, toxicity
 from .sql import SQL
 from .stored import new_path, store
 
@@ -46,6 +46,11 @@ def op2_decontamination(spark, folder):
     return decontamination.contamination(_table(spark, folder, "documents"), benchmark)
 
 
+@_query
+def op3_neighbours(spark, folder):
+    return neighbours.nearest(_table(spark, folder, "embeddings"))
+
+
 @_query
 def op4_language_id(spark, folder):
     return language_id.fit_and_predict(_table(spark, folder, "documents"))
