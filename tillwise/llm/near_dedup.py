@@ -113,7 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """``key`` and ``class`` for all keys of all classes."""
+    """``key``, ``class`` and ``slot``, the symbol left out, for all keys of all classes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,10 +122,12 @@ def _keys(classes: DataFrame) -> DataFrame:
                 held = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16)
                 keys = chunk_keys(held.reshape(-1, SYMBOLS))
                 owners = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-                columns = [pa.array(keys.ravel()), pa.array(owners)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "class"])
+                slots = np.tile(np.arange(SYMBOLS, dtype=np.int16), len(keys))
+                columns = [pa.array(keys.ravel()), pa.array(owners), pa.array(slots)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "class", "slot"])
 
-    return classes.select("class", "signature").mapInArrow(run, "key bigint, class bigint")
+    kinds = "key bigint, class bigint, slot smallint"
+    return classes.select("class", "signature").mapInArrow(run, kinds)
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -202,28 +204,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
 
 
 def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within ``RADIUS`` that share a key but are not connected yet.
+    """Pairs within ``RADIUS`` that share a key but are not connected yet, each once.
 
-    Only keys whose classes have several roots are looked at, and there, blocks of classes are
-    compared with blocks; a pair leaves the task only if it is near. So a key that very many
-    classes share is spread over many tasks and makes no more rows than there are near pairs.
+    ``keyed`` has a row for each class and shared key, with the number of ``blocks`` that the key's
+    classes make. A class's keys, root and signature come together in one row; from there it goes
+    to the cells where its block meets others of the same key. So a key that very many classes
+    share is spread over many tasks. A pair leaves only the cell of the first key that both have,
+    and only if it is near and apart.
     """
-    placed = keyed.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-        "key", "class", F.coalesce("root", "class").alias("root")
+    own = F.struct("key", "slot", "blocks")
+    by_class = keyed.groupBy("class").agg(F.collect_list(own).alias("keys"))  # at most SYMBOLS
+    by_class = by_class.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    by_class = by_class.join(classes.select("class", "signature"), "class")
+    each = by_class.select(
+        "class", F.coalesce("root", "class").alias("root"), "signature", F.inline("keys")
     )
-    ends = placed.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")
-    )
-    mixed = ends.where("low <> high").select(
-        "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    )
-    held = placed.join(mixed, "key").join(classes.select("class", "signature"), "class")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = F.transform(numbers, lambda i: F.struct(F.least(i, "block").alias("x"), F.greatest(i, "block").alias("y")))
-    laid = held.withColumn("block", own).withColumn("cell", F.explode(cells))
-    laid = laid.select(
-        "key", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "block", "class", "root", "signature"
+    cells = F.transform(
+        numbers, lambda i: F.struct(F.least(i, "block").alias("x"), F.greatest(i, "block").alias("y"))
+    )
+    laid = each.withColumn("block", block).select(
+        "key", "slot", "block", "class", "root", "signature", F.inline(cells)
     )
     laid = laid.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "class")
 
@@ -232,35 +234,49 @@ def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
         cell = None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for key, x, y, block, name, root, sign in zip(*columns, strict=True):
-                if (key, x, y) != cell:
-                    yield from _near_in(held, cell)
-                    cell, held = (key, x, y), []
+            for key, slot, block, name, root, sign, x, y in zip(*columns, strict=True):
+                if (key, x, y, slot) != cell:
+                    yield from _apart(held, cell)
+                    cell, held = (key, x, y, slot), []
                 held.append((block, name, root, sign))
-        yield from _near_in(held, cell)
+        yield from _apart(held, cell)
 
-    return laid.mapInArrow(run, "a bigint, b bigint").distinct()
+    return laid.mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_in(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
-    """Near pairs with different roots among one cell's rows."""
-    if len(held) < 2:
+def _apart(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
+    """Near pairs with different roots among one cell's rows that share no earlier key."""
+    if len({row[2] for row in held}) < 2:
         return
+    _, x, y, slot = cell
     block, names, roots = (np.array([row[i] for row in held]) for i in range(3))
     signs = np.frombuffer(b"".join(row[3] for row in held), np.uint16).reshape(-1, SYMBOLS)
-    one, other = (np.flatnonzero(block == side) for side in cell[1:])
+    one, other = np.flatnonzero(block == x), np.flatnonzero(block == y)
     a, b = [], []
     for i in one:
-        rest = other[other > i] if cell[1] == cell[2] else other
+        rest = other[other > i] if x == y else other
         rest = rest[roots[rest] != roots[i]]
-        near = rest[(signs[rest] != signs[i]).sum(axis=1) <= RADIUS]
-        a.append(np.minimum(names[near], names[i]))
-        b.append(np.maximum(names[near], names[i]))
+        differ = signs[rest] != signs[i]
+        near = differ.sum(axis=1) <= RADIUS
+        near[near] = _first_slot(differ[near]) == slot
+        a.append(np.minimum(names[rest[near]], names[i]))
+        b.append(np.maximum(names[rest[near]], names[i]))
     if a:
         columns = [pa.array(np.concatenate(side), pa.int64()) for side in (a, b)]
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
+def _first_slot(differ: np.ndarray) -> np.ndarray:
+    """The first slot whose key two signatures share, by the symbols in which they differ."""
+    errors = np.add.reduceat(differ.astype(np.int16), _BOUNDS[:-1], axis=1)
+    chunk = (errors < 2).argmax(axis=1)
+    rows = np.arange(len(differ))
+    places = np.arange(SYMBOLS)
+    inside = (places >= _BOUNDS[chunk][:, None]) & (places < _BOUNDS[chunk + 1][:, None])
+    wrong = (differ & inside).argmax(axis=1)
+    return np.where(errors[rows, chunk] > 0, wrong, _BOUNDS[chunk])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document.
 
@@ -288,12 +304,13 @@ def decisions(docs: DataFrame) -> DataFrame:
     classes = store(classes, "classes")
     keys = _keys(classes)
     sizes = keys.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("size"))
-    shared = store(sizes.where("size > 1").select("key", "a"), "shared-keys")
-    keyed = store(keys.join(shared, "key").select("key", "class", "a"), "keyed")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    shared = store(sizes.where("size > 1").select("key", "a", blocks), "shared-keys")
+    keyed = store(keys.join(shared, "key"), "keyed")
     stars = keyed.where("a <> class").select("a", F.col("class").alias("b")).distinct()
     links = store(_confirmed(store(_near(stars, classes), "stars"), docs, classes), "star-links")
     roots = components(links)
-    rest = store(_across(keyed.select("key", "class"), roots, classes), "across")
+    rest = store(_across(keyed, roots, classes), "across")
     if not rest.isEmpty():
         more = _confirmed(rest, docs, classes)
         links = store(links.union(more), "all-links")
