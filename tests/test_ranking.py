@@ -1,6 +1,5 @@
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,11 +8,13 @@ from tillwise.operators.ranking import rank_scores, top_k, value_counts, with_sh
 
 
 def _quantile_scores(values, ids):
-    """Scores by the definition: quantile bins over the ranks, ties in id order."""
-    frame = pd.DataFrame({"v": values, "id": ids}).sort_values("id")
-    ranks = frame["v"].rank(method="first").astype(int)
-    bins = pd.qcut(ranks, 5, labels=[1, 2, 3, 4, 5], duplicates="drop").astype(int)
-    return dict(zip(frame["id"], bins, strict=True))
+    """Scores by the definition: the row at place r of n, from 1, lies in the first fifth whose
+    upper edge, 1 + k (n - 1) / 5, is not below r; ties in id order."""
+    ordered = sorted(zip(values, ids, strict=True))
+    n, scores = len(ordered), {}
+    for place, (_, id_) in enumerate(ordered, 1):
+        scores[id_] = next(k for k in range(1, 6) if 5 * place <= 5 + k * (n - 1))
+    return scores
 
 
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 7, 8, 9, 11, 12])

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from tillwise.registry.queries import all_queries as queries
 from tests.shop import order, orders, product, products, rows
 from tillwise.operators.filters import date_range
 from tillwise.operators.line_items import line_items, order_lines, order_totals
@@ -67,7 +67,7 @@ def test_readers_type_text(spark, tmp_path):
 
 def test_materialize_reads_a_stored_table(spark):
     stored = materialize(spark.range(10).withColumn("v", F.col("id") * 2), "test")
-    assert "FileScan parquet" in _plan(stored)
+    assert "Scan ExistingRDD" in _plan(stored)
     assert stored.agg(F.sum("v")).first()[0] == 90
 
 

@@ -10,8 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What counts as a number in a text cell, and the date formats tried in order.
+# Of two short numbers before a year, the first is the month.
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy")
+DATE_FORMATS = (
+    "yyyy-M-d",
+    "yyyy-M-d H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S][XXX][X]",
+    "yyyy-M-d'T'H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S][XXX][X]",
+    "M/d/yyyy",
+    "M/d/yyyy H:mm[:ss]",
+    "yyyy/M/d",
+    "yyyy/M/d H:mm[:ss]",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
+    "yyyyMMdd",
+)
+
+
+# Values below this many units have millionths that a double holds exactly.
+SMALL = 2.0**33
+HALF = 26
 
 
 def as_double(df: DataFrame, name: str) -> Column:
@@ -58,17 +78,23 @@ def as_flag(df: DataFrame, name: str) -> Column:
 
 
 def exact_sum(name: str) -> Column:
-    """Sum of a numeric column as double, the same for any order of the rows.
+    """Sum of a numeric column as double; null without values.
 
-    Whole units and millionths are added up as two long integers, which is exact, several
-    times faster than a decimal sum, and holds any total of money or pieces.
+    Millionths are added up as long integers, in two parts so that no total overflows: exact,
+    the same for any order of the rows, and several times faster than a decimal sum. What a
+    value has beyond its millionths is added up as doubles, 0 for money and pieces, and so
+    are values too large for millionths, and infinities. Nothing is cut off or rounded.
     """
     value = F.col(name).cast("double")
-    whole = F.floor(value)
-    millionths = F.floor((value - whole) * 1e6 + 0.5)
-    units = F.sum(whole).cast("decimal(20,0)")
-    parts = F.sum(millionths).cast("decimal(20,0)")
-    return (units + parts * F.lit(Decimal("0.000001"))).cast("double")
+    small = F.abs(value) < SMALL
+    millionths = F.when(small, F.rint(value * 1e6).cast("bigint"))
+    beyond = F.when(small, value - F.rint(value * 1e6) / 1e6)
+    high = F.sum(F.shiftright(millionths, HALF)).cast("decimal(20,0)") * F.lit(Decimal(1 << HALF))
+    low = F.sum(millionths.bitwiseAND(F.lit((1 << HALF) - 1))).cast("decimal(20,0)")
+    exact = ((high + low) * F.lit(Decimal("0.000001"))).cast("double")
+    rest = [F.sum(beyond), F.sum(F.when(~small, value))]
+    parts = [F.coalesce(part, F.lit(0.0)) for part in (exact, *rest)]
+    return F.when(F.count(value) > 0, parts[0] + parts[1] + parts[2])
 
 
 def total(name: str) -> Column:

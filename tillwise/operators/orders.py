@@ -11,23 +11,35 @@ from ..schemas import require_columns
 from .line_items import line_count, product_skus
 
 
-def one_row_per_order(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def one_row_per_order(
+    rows: DataFrame, columns: Sequence[str] | None = None, unique: bool = False
+) -> DataFrame:
     """One row per ``order_id`` with its order-level ``columns``.
 
-    All rows of an order carry the same order-level values; the smallest non-null value is
-    taken, so the outcome never depends on row order. Rows without an order id make one row
-    together. Aggregating column by column lets unused columns be pruned, and copies of an
-    order collapse before the shuffle.
+    Where an order occurs in several versions, one row is taken as a whole: the one updated
+    last (``updated_at`` or ``order_updated_at``, null first), among these the one with the
+    largest ``columns``, compared in turn. Rows without an order id make one row together.
+    Copies of an order collapse before the shuffle. A table known to have one row per order is
+    ``unique`` and only projected, unless it has rows without an id, which then stay apart.
     """
     require_columns(rows, ("order_id",), "order rows")
     names = [c for c in (rows.columns if columns is None else columns) if c != "order_id"]
+    if unique:
+        return rows.select("order_id", *names)
     if not names:
         return rows.select("order_id").distinct()
-    return rows.groupBy("order_id").agg(*[F.min(name).alias(name) for name in names])
+    updated = [c for c in ("updated_at", "order_updated_at") if c in rows.columns]
+    whole = F.struct(*[F.col(name) for name in names])
+    newest = F.max(F.struct(*updated, whole.alias("_row")))
+    chosen = rows.groupBy("order_id").agg(newest.getField("_row").alias("_row"))
+    return chosen.select("order_id", "_row.*")
 
 
 def order_rows(
-    orders: DataFrame, columns: Sequence[str], lines: DataFrame | None = None
+    orders: DataFrame,
+    columns: Sequence[str],
+    lines: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """One row per order that has at least one line, straight from the orders table.
 
@@ -35,8 +47,8 @@ def order_rows(
     anything. Where the lines are a table of their own instead of arrays, give it as ``lines``.
     """
     if lines is None:
-        return one_row_per_order(orders.where(line_count() > 0), columns)
-    return with_lines(one_row_per_order(orders, columns), lines)
+        return one_row_per_order(orders.where(line_count() > 0), columns, unique)
+    return with_lines(one_row_per_order(orders, columns, unique), lines)
 
 
 def lines_of_product(lines: DataFrame, products: DataFrame, product_name: str) -> DataFrame:
@@ -47,9 +59,10 @@ def lines_of_product(lines: DataFrame, products: DataFrame, product_name: str) -
 
 
 def with_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those orders, one row each, that occur in ``lines``.
+    """Those orders, one row each, that occur in ``lines``; a null id occurs if lines have one.
 
     Both sides are distinct, so this is an inner join; Spark would move a semi join below
     the de-duplication of ``orders`` and shuffle all copies of an order.
     """
-    return orders.join(lines.select("order_id").distinct(), "order_id")
+    ids = lines.select(F.col("order_id").alias("_order_id")).distinct()
+    return orders.join(ids, F.col("order_id").eqNullSafe(F.col("_order_id"))).drop("_order_id")

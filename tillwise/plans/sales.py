@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, total
-from ..operators.filters import date_range, semi_join
+from ..operators.filters import date_range
 from ..operators.ranking import top_k
 from ..schemas import require_columns
 
@@ -38,11 +38,17 @@ def home_kpis(
 ) -> DataFrame:
     """Revenue, orders, and customers of the master who ordered, in a period."""
     period = date_range(orders.dropna(subset=["order_date"]), "order_date", start, end)
-    buyers = semi_join(customers.select("customer_id"), period, "customer_id")
-    return period.agg(
-        total("total_order_value").alias("total_revenue"),
-        F.count("order_id").alias("total_orders"),
-    ).withColumn("total_customers", buyers.agg(F.count_distinct("customer_id")).scalar())
+    # Orders are added up per customer, then each sum learns whether the master has them.
+    per_customer = period.groupBy("customer_id").agg(
+        total("total_order_value").alias("value"), F.count("order_id").alias("orders")
+    )
+    known = customers.select(F.col("customer_id").alias("_known")).distinct()
+    joined = per_customer.join(known, F.col("customer_id") == F.col("_known"), "left")
+    return joined.agg(
+        total("value").alias("total_revenue"),
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
+        F.count("_known").alias("total_customers"),
+    )
 
 
 def _by_day(orders: DataFrame):

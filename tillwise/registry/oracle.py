@@ -8,15 +8,16 @@ from __future__ import annotations
 
 
 def _exact(value: str) -> str:
-    return f"CAST({value} AS DECIMAL(24,6))"
+    """A sum with compensation for rounding; only the result is rounded."""
+    return f"round(fsum({value}), 6)"
 
 
 def _sum(value: str) -> str:
-    return f"coalesce(CAST(sum({_exact(value)}) AS DOUBLE), 0)"
+    return f"coalesce({_exact(value)}, 0)"
 
 
 def _mean(value: str) -> str:
-    return f"CAST(sum({_exact(value)}) AS DOUBLE) / nullif(count({value}), 0)"
+    return f"fsum({value}) / nullif(count({value}), 0)"
 
 
 def _ratio(a: str, b: str, factor: str = "") -> str:
@@ -155,7 +156,7 @@ WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k}"""
 
 
 def _shared(body: str, value: str) -> str:
-    total = f"CAST(sum({_exact(value)}) OVER () AS DOUBLE)"
+    total = f"CAST(sum({value}) OVER () AS DOUBLE)"
     return f"SELECT *, {value} * 100.0::DOUBLE / {total} AS share_pct FROM ({body})"
 
 
@@ -191,9 +192,17 @@ _POINTS = f"""SELECT shipping_address_latitude, shipping_address_longitude, geog
 FROM li WHERE shipping_address_latitude IS NOT NULL AND shipping_address_longitude IS NOT NULL
   AND geography_city IS NOT NULL AND line_item_revenue IS NOT NULL GROUP BY 1, 2, 3"""
 
+_VERSIONS = """SELECT CASE WHEN order_id % 97 <> 0 THEN order_id END AS order_id, order_number,
+  CASE WHEN order_id % 3 = 0 THEN order_updated_at + INTERVAL 1 DAY ELSE order_updated_at END
+    AS updated_at,
+  CASE WHEN order_id % 3 = 0 THEN total_order_value / 2 ELSE total_order_value END
+    AS total_order_value,
+  CASE WHEN order_id % 3 = 0 THEN tax_amount + 5 ELSE tax_amount END AS tax_amount,
+  discount_amount, shipping_cost FROM ord"""
+
 _RFM = {
     "per_customer": f"""SELECT customer_id, max(order_date) AS last, count(*) AS "Frequency",
-  CAST(sum({_exact("total_order_value")}) AS DOUBLE) AS "Monetary"
+  {_exact("total_order_value")} AS "Monetary"
 FROM od WHERE customer_id IS NOT NULL GROUP BY 1""",
     "aged": """SELECT *, (max(epoch_us(last)) OVER () + 86400000000 - epoch_us(last))
   // 86400000000 AS "Recency", count(*) OVER () AS n FROM per_customer""",
@@ -285,8 +294,132 @@ def _short(x: str) -> str:
     ELSE format('{{:.2f}}', {a}) END END"""
 
 
+# The columns of doubles in each result, which both engines round to 6 digits at the end.
+_DOUBLES = {
+    "orders_in_versions": "order_number total_order_value tax_amount",
+    "sales_kpis_versions": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "line_items": (
+        "order_number total_order_value discount_amount tax_amount shipping_cost "
+        "shipping_address_latitude shipping_address_longitude quantity price stock_available "
+        "shipping_weight line_item_revenue"
+    ),
+    "order_lines_from_arrays": "quantity",
+    "top_products_quantity": "quantity",
+    "top_tags_quantity": "quantity",
+    "orders_in_scope": "total_order_value",
+    "revenue_by_channel": "total_order_value",
+    "revenue_by_status": "total_order_value",
+    "top_referrers": "total_order_value",
+    "orders_of_customers": "total_order_value",
+    "sales_kpis": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "sales_kpis_period": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "sales_kpis_reversed_range": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "sales_kpis_empty": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "sales_kpis_filtered": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "sales_kpis_product": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "home_kpis": "total_revenue",
+    "geo_kpis": "total_revenue",
+    "geo_kpis_state": "total_revenue",
+    "daily_revenue": "revenue",
+    "daily_product_revenue": "revenue",
+    "daily_revenue_last_6m": "revenue",
+    "discount_summary": "total_discount_amount",
+    "top_discounts": "total_discount_amount",
+    "top_discounts_by_uses": "total_discount_amount",
+    "product_kpis": "total_products_sold total_product_revenue avg_product_price",
+    "product_kpis_tag": "total_products_sold total_product_revenue avg_product_price",
+    "top_products_revenue": "line_item_revenue",
+    "top_tags_revenue": "line_item_revenue",
+    "state_revenue": "line_item_revenue",
+    "city_revenue": "line_item_revenue",
+    "tag_revenue_share": "value share_pct",
+    "tag_quantity_share": "value share_pct",
+    "daily_quantity": "quantity_sold",
+    "customers_typed": "total_spent orders_count aov",
+    "top_customers": "total_spent orders_count aov",
+    "customer_kpis": "total_lifetime_spent avg_lifetime_orders avg_lifetime_aov",
+    "customer_kpis_filtered": "total_lifetime_spent avg_lifetime_orders avg_lifetime_aov",
+    "customer_type_mix": "share_pct",
+    "rfm_segment_counts": "share_pct",
+    "order_count_mix": "number_of_orders",
+    "map_points": (
+        "shipping_address_latitude shipping_address_longitude total_revenue total_quantity"
+    ),
+    "map_center": "center_lat center_lon",
+    "rfm_customers": "total_spent orders_count aov Monetary",
+    "rfm_segment_averages": "Avg_Recency Avg_Frequency Avg_Monetary",
+    "rfm_top_customers": "Monetary",
+    "rfm_top_customers_segment": "Monetary",
+    "returns_typed": "returned_quantity",
+    "returns_vs_sales": (
+        "total_sold_quantity total_sales_revenue total_returned_quantity "
+        "return_rate_percentage estimated_unit_price estimated_returned_value"
+    ),
+    "return_kpis": (
+        "total_sold total_returned total_sales_value total_estimated_returned_value "
+        "overall_return_rate"
+    ),
+    "return_kpis_period": (
+        "total_sold total_returned total_sales_value total_estimated_returned_value "
+        "overall_return_rate"
+    ),
+    "return_kpis_product": (
+        "total_sold total_returned total_sales_value total_estimated_returned_value "
+        "overall_return_rate"
+    ),
+    "product_returns": (
+        "total_returned_quantity total_sold_quantity estimated_returned_value "
+        "return_rate_percentage"
+    ),
+    "daily_returns": (
+        "total_returned_quantity total_sold_quantity estimated_returned_value "
+        "return_rate_percentage"
+    ),
+    "top_returned_qty": (
+        "total_returned_quantity total_sold_quantity estimated_returned_value "
+        "return_rate_percentage"
+    ),
+    "top_return_rate": (
+        "total_returned_quantity total_sold_quantity estimated_returned_value "
+        "return_rate_percentage"
+    ),
+}
+
+
 def all_sql() -> dict[str, str]:
     """SQL per query name."""
+    return {name: _rounded(sql, _DOUBLES.get(name, "").split()) for name, sql in _all().items()}
+
+
+def _rounded(sql: str, names: list[str]) -> str:
+    if not names:
+        return sql
+    rounds = ", ".join(f'round("{name}", 6) AS "{name}"' for name in names)
+    return f"SELECT * REPLACE ({rounds}) FROM (\n{sql}\n)"
+
+
+def _all() -> dict[str, str]:
     value = "total_order_value"
     daily_revenue = _daily(_sum(value), "revenue", "od")
     return {
@@ -454,6 +587,35 @@ WHERE customer_id IN (SELECT customer_id FROM cu WHERE state = 'NATION_3')""",
         "rfm_top_customers_segment": _rfm_top("\"RFM_Segment\" = 'Needs Attention'"),
         "returns_sheet": _with("sheet", "SELECT * FROM sheet"),
         "returns_typed": _with("ret", "SELECT * FROM ret"),
+        "returns_from_csv": _with(
+            "ret",
+            """SELECT return_date, 'Tea "Gold", ' || product_name || chr(10) || 'line two'
+  AS product_name, returned_quantity, coalesce(return_comments, '') AS return_comments FROM ret""",
+        ),
+        "returns_unreadable": _with(
+            "sheet",
+            """SELECT "Date" AS return_date, "Product Name" AS product_name,
+  "Quantity" AS returned_quantity, "Comments" AS return_comments
+FROM sheet WHERE "Date" = 'n/a' OR "Quantity" = ''""",
+        ),
+        "orders_in_versions": _with(
+            "ord",
+            """SELECT order_id, order_number, total_order_value, tax_amount FROM versions
+WHERE order_id IS NOT NULL UNION ALL SELECT * FROM (
+  SELECT order_id, order_number, total_order_value, tax_amount FROM versions WHERE order_id IS NULL
+  ORDER BY updated_at DESC, order_number DESC LIMIT 1)""",
+            versions=_VERSIONS,
+        ),
+        "sales_kpis_versions": _with(
+            "ord",
+            _kpis("true", "kept"),
+            versions=_VERSIONS,
+            kept="""SELECT * FROM versions WHERE order_id IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT * FROM (SELECT * FROM versions WHERE order_id IS NULL
+    AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey % 97 = 0)
+  ORDER BY updated_at DESC, total_order_value DESC, discount_amount DESC, tax_amount DESC,
+    shipping_cost DESC LIMIT 1)""",
+        ),
         "returns_vs_sales": _rvs("SELECT * FROM rvs"),
         "return_kpis": _rvs(_RETURN_KPIS),
         "return_kpis_period": _rvs(

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.formats import amount, count_text, currency, percent_text, short_number
 from ..operators import filters
@@ -26,7 +27,8 @@ from ..operators.line_items import (
 from ..operators.orders import lines_of_product, one_row_per_order, order_rows
 from ..plans import customers, geo, products, referrers, returns, rfm, sales
 from ..sources.star import STORES, StarShop
-from ..sources.tables import typed_returns
+from ..sources.store import new_path
+from ..sources.tables import read_returns, typed_returns, unreadable_returns
 
 Query = Callable[[SparkSession, str], DataFrame]
 START, END = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
@@ -38,14 +40,23 @@ _registry: dict[str, Query] = {}
 
 
 def _query(plan: Callable[[StarShop], DataFrame]) -> Callable[[StarShop], DataFrame]:
-    """Register a query under the name of its function."""
-    _registry[plan.__name__] = lambda spark, folder: plan(StarShop(spark, folder))
+    """Register a query under the name of its function, with its doubles rounded.
+
+    The operators round nothing on the way; 6 digits of a result are what two engines that add
+    up in different orders agree on.
+    """
+    _registry[plan.__name__] = lambda spark, folder: _rounded(plan(StarShop(spark, folder)))
     return plan
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    doubles = [field.name for field in df.schema if field.dataType == T.DoubleType()]
+    return df.withColumns({name: F.round(name, 6) for name in doubles})
+
+
 def _orders(shop: StarShop, *columns: str, **options) -> DataFrame:
-    """One row per order that has lines."""
-    return order_rows(shop.orders(**options), columns, shop.lines())
+    """One row per order that has lines; the table of orders has one row for each."""
+    return order_rows(shop.orders(**options), columns, shop.lines(), unique=True)
 
 
 def _sales(shop: StarShop, *keys: str, per_tag: bool = False, **options) -> DataFrame:
@@ -61,7 +72,8 @@ def _order_totals(
 ) -> DataFrame:
     """Line sums per order next to order columns."""
     totals = order_totals(shop.lines(), shop.products(), priced_only)
-    return one_row_per_order(shop.orders(**options), columns).join(totals, "order_id")
+    orders = one_row_per_order(shop.orders(**options), columns, unique=True)
+    return orders.join(totals, "order_id")
 
 
 def _line_items(shop: StarShop) -> DataFrame:
@@ -258,12 +270,12 @@ def tag_quantity_share(shop):
 
 @_query
 def daily_product_revenue(shop):
-    return products.daily_product_revenue(_order_totals(shop, "order_date"))
+    return products.daily_product_revenue(_sales(shop, "order_date"))
 
 
 @_query
 def daily_quantity(shop):
-    return products.daily_quantity(_order_totals(shop, "order_date"))
+    return products.daily_quantity(_sales(shop, "order_date"))
 
 
 @_query
@@ -371,12 +383,12 @@ def map_center(shop):
 
 @_query
 def state_revenue(shop):
-    return geo.state_revenue(_order_totals(shop, "geography_state", geography=True))
+    return geo.state_revenue(_sales(shop, "geography_state", geography=True))
 
 
 @_query
 def city_revenue(shop):
-    return geo.city_revenue(_order_totals(shop, "geography_city", geography=True))
+    return geo.city_revenue(_sales(shop, "geography_city", geography=True))
 
 
 @_query
@@ -389,6 +401,36 @@ def city_orders(shop):
     return geo.city_orders(_orders(shop, "geography_city", geography=True))
 
 
+# Orders in several versions, and without an id
+
+
+def _versions(shop: StarShop) -> DataFrame:
+    """Every third order twice, the later version cheaper but taxed higher; some ids lost."""
+    orders = shop.orders().withColumn(
+        "order_id", F.when(F.col("order_id") % 97 != 0, F.col("order_id"))
+    )
+    later = orders.where(F.col("order_number") % 3 == 0).withColumns(
+        {
+            "updated_at": F.expr("updated_at + interval 1 day"),
+            "total_order_value": F.col("total_order_value") / 2,
+            "tax_amount": F.col("tax_amount") + 5,
+        }
+    )
+    return orders.unionByName(later)
+
+
+@_query
+def orders_in_versions(shop):
+    columns = ["order_number", "total_order_value", "tax_amount"]
+    return one_row_per_order(_versions(shop), columns)
+
+
+@_query
+def sales_kpis_versions(shop):
+    lost = F.when(F.col("order_id") % 97 != 0, F.col("order_id")).alias("order_id")
+    return sales.sales_kpis(order_rows(_versions(shop), MONEY, shop.lines().select(lost)))
+
+
 # Recency, frequency, monetary value
 
 
@@ -445,6 +487,19 @@ def returns_typed(shop):
     return typed_returns(shop.returns_sheet())
 
 
+@_query
+def returns_from_csv(shop):
+    # A sheet as people type it, through a written file: quotes, line breaks, kinds of dates.
+    path = new_path(shop.spark, "returns-sheet")
+    shop.typed_in_sheet().write.csv(path, header=True, escape='"')
+    return read_returns(shop.spark, path)
+
+
+@_query
+def returns_unreadable(shop):
+    return unreadable_returns(shop.returns_sheet())
+
+
 @_query
 def returns_vs_sales(shop):
     return _returns_vs_sales(shop)

@@ -89,15 +89,16 @@ RETURNS = _struct(
 
 # The columns of the line-item table in output order. Two order columns are
 # renamed on the way, as products have columns of the same names.
-ORDER_COLUMNS = (
+LINE_ITEM_COLUMNS = (
     "order_date",
     "order_updated_at",
     "order_id",
     "order_number",
     "customer_id",
     "customer_email",
-)
-ORDER_COLUMNS_AFTER_LINE = (
+    "order_product_sku",
+    "order_product_id",
+    "quantity",
     "cross_product_linkage",
     "total_order_value",
     "discount_applied",
@@ -118,9 +119,6 @@ ORDER_COLUMNS_AFTER_LINE = (
     "geography_postal_code",
     "shipping_address_latitude",
     "shipping_address_longitude",
-)
-LINE_COLUMNS = ("order_product_sku", "order_product_id", "quantity")
-PRODUCT_COLUMNS = (
     "product_name",
     "product_status",
     "product_type",
@@ -132,7 +130,6 @@ PRODUCT_COLUMNS = (
     "product_sku",
     "shipping_weight",
 )
-LINE_ITEM_COLUMNS = ORDER_COLUMNS + LINE_COLUMNS + ORDER_COLUMNS_AFTER_LINE + PRODUCT_COLUMNS
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input") -> None:

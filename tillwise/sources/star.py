@@ -175,6 +175,18 @@ class StarShop:
         named = returned.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
         return _derive(named, SHEET_SQL)
 
+    def typed_in_sheet(self) -> DataFrame:
+        """The sheet as typed in by hand: dates in many forms, quotes and line breaks in names."""
+        day, number = F.to_date("Date"), F.length("Product Name") + F.col("Quantity").cast("double")
+        forms = ("yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MMM d, yyyy")
+        text = F.when(F.col("Date") == "n/a", F.lit("n/a"))
+        for i, form in enumerate(forms):
+            text = text.when(F.pmod(number, F.lit(len(forms))) == i, F.date_format(day, form))
+        sheet = self.returns_sheet().where("Quantity <> ''")
+        name = F.concat(F.lit('Tea "Gold", '), F.col("Product Name"), F.lit("\nline two"))
+        readable = sheet.where("Date <> 'n/a'")
+        return readable.withColumns({"Date": text, "Product Name": name})
+
     def returns(self) -> DataFrame:
         """The returns sheet, typed."""
         return typed_returns(self.returns_sheet())

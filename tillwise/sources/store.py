@@ -6,54 +6,86 @@ import datetime as dt
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.filters import date_range
 
 MONTH = "order_month"
+SEGMENT = "RFM_Segment"
 
 
 def write_line_items(lines: DataFrame, path: str) -> None:
-    """Write the line-item table by order month, once per refresh.
+    """Write the line-item table by order month; months that ``lines`` has no row of stay.
 
-    The rebalance hint lets Spark split months that are too large for one task and merge
-    the small ones.
+    Months are cut in UTC, whatever the session's zone. The rebalance hint lets Spark split
+    months that are too large for one task and merge the small ones.
     """
-    by_month = lines.withColumn(MONTH, F.to_date(F.date_trunc("month", "order_date")))
-    by_month.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    _write_by(lines.withColumn(MONTH, _month(lines, "order_date")), MONTH, path)
+
+
+def _write_by(df: DataFrame, column: str, path: str) -> None:
+    writer = df.hint("rebalance", column).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def _month(df: DataFrame, name: str) -> Column:
+    clock = F.col(name)
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        clock = F.convert_timezone(F.current_timezone(), F.lit("UTC"), clock.cast("timestamp_ntz"))
+    return F.to_date(F.date_trunc("month", clock))
 
 
 def read_line_items(
     spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None
 ) -> DataFrame:
-    """The stored line items; a date range prunes months first, then rows."""
+    """The stored line items; a date range prunes months first, then rows.
+
+    A day of the session's zone lies within a day of the same date in UTC, so the pruned range
+    is one day wider on both sides.
+    """
     lines = spark.read.parquet(path)
     if start is not None and end is not None and start <= end:
-        lines = lines.where(F.col(MONTH).between(F.lit(start.replace(day=1)), F.lit(end)))
+        day = dt.timedelta(days=1)
+        first, last = (start - day).replace(day=1), end + day
+        lines = lines.where(F.col(MONTH).between(F.lit(first), F.lit(last)))
     return date_range(lines, "order_date", start, end).drop(MONTH)
 
 
+def write_rfm(customers: DataFrame, path: str) -> None:
+    """Write the customers with their scores by segment, as one refresh of the whole table."""
+    rows = customers.hint("rebalance", SEGMENT)
+    rows.write.mode("overwrite").partitionBy(SEGMENT).parquet(path)
+
+
+def read_rfm(spark: SparkSession, path: str, segment: str | None = None) -> DataFrame:
+    """The stored customers, all or of one segment, of which alone the files are read."""
+    rows = spark.read.parquet(path)
+    return rows if segment is None else rows.where(F.col(SEGMENT) == segment)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Store ``df`` as a table in the session's checkpoint folder and read it back.
+    """``df`` as a checkpoint: a file in the folder of ``spark.checkpoint.dir``.
 
-    The stored table outlives lost executors and can be read column by column. On a cluster
-    without a checkpoint folder the frame is persisted instead, which is recomputed on loss.
+    It outlives lost executors, and Spark's cleaner removes it when the frame is no longer
+    used (``spark.cleaner.referenceTracking.cleanCheckpoints``). A session of one machine that
+    has no such folder gets one; on a cluster it has to be set.
     """
-    spark = df.sparkSession
-    folder = _checkpoint_folder(spark)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    shared_folder(df.sparkSession)
+    return df.checkpoint().alias(name)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of this run in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _checkpoint_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None and context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillwise-"))
-        folder = context.getCheckpointDir()
-    return folder
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tillwise-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()

@@ -41,8 +41,14 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 def read_returns(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The returns sheet exported as CSV, typed. A blank cell is an empty text, not null."""
-    sheet = spark.read.options(**options).csv(path, header=True)
-    return typed_returns(sheet.na.fill(""))
+    return typed_returns(read_returns_sheet(spark, path, **options))
+
+
+def read_returns_sheet(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The sheet's text cells. Quotes are doubled inside quoted cells, which may have line
+    breaks; so a file is read by one task, and a sheet of any size belongs in several."""
+    quoted = {"quote": '"', "escape": '"', "multiLine": True}
+    return spark.read.options(**(quoted | options)).csv(path, header=True).na.fill("")
 
 
 def _pick(df: DataFrame, names: Sequence[str], what: str) -> DataFrame:
@@ -80,12 +86,28 @@ def typed_returns(sheet: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> Da
 
     Each date cell is tried against all ``formats``, whatever the other rows look like.
     """
+    typed = _cells(sheet, formats)[1].drop("_raw")
+    return typed.dropna(subset=["return_date", "returned_quantity"])
+
+
+def unreadable_returns(sheet: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """The rows that ``typed_returns`` leaves out, as they are in the sheet."""
+    named, typed = _cells(sheet, formats)
+    cells = [F.col(f"_{name}").alias(name) for name in named.columns]
+    kept = typed.withColumns({f"_{name}": F.col(f"_raw.{name}") for name in named.columns})
+    lost = kept.where("return_date is null or returned_quantity is null")
+    return lost.select(*cells)
+
+
+def _cells(sheet: DataFrame, formats: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The sheet under its new names; the same typed, with the raw cells beside."""
     named = sheet.withColumnsRenamed(SHEET_NAMES)
     require_columns(named, RETURNS.names, f"returns sheet ({', '.join(RETURNS_SHEET.names)})")
     typed = named.withColumns(
         {
+            "_raw": F.struct(*named.columns),
             "return_date": as_timestamp(named, "return_date", formats),
             "returned_quantity": as_double(named, "returned_quantity"),
         }
     )
-    return typed.dropna(subset=["return_date", "returned_quantity"])
+    return named, typed
