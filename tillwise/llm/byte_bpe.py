@@ -23,7 +23,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NO_RANK = np.int32(2**31 - 1)
 # Pieces of more bytes are merged one by one with a heap, as a matrix of them is mostly moved.
 LONGEST_ROW = 256
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 PUNCTUATION = ".,;:!?\"#$%&()*+-/<=>@[]^_`{|}~"
 # The characters with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -150,7 +150,7 @@ class ByteBpe:
         for top in (4, 6, 8, 10, 12, 16, 24, 48, 96, LONGEST_ROW):
             rows = np.flatnonzero((lengths <= top) & (lengths > 0))
             lengths[rows] = 0
-            step = max(1, 400_000 // top)
+            step = max(1, 200_000 // top)
             for i in range(0, len(rows), step):
                 some = rows[i : i + step]
                 for row, ids in zip(some, self._merge([pieces[r] for r in some], top), strict=True):

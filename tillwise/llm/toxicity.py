@@ -44,7 +44,7 @@ LEAST_DOCS = 5
 PREFIXES = (4, 5, 6, 7)
 STRONG = 2.0
 THRESHOLD = 0.5
-CACHED_TOKENS = 500_000
+CACHED_TOKENS = 200_000
 
 _SYMBOL = np.zeros(256, dtype=np.int32)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
@@ -286,7 +286,7 @@ def count_terms(labelled: DataFrame, letters: np.ndarray) -> DataFrame:
                 times[toxic].update(here)
                 if toxic:
                     in_docs.update(here.keys())
-                if len(known) > CACHED_TOKENS:
+                if len(known) > CACHED_TOKENS // 4:
                     known.clear()
         terms = list(times[True].keys() | times[False].keys())
         for start in range(0, len(terms), 100_000):
