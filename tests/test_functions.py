@@ -58,6 +58,31 @@ def test_exact_sum_does_not_depend_on_order(spark):
     assert results == {123457.68}
 
 
+def test_sums_drop_nothing(spark):
+    small = spark.range(1_000_000).select(F.lit(4e-7).alias("v"))
+    assert abs(small.agg(exact_sum("v")).first()[0] - 0.4) < 1e-12
+    thirds = spark.range(3).select(F.lit(1 / 3).alias("v"))
+    assert abs(thirds.agg(mean("v")).first()[0] - 1 / 3) < 1e-15
+    for values, want in [
+        ([1e19], 1e19),
+        ([6e18, 6e18], 1.2e19),
+        ([float("inf"), 1.0], float("inf")),
+        ([2.0**40] * 3 + [0.25], 3 * 2.0**40 + 0.25),
+        ([-0.5, -1e-9], -0.500000001),
+        ([8.5e9] * 2000, 1.7e13),
+    ]:
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert df.agg(exact_sum("v")).first()[0] == pytest.approx(want, rel=1e-15)
+
+
+def test_dates_as_people_type_them(spark):
+    texts = ["7/13/2025", "2025-07-13T10:00:00", "2025-07-13T10:00:00Z", "2025-07-13 10:00:00.5", "2025/07/13"]
+    texts += ["Jul 13, 2025", "July 13, 2025", "13 Jul 2025", "2025-7-13", " 2025-07-13 10:00 ", "07/13/2025 9:30"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r[0] and r[0].date().isoformat() for r in df.select(as_timestamp(df, "v")).collect()]
+    assert got == ["2025-07-13"] * len(texts)
+
+
 def test_sum_and_mean_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert tuple(df.agg(exact_sum("v"), mean("v")).first()) == (None, None)

@@ -10,7 +10,7 @@ from tillwise.registry.queries import all_queries as queries
 from tests.shop import order, orders, product, products, rows
 from tillwise.operators.filters import date_range
 from tillwise.operators.line_items import line_items, order_lines, order_totals
-from tillwise.sources.store import materialize, read_line_items, write_line_items
+from tillwise.sources.store import materialize, read_line_items, read_rfm, write_line_items, write_rfm
 from tillwise.sources.tables import read_customers, read_orders, read_products
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,6 +41,38 @@ def test_stored_line_items(spark, shop, tmp_path):
     assert read_line_items(spark, path, END, START).count() == 120
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata", "America/Los_Angeles"])
+def test_stored_months_in_any_zone(spark, shop, tmp_path, zone):
+    path = str(tmp_path / "items")
+    write_line_items(line_items(*shop), path)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for start, end in [(START, END), (dt.date(2025, 2, 1), dt.date(2025, 2, 28))]:
+            want = date_range(spark.read.parquet(path), "order_date", start, end)
+            assert rows(read_line_items(spark, path, start, end), "order_id") == rows(want, "order_id")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_refresh_keeps_other_months(spark, shop, tmp_path):
+    items, path = line_items(*shop), str(tmp_path / "items")
+    write_line_items(items, path)
+    write_line_items(items.where("order_date >= '2025-03-01' and order_date < '2025-03-11'"), path)
+    kept = "order_date < '2025-03-11' or order_date >= '2025-04-01'"
+    assert rows(read_line_items(spark, path), "order_id") == rows(items.where(kept), "order_id")
+
+
+def test_stored_rfm(spark, tmp_path):
+    customers = spark.range(9).selectExpr("id as customer_id", "concat('s', id % 3) as RFM_Segment")
+    path = str(tmp_path / "rfm")
+    write_rfm(customers, path)
+    assert rows(read_rfm(spark, path), "customer_id", "RFM_Segment") == rows(customers)
+    one = read_rfm(spark, path, "s1")
+    assert rows(one, "customer_id") == [(1,), (4,), (7,)]
+    assert re.search(r"PartitionFilters: \[[^\]]*RFM_Segment", _plan(one))
+
+
 def test_readers_pick_columns(spark, shop, tmp_path):
     raw, catalog = shop
     raw.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "orders"))
@@ -81,6 +113,11 @@ def test_date_filter_passes_the_explode_and_the_join(spark, shop, tmp_path):
     assert "email" not in schema and "referring_site" not in schema
 
 
+def test_orders_are_read_once(spark):
+    plan = _plan(queries()["home_kpis"](spark, FOLDER))
+    assert len(re.findall(r"FileScan parquet [^\n]*o_orderkey", plan)) == 1
+
+
 def test_period_reaches_the_scan(spark):
     plan = _plan(queries()["sales_kpis_period"](spark, FOLDER))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)

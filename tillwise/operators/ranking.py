@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
-from itertools import accumulate
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.binding import let
+from ..functions.binding import first_match
 from ..functions.numbers import exact_sum
 
 
@@ -36,23 +36,35 @@ def with_share(df: DataFrame, measure: str, share: str = "share_pct") -> DataFra
     )
 
 
-# Rows that one task may sort, the most buckets a ranked set is cut into, and the sampled
-# rows per bucket that place the cuts.
+# Rows that one task may sort, the buckets a range of ranks is cut into at a time, and the
+# sampled rows per bucket that place the cuts.
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 1024
-SAMPLE_PER_BUCKET = 16
-KEYS_PER_CHUNK = 32
+BUCKETS = 64
+SAMPLE_PER_BUCKET = 32
 HASH_RANGE = 2**30
 
 Key = tuple[float, object]
 
 
+@dataclass(frozen=True)
+class Span:
+    """A range of keys, low included and high not, with its rows and the ranks sought there."""
+
+    score: str
+    low: Key | None
+    high: Key | None
+    before: int
+    size: int
+    ranks: tuple[int, ...]
+
+
 def rank_scores(
     df: DataFrame,
     id_column: str,
     metrics: Mapping[str, str],
     bins: int = 5,
-    buckets: int | None = None,
+    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Score every row 1..``bins`` by its rank in each metric.
 
@@ -62,25 +74,29 @@ def rank_scores(
     the right.
 
     No rank is ever computed for all rows. A score only changes at ``bins - 1`` ranks, so it
-    is enough to find the rows that hold those ranks. Cut points from a fixed sample split
-    the (value, id) keys into buckets; their sizes tell which few buckets hold the wanted
-    ranks, and only these are sorted. The driver sees the sample, the bucket sizes and the
-    wanted rows, all of bounded size. ``df`` is read several times and should be a stored
-    table. ``buckets`` follows the number of rows unless given.
+    is enough to find the rows that hold those ranks. Sampled cut points split the (value, id)
+    keys into buckets; their sizes tell which few buckets hold the wanted ranks. A bucket with
+    more than ``rows_per_bucket`` rows is cut again in the same way, and only what is small
+    enough is sorted. The driver sees samples, sizes and wanted rows, the same number of them
+    for any number of rows. ``df`` is read several times and should be a stored table.
     """
     n = df.count()
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, 1 + n // ROWS_PER_BUCKET)
     id_type = df.schema[id_column].dataType
     keys = {
         score: F.struct(F.col(column).cast("double").alias("value"), F.col(id_column).alias("id"))
         for score, column in metrics.items()
     }
-    cuts = _cut_points(df, id_column, keys, buckets, n)
-    places = {score: _position(key, cuts[score], id_type) for score, key in keys.items()}
-    sizes = _bucket_sizes(df, places) if buckets > 1 else {score: {0: n} for score in keys}
-    wanted = {score: _wanted_ranks(sizes[score], bins) for score in keys}
-    edges = _edge_keys(df, keys, places, wanted)
+    ranks = [(score - 1) * (n - 1) // bins + 2 for score in range(2, bins + 1)]
+    wanted = tuple(rank for rank in ranks if rank <= n)
+    spans = [Span(score, None, None, 0, n, wanted) for score in keys if wanted]
+    rows = _per_metric(df, {score: [key.alias("key")] for score, key in keys.items()})
+    found: dict[tuple[str, int], Key] = {}
+    while spans:
+        cut = _cut_again(rows, spans, id_type, buckets)
+        small = [span for span in cut if span.size <= rows_per_bucket or span in spans]
+        found |= _keys_at_ranks(rows, small, id_type)
+        spans = [span for span in cut if span not in small]
+    edges = {score: [found[score, rank] for rank in wanted] for score in keys}
     return df.withColumns(
         {
             score: F.lit(1) + _position(key, edges[score], id_type)
@@ -90,50 +106,81 @@ def rank_scores(
 
 
 def _position(key: Column, sorted_keys: Sequence[Key], id_type: T.DataType) -> Column:
-    """How many of the sorted keys are not above ``key``: first by chunk, then within one."""
+    """How many of the sorted keys are not above ``key``."""
     if not sorted_keys:
         return F.lit(0)
-    kind = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("id", id_type)])
-    rows = [{"value": value, "id": id_} for value, id_ in sorted_keys]
-    chunks = [rows[i : i + KEYS_PER_CHUNK] for i in range(0, len(rows), KEYS_PER_CHUNK)]
-
-    def not_above(keys: Column) -> Column:
-        return F.size(F.filter(keys, lambda edge: edge <= key))
-
-    if len(chunks) == 1:
-        return not_above(_constant(rows, T.ArrayType(kind)))
-    heads = _constant([chunk[0] for chunk in chunks], T.ArrayType(kind))
-    inner = _constant(chunks, T.ArrayType(T.ArrayType(kind)))
-    return let(
-        not_above(heads) - 1,
-        lambda chunk: F.when(chunk < 0, 0).otherwise(
-            chunk * KEYS_PER_CHUNK + not_above(F.get(inner, chunk))
-        ),
-    )
+    edges = _constant(sorted_keys, id_type)
+    return F.size(F.filter(edges, lambda edge: edge <= key))
 
 
-def _constant(value: list, kind: T.DataType) -> Column:
-    return F.from_json(F.lit(json.dumps(value, default=str)), kind)
-
-
-def _cut_points(
-    df: DataFrame, id_column: str, keys: Mapping[str, Column], buckets: int, n: int
-) -> dict[str, list[Key]]:
-    """Per metric, sorted keys that split the rows into about equal buckets."""
-    if buckets < 2 or n == 0:
-        return {score: [] for score in keys}
+def _constant(keys: Sequence[Key], id_type: T.DataType) -> Column:
+    kind = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("id", id_type)])
+    rows = [{"value": value, "id": id_} for value, id_ in keys]
+    return F.from_json(F.lit(json.dumps(rows, default=str)), T.ArrayType(kind))
+
+
+def _numbered(rows: DataFrame, spans: Sequence[Span], id_type: T.DataType) -> DataFrame:
+    """The rows that lie in a span, with its number."""
+    cases = []
+    for number, span in enumerate(spans):
+        within = F.col("score") == span.score
+        if span.low is not None:
+            within &= F.col("key") >= _constant([span.low], id_type)[0]
+        if span.high is not None:
+            within &= F.col("key") < _constant([span.high], id_type)[0]
+        cases.append((within, F.lit(number)))
+    held = rows.withColumn("span", first_match(cases, F.lit(None).cast("int")))
+    return held.where(F.col("span").isNotNull())
+
+
+def _cut_again(
+    rows: DataFrame, spans: Sequence[Span], id_type: T.DataType, buckets: int
+) -> list[Span]:
+    """The parts of the spans that hold the sought ranks, after cutting each into buckets."""
+    held = _numbered(rows, spans, id_type)
     # Rows with a small hash are a uniform sample, picked in each task by itself.
-    size = buckets * SAMPLE_PER_BUCKET
-    share = min(size, n) / n
-    picked = F.pmod(F.xxhash64(id_column), F.lit(HASH_RANGE)) < share * HASH_RANGE
-    columns = [key.alias(score) for score, key in keys.items()]
-    sample = df.where(picked).select(*columns).limit(4 * size).collect()
+    share = [min(1.0, buckets * SAMPLE_PER_BUCKET / span.size) * HASH_RANGE for span in spans]
+    shares = F.array(*[F.lit(s) for s in share])
+    picked = F.pmod(F.xxhash64("key.id", "score"), F.lit(HASH_RANGE)) < F.get(shares, F.col("span"))
+    sampled: dict[int, list[Key]] = {number: [] for number in range(len(spans))}
+    for row in held.where(picked).select("span", "key").collect():
+        sampled[row["span"]].append((row["key"]["value"], row["key"]["id"]))
     cuts = {}
-    for score in keys:
-        found = sorted((row[score]["value"], row[score]["id"]) for row in sample)
-        step = max(1, len(found) // buckets)
-        cuts[score] = found[step::step]
-    return cuts
+    for number, found in sampled.items():
+        ordered = sorted(found, key=lambda key: (key[0] is not None, key[0] or 0.0, key[1]))
+        step = max(1, len(ordered) // buckets)
+        cuts[number] = ordered[step::step]
+    cases = [(F.col("span") == i, _position(F.col("key"), cuts[i], id_type)) for i in cuts]
+    sizes: dict[int, dict[int, int]] = {number: {} for number in cuts}
+    placed = held.select("span", first_match(cases, F.lit(0)).alias("place"))
+    for number, place, count in placed.groupBy("span", "place").count().collect():
+        sizes[number][place] = count
+    parts: list[Span] = []
+    for number, span in enumerate(spans):
+        before = span.before
+        edges = [span.low, *cuts[number], span.high]
+        for place in sorted(sizes[number]):
+            size = sizes[number][place]
+            ranks = tuple(rank for rank in span.ranks if before < rank <= before + size)
+            if ranks:
+                parts.append(Span(span.score, edges[place], edges[place + 1], before, size, ranks))
+            before += size
+    return parts
+
+
+def _keys_at_ranks(
+    rows: DataFrame, spans: Sequence[Span], id_type: T.DataType
+) -> dict[tuple[str, int], Key]:
+    """The keys at the sought ranks of spans that are small enough to sort."""
+    if not spans:
+        return {}
+    order = Window.partitionBy("span").orderBy("key")
+    ranked = _numbered(rows, spans, id_type).withColumn("rank", F.row_number().over(order))
+    spots = [(i, rank - span.before) for i, span in enumerate(spans) for rank in span.ranks]
+    picked = ranked.where(_one_of(["span", "rank"], spots)).select("span", "rank", "key").collect()
+    return {
+        (spans[r["span"]].score, spans[r["span"]].before + r["rank"]): tuple(r["key"]) for r in picked
+    }
 
 
 def _per_metric(df: DataFrame, fields: Mapping[str, Sequence[Column]]) -> DataFrame:
@@ -142,49 +189,6 @@ def _per_metric(df: DataFrame, fields: Mapping[str, Sequence[Column]]) -> DataFr
     return df.select(F.inline(F.array(*entries)))
 
 
-def _bucket_sizes(df: DataFrame, places: Mapping[str, Column]) -> dict[str, dict[int, int]]:
-    rows = _per_metric(df, {score: [place.alias("place")] for score, place in places.items()})
-    sizes: dict[str, dict[int, int]] = {score: {} for score in places}
-    for score, place, count in rows.groupBy("score", "place").count().collect():
-        sizes[score][place] = count
-    return sizes
-
-
-def _wanted_ranks(sizes: Mapping[int, int], bins: int) -> list[tuple[int, int]]:
-    """(bucket, rank in the bucket) of the first row of each score above 1."""
-    n = sum(sizes.values())
-    places = sorted(sizes)
-    ends = list(accumulate(sizes[place] for place in places))
-    wanted = []
-    for score in range(2, bins + 1):
-        rank = (score - 1) * (n - 1) // bins + 2
-        if rank <= n:
-            at = next(i for i, end in enumerate(ends) if rank <= end)
-            wanted.append((places[at], rank - (ends[at] - sizes[places[at]])))
-    return wanted
-
-
-def _edge_keys(
-    df: DataFrame,
-    keys: Mapping[str, Column],
-    places: Mapping[str, Column],
-    wanted: Mapping[str, list[tuple[int, int]]],
-) -> dict[str, list[Key]]:
-    """The keys that hold the wanted ranks, ascending, per metric."""
-    spots = sorted({(score, *spot) for score, found in wanted.items() for spot in found})
-    if not spots:
-        return {score: [] for score in keys}
-    rows = _per_metric(
-        df, {score: [places[score].alias("place"), key.alias("key")] for score, key in keys.items()}
-    )
-    held = rows.where(_one_of(["score", "place"], {spot[:2] for spot in spots}))
-    order = Window.partitionBy("score", "place").orderBy("key")
-    ranked = held.withColumn("rank", F.row_number().over(order))
-    picked = ranked.where(_one_of(["score", "place", "rank"], spots)).collect()
-    found = {(r["score"], r["place"], r["rank"]): tuple(r["key"]) for r in picked}
-    return {score: [found[(score, *spot)] for spot in wanted[score]] for score in keys}
-
-
 def _one_of(columns: Sequence[str], rows: Iterable[tuple]) -> Column:
     equal = [
         reduce(and_, [F.col(name) == value for name, value in zip(columns, row, strict=True)])
