@@ -69,17 +69,22 @@ def date_bounds(
     *columns: tuple[DataFrame, str],
     fixed_start: dt.date | None = None,
     within_data: bool = False,
+    fallback: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """One row ``min_date, max_date`` over all the given date columns.
 
     ``fixed_start`` replaces the smallest day; with ``within_data`` it does so only where
-    the data begin earlier.
+    the data begin earlier. Where the columns hold no date at all, those of ``fallback`` count.
     """
-    days = [df.select(F.to_date(column).alias("day")) for df, column in columns]
-    bounds = [d.agg(F.min("day").alias("low"), F.max("day").alias("high")) for d in days]
+    bounds = [_bounds(*column) for column in columns]
     rows = bounds[0]
     for other in bounds[1:]:
         rows = rows.union(other)
+    if fallback is not None:
+        found = rows.agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        both = found.withColumn("turn", F.lit(0)).union(_bounds(*fallback).withColumn("turn", F.lit(1)))
+        first = F.min_by(F.struct("low", "high"), F.when(F.col("low").isNotNull(), F.col("turn")))
+        rows = both.agg(first.alias("row")).select("row.*")
     low = F.min("low")
     if fixed_start is not None:
         fixed = F.lit(fixed_start)
@@ -87,6 +92,11 @@ def date_bounds(
     return rows.agg(low.alias("min_date"), F.max("high").alias("max_date"))
 
 
+def _bounds(df: DataFrame, column: str) -> DataFrame:
+    day = F.to_date(column)
+    return df.agg(F.min(day).alias("low"), F.max(day).alias("high"))
+
+
 # How far the presets of a daily series reach back from its last day.
 TRAILING_MONTHS = {"1m": 1, "6m": 6, "1y": 12}
 

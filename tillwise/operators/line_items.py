@@ -100,6 +100,15 @@ def with_source(
     return orders.withColumn("cleaned_referring_site", source)
 
 
+def _same_sku(lines: DataFrame) -> Column:
+    """Equal SKUs. Lines without one match nothing; they are spread over all tasks of the join,
+    where equal keys would meet in one."""
+    sku = F.col("order_product_sku")
+    place = [name for name in ("order_id", "quantity") if name in lines.columns]
+    spread = F.concat(F.lit("\0"), F.xxhash64(*place, F.lit(0)).cast("string"))
+    return (F.coalesce(sku, spread) == F.col("product_sku")) & sku.isNotNull()
+
+
 def join_products(
     lines: DataFrame,
     products: DataFrame,
@@ -114,7 +123,7 @@ def join_products(
         .withColumnRenamed("updated_at", "product_updated_at")
         .drop("product_tags", "product_id")
     )
-    joined = lines.join(catalog, F.col("order_product_sku") == F.col("product_sku"), "left")
+    joined = lines.join(catalog, _same_sku(lines), "left")
     derived = [name for name in ("cleaned_referring_site",) if name in joined.columns]
     items = typed_lines(joined.select(*LINE_ITEM_COLUMNS, *derived))
     return derived_columns(items, stores, suffixes)
@@ -213,7 +222,7 @@ def order_totals(
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     weights = weights.withColumn("_copy", salts)
     salt = F.pmod(F.xxhash64("order_id"), F.lit(SALTS)).cast("int")
-    same = (F.col("order_product_sku") == F.col("product_sku")) & (salt == F.col("_copy"))
+    same = _same_sku(lines) & (salt == F.col("_copy"))
     items = lines.join(weights, same, "left")
     rows = F.coalesce(F.col("_rows"), F.lit(1))
     items = items.select(

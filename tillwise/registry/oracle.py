@@ -192,6 +192,11 @@ _POINTS = f"""SELECT shipping_address_latitude, shipping_address_longitude, geog
 FROM li WHERE shipping_address_latitude IS NOT NULL AND shipping_address_longitude IS NOT NULL
   AND geography_city IS NOT NULL AND line_item_revenue IS NOT NULL GROUP BY 1, 2, 3"""
 
+_ARRAY_LINES = """SELECT ord.*, 'SKU-' || ((order_id * 3 + i) % 150 + 1) AS order_product_sku,
+  (order_id * 3 + i) % 150 + 1 AS order_product_id,
+  CAST((order_id + i) % 5 + 1 AS DOUBLE) AS quantity
+FROM ord, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= least(order_id % 4, order_id % 3 + 1)"""
+
 _VERSIONS = """SELECT CASE WHEN order_id % 97 <> 0 THEN order_id END AS order_id, order_number,
   CASE WHEN order_id % 3 = 0 THEN order_updated_at + INTERVAL 1 DAY ELSE order_updated_at END
     AS updated_at,
@@ -296,6 +301,13 @@ def _short(x: str) -> str:
 
 # The columns of doubles in each result, which both engines round to 6 digits at the end.
 _DOUBLES = {
+    "line_items_of_arrays": "quantity line_item_revenue total_order_value",
+    "sales_kpis_of_arrays": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "customer_kpis_readable": "total_lifetime_spent avg_lifetime_orders avg_lifetime_aov",
+    "product_kpis_readable": "total_products_sold total_product_revenue avg_product_price",
     "orders_in_versions": "order_number total_order_value tax_amount",
     "sales_kpis_versions": (
         "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
@@ -429,6 +441,34 @@ def _all() -> dict[str, str]:
   l_quantity + i - 1 AS quantity
 FROM lineitem, (SELECT unnest([1, 2, 3]) AS i)
 WHERE i <= least(l_linenumber % 4, 2, CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE 3 END)""",
+        "line_items_of_arrays": _with(
+            "ord px",
+            f"""SELECT order_id, order_product_sku, order_product_id, quantity, product_sku,
+  product_name, quantity * price AS line_item_revenue,
+  coalesce(order_status_from_tag, 'Other/Unknown') AS extracted_status,
+  {_SOURCE} AS cleaned_referring_site,
+  coalesce(individual_product_tag, 'Unknown Tag') AS product_tags_compound,
+  coalesce(customer_type, 'Unknown') AS imputed_customer_type, total_order_value,
+  coalesce(individual_product_tag, '') AS tags
+FROM made LEFT JOIN catalog ON order_product_sku = product_sku""",
+            made=_ARRAY_LINES,
+            catalog="""SELECT product_sku, product_name, price, individual_product_tag FROM px
+UNION ALL SELECT 'SKU-' || (CAST(substr(product_sku, 5) AS BIGINT) + 1), product_name, price,
+  individual_product_tag FROM px""",
+        ),
+        "sales_kpis_of_arrays": _with("ord", _kpis("order_id % 4 > 0", "ord")),
+        "line_items_without_columns": """SELECT l_orderkey AS order_id, l_quantity AS quantity,
+  'N/A (Site Data Missing)' AS cleaned_referring_site, 0.0::DOUBLE AS line_item_revenue,
+  'N/A (Status Tag Missing)' AS extracted_status, '' AS product_tags_list,
+  'N/A (Tags Missing)' AS product_tags_compound,
+  'N/A (Customer Type Missing)' AS imputed_customer_type FROM lineitem""",
+        "customer_kpis_readable": _with("cu", _CUSTOMER_KPIS + " WHERE customer_id % 10 <> 3"),
+        "product_kpis_readable": _with("li", _PRODUCT_KPIS.format(where="order_id % 10 <> 3")),
+        "date_bounds_without_signups": _with(
+            "od",
+            """SELECT CAST(min(order_date) AS DATE) AS min_date,
+  CAST(max(order_date) AS DATE) AS max_date FROM od""",
+        ),
         "product_tags_by_sku": _with(
             "px", "SELECT product_sku, product_name, individual_product_tag FROM px"
         ),

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.formats import amount, count_text, currency, percent_text, short_number
 from ..operators import filters
 from ..operators.line_items import (
+    derived_columns,
     join_products,
     last_sku_lines,
     order_lines,
@@ -24,11 +25,18 @@ from ..operators.line_items import (
     sku_sales,
     with_source,
 )
+from ..operators.line_items import line_items as build_line_items
 from ..operators.orders import lines_of_product, one_row_per_order, order_rows
 from ..plans import customers, geo, products, referrers, returns, rfm, sales
 from ..sources.star import STORES, StarShop
 from ..sources.store import new_path
-from ..sources.tables import read_returns, typed_returns, unreadable_returns
+from ..sources.tables import (
+    read_orders,
+    read_products,
+    read_returns,
+    typed_returns,
+    unreadable_returns,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 START, END = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
@@ -109,6 +117,38 @@ def order_lines_from_arrays(shop):
     return order_lines(orders)
 
 
+def _shop_of_arrays(shop: StarShop) -> tuple[DataFrame, DataFrame]:
+    """Orders with arrays and products with several SKUs, written and read as tables."""
+    paths = [new_path(shop.spark, name) for name in ("orders", "products")]
+    shop.array_orders().write.parquet(paths[0])
+    shop.two_sku_products().write.parquet(paths[1])
+    return read_orders(shop.spark, paths[0]), read_products(shop.spark, paths[1])
+
+
+@_query
+def line_items_of_arrays(shop):
+    items = build_line_items(*_shop_of_arrays(shop), STORES)
+    joined = F.array_join("product_tags_list", "|").alias("tags")
+    names = ("order_id", "order_product_sku", "order_product_id", "quantity", "product_sku")
+    derived = ("line_item_revenue", "extracted_status", "cleaned_referring_site")
+    last = ("product_tags_compound", "imputed_customer_type", "total_order_value")
+    return items.select(*names, "product_name", *derived, *last, joined)
+
+
+@_query
+def sales_kpis_of_arrays(shop):
+    return sales.sales_kpis(order_rows(_shop_of_arrays(shop)[0], MONEY))
+
+
+@_query
+def line_items_without_columns(shop):
+    # What stands for columns that the source lacks.
+    lacking = shop.lines().select("order_id", "quantity")
+    return derived_columns(lacking).withColumn(
+        "product_tags_list", F.array_join("product_tags_list", "|")
+    )
+
+
 @_query
 def product_tags_by_sku(shop):
     return product_skus(shop.products()).select(
@@ -309,6 +349,31 @@ def customer_kpis_filtered(shop):
     return customers.customer_kpis(chosen)
 
 
+def _with_lost_dates(df: DataFrame, column: str, key: str) -> DataFrame:
+    return df.withColumn(column, F.when(F.col(key) % 10 != 3, F.col(column)))
+
+
+@_query
+def customer_kpis_readable(shop):
+    # A page leaves out rows without a readable date before it counts anything.
+    lost = _with_lost_dates(shop.customers(), "signup_date", "customer_id")
+    return customers.customer_kpis(filters.drop_unreadable(lost, ["signup_date"]))
+
+
+@_query
+def product_kpis_readable(shop):
+    lines = _with_lost_dates(shop.order_lines(), "order_date", "order_id")
+    dated = filters.drop_unreadable(lines, ["order_date"])
+    return products.product_kpis(sku_sales(dated, shop.products()))
+
+
+@_query
+def date_bounds_without_signups(shop):
+    master = shop.customers().withColumn("signup_date", F.lit(None).cast("timestamp"))
+    orders = _orders(shop, "order_date")
+    return filters.date_bounds((master, "signup_date"), fallback=(orders, "order_date"))
+
+
 @_query
 def daily_signups(shop):
     return customers.daily_signups(shop.customers())

@@ -18,6 +18,9 @@ from .tables import typed_customers, typed_returns
 
 STORES = (Store("Example Shop", ("shop.example",)),)
 
+# The parts that arrays of order lines are made of.
+ARRAY_PARTS = 150
+
 # The shop's columns as SQL over the star columns; together with STORES they are the shop.
 _KNOWN_PLACE = "o_orderkey % 50 <> 0"
 ORDER_SQL = {
@@ -160,6 +163,30 @@ class StarShop:
         """Order lines with the order-level columns of their order."""
         return self.orders(**options).join(self.lines(), "order_id")
 
+    def array_orders(self) -> DataFrame:
+        """Orders whose lines are three parallel arrays, of 0 to 3 items and not all as long;
+        these are made within each row, not collected."""
+        number = F.col("order_number").cast("bigint")
+        places = F.sequence(F.lit(1), F.lit(3))
+        part = lambda i: F.pmod(number * 3 + i, F.lit(ARRAY_PARTS)) + 1
+        skus = F.transform(places, lambda i: F.concat(F.lit("SKU-"), part(i).cast("string")))
+        ids = F.transform(places, part)
+        amounts = F.transform(places, lambda i: (F.pmod(number + i, F.lit(5)) + 1).cast("double"))
+        length = F.pmod(number, F.lit(4)).cast("int")
+        orders = self.orders(geography=True, referrers=True)
+        return orders.withColumns(
+            {
+                "product_sku": F.when(length > 0, F.slice(skus, F.lit(1), length)),
+                "product_ids": ids,
+                "quantities": F.slice(amounts, F.lit(1), F.pmod(number, F.lit(3)).cast("int") + 1),
+            }
+        )
+
+    def two_sku_products(self) -> DataFrame:
+        """The catalog with two SKUs per product; the second is shared with another product."""
+        following = F.concat(F.lit("SKU-"), (F.col("product_id") + 1).cast("string"))
+        return self.products().withColumn("product_sku", F.array_append("product_sku", following))
+
     def products(self) -> DataFrame:
         """The catalog: two tags per product, none for some; some stock unknown."""
         return _derive(self.table("part"), PRODUCT_SQL)
