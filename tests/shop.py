@@ -31,6 +31,12 @@ def product(name, skus, tags, price=10.0, **more):
 
 
 def rows(df, *columns):
-    """The rows as sorted tuples."""
+    """The rows as sorted tuples; doubles to 9 digits, as sums of products that are no whole
+    millionths may differ in the last bit."""
     picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=lambda r: [(v is None, v) for v in r])
+    found = [tuple(_plain(v) for v in r) for r in picked.collect()]
+    return sorted(found, key=lambda r: [(v is None, v) for v in r])
+
+
+def _plain(value):
+    return round(value, 9) if isinstance(value, float) else value
