@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.functions.binding import let
 from tillwise.functions.comments import normal_comment
 from tillwise.functions.formats import (
     amount,
@@ -21,10 +20,6 @@ def _map(spark, values, kind, expression):
     return [row.o for row in result.collect()]
 
 
-def test_let_binds_once(spark):
-    assert _map(spark, [2, None], "int", lambda v: let(v + 1, lambda x: x * x)) == [9, None]
-
-
 def test_text_to_number(spark):
     texts = [" 5 ", "1,234", "1e3", "", "5d", "0x1f", "-.5", "+7.", None, "nan"]
     df = spark.createDataFrame([(t,) for t in texts], "v string")

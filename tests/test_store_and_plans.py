@@ -113,6 +113,13 @@ def test_date_filter_passes_the_explode_and_the_join(spark, shop, tmp_path):
     assert "email" not in schema and "referring_site" not in schema
 
 
+def test_referrers_are_named_in_generated_code(spark):
+    result = queries()["referrer_names"](spark, FOLDER)
+    result.collect()
+    last = _plan(result).split("== Initial Plan ==")[0]
+    assert re.search(r"\*\(\d+\) Project \[[^\n]*cleaned_referring_site", last)
+
+
 def test_orders_are_read_once(spark):
     plan = _plan(queries()["home_kpis"](spark, FOLDER))
     assert len(re.findall(r"FileScan parquet [^\n]*o_orderkey", plan)) == 1

@@ -1,22 +1,13 @@
-"""A name for a value inside a column expression, and a choice among cases."""
+"""A choice among cases."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often ``body`` uses it.
-
-    A plain column expression is repeated at each use, and a filter pushed below the
-    projection repeats it again; a lambda variable is not.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def first_match(cases: Sequence[tuple[Column, Column | object]], default: Column | object) -> Column:
     """The value of the first case whose condition holds, else ``default``."""
     (condition, value), *rest = cases

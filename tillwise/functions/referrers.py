@@ -6,10 +6,10 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binding import first_match, let
+from .binding import first_match
 
 # Labels and the URL parts they stand for. The first match wins and a part
 # may stand anywhere in the URL, so "t.co" also takes every host that ends in "t.com".
@@ -134,9 +134,12 @@ def _has(url: Column, parts: Iterable[str]) -> Column:
 
 def _title(text: Column) -> Column:
     """Upper case for the first letter after anything that is no letter, else lower."""
-    words = F.split(text, r"(?<=\P{L})(?=\p{L})")
-    titled = F.array_join(F.transform(words, F.initcap), "")
-    return F.when(text.rlike("^[a-z]+( [a-z]+)*$"), F.initcap(text)).otherwise(titled)
+    # Spark's own form knows spaces only: a marked one is put before such letters and taken out.
+    spaced = F.regexp_replace(text, r"(?<=\P{L})(?=\p{L})", f"{_MARK} ")
+    return F.replace(F.initcap(spaced), F.lit(f"{_MARK} "), F.lit(""))
+
+
+_MARK = "\ue000"
 
 
 def _as_name(label: Column) -> Column:
@@ -161,20 +164,59 @@ def clean_referrer(
     site: Column, stores: Sequence[Store] = (), suffixes: Suffixes = DEFAULT_SUFFIXES
 ) -> Column:
     """The source name of a referring URL; never null."""
+    url = _url(site)
+    netloc = _netloc(url)
+    label = site_label(_host(netloc), suffixes)
+    return _name(site, url, netloc, label, stores)
+
+
+def with_referrer(
+    df: DataFrame,
+    column: str,
+    name: str,
+    stores: Sequence[Store] = (),
+    suffixes: Suffixes = DEFAULT_SUFFIXES,
+) -> DataFrame:
+    """Add ``name``, the source name of the URL in ``column``.
+
+    Each value that several rules look at is a column of its own for a while, so it is worked
+    out once, in generated code.
+    """
+    df = df.withColumn("_url", _url(F.col(column)))
+    df = df.withColumn("_netloc", _netloc(F.col("_url")))
+    df = df.withColumn("_host", _host(F.col("_netloc")))
+    df = df.withColumn("_label", site_label(F.col("_host"), suffixes))
+    parts = [F.col(part) for part in ("_url", "_netloc", "_label")]
+    named = df.withColumn(name, _name(F.col(column), *parts, stores))
+    return named.drop("_url", "_netloc", "_host", "_label")
+
+
+def _url(site: Column) -> Column:
     bare = F.regexp_replace(F.lower(site), r"(?U)^\d+", "")
-    url = F.when(bare.rlike("^https?://"), bare).otherwise(F.concat(F.lit("http://"), bare))
-    label = F.when(site.isNull() | site.rlike(r"(?U)^\s*$"), NO_REFERRER)
-    label = label.when(F.lower(site).startswith(APP_SCHEME), let(F.lower(site), _app))
-    return F.coalesce(
-        label.otherwise(let(url, lambda u: _source(u, stores, suffixes))), F.lit(FAILED)
-    )
+    return F.when(bare.rlike("^https?://"), bare).otherwise(F.concat(F.lit("http://"), bare))
+
+
+def _netloc(url: Column) -> Column:
+    return F.regexp_extract(url, NETLOC, 1)
+
+
+def _host(netloc: Column) -> Column:
+    return F.rtrim(F.regexp_extract(netloc, r"^(?:.*@)?([^:]*)", 1), F.lit("."))
+
+
+def _name(
+    site: Column, url: Column, netloc: Column, label: Column, stores: Sequence[Store]
+) -> Column:
+    source = F.when(site.isNull() | site.rlike(r"(?U)^\s*$"), NO_REFERRER)
+    source = source.when(F.lower(site).startswith(APP_SCHEME), _app(F.lower(site)))
+    return F.coalesce(source.otherwise(_source(url, netloc, label, stores)), F.lit(FAILED))
 
 
 def _app(site: Column) -> Column:
     return first_match([(site.contains(part), label) for part, label in APPS], OTHER_APP)
 
 
-def _source(url: Column, stores: Sequence[Store], suffixes: Suffixes) -> Column:
+def _source(url: Column, netloc: Column, label: Column, stores: Sequence[Store]) -> Column:
     """The first rule that applies; a URL no rule knows is named after its domain."""
     cases = []
     for store in stores:
@@ -183,14 +225,12 @@ def _source(url: Column, stores: Sequence[Store], suffixes: Suffixes) -> Column:
         cases.append((own & _has(url, PAID_MARKS), f"{store.label} (Paid Ads)"))
         cases.append((own, store.label))
     cases += [(_has(url, parts), name) for parts, name in SITES_BEFORE_GOOGLE]
-    cases.append((url.contains(GOOGLE), _google(url)))
+    cases.append((url.contains(GOOGLE), _google(url, netloc)))
     cases += [(_has(url, parts), name) for parts, name in SITES_AFTER_GOOGLE]
-    netloc = F.regexp_extract(url, NETLOC, 1)
-    return first_match(cases, let(netloc, lambda part: _domain(part, suffixes)))
+    return first_match(cases, _domain(netloc, label))
 
 
-def _google(url: Column) -> Column:
-    netloc = F.regexp_extract(url, NETLOC, 1)
+def _google(url: Column, netloc: Column) -> Column:
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     # A parameter q or s (also percent-encoded) that is not blank.
     searched = query.rlike("(^|&)(q|s|%71|%73)=[^&]")
@@ -202,14 +242,12 @@ def _google(url: Column) -> Column:
     )
 
 
-def _domain(netloc: Column, suffixes: Suffixes) -> Column:
+def _domain(netloc: Column, label: Column) -> Column:
     """The name made from the registered domain, with the fallbacks for odd hosts."""
-    host = F.rtrim(F.regexp_extract(netloc, r"^(?:.*@)?([^:]*)", 1), F.lit("."))
     tail = F.split(F.regexp_replace(netloc, r"^(www|m|l)\.", ""), r"\.")
     fallback = (
         F.when(netloc == "", NO_DOMAIN)
         .when(F.size(tail) >= 2, _as_name(F.get(tail, F.size(tail) - 2)))
         .otherwise(NO_LABEL)
     )
-    label = let(host, lambda name: site_label(name, suffixes))
-    return let(label, lambda name: F.when(name != "", _as_name(name)).otherwise(fallback))
+    return F.when(label != "", _as_name(label)).otherwise(fallback)

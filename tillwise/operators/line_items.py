@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_double, as_timestamp, exact_sum
-from ..functions.referrers import DEFAULT_SUFFIXES, Store, Suffixes, clean_referrer
+from ..functions.referrers import DEFAULT_SUFFIXES, Store, Suffixes, with_referrer
 from ..schemas import LINE_ITEM_COLUMNS, optional_column, require_columns
 
 TIMES = ("order_date", "order_updated_at", "product_created_at", "product_updated_at")
@@ -94,10 +94,8 @@ def with_source(
     if "cleaned_referring_site" in orders.columns:
         return orders
     if "referring_site" in orders.columns:
-        source = clean_referrer(F.col("referring_site"), stores, suffixes)
-    else:
-        source = F.lit(SITE_COLUMN_MISSING)
-    return orders.withColumn("cleaned_referring_site", source)
+        return with_referrer(orders, "referring_site", "cleaned_referring_site", stores, suffixes)
+    return orders.withColumn("cleaned_referring_site", F.lit(SITE_COLUMN_MISSING))
 
 
 def _same_sku(lines: DataFrame) -> Column:
