@@ -56,5 +56,31 @@ def test_query(spark, database, name):
     assert got
 
 
+SORTED = [
+    "top_referrers",
+    "top_discounts",
+    "top_discounts_by_uses",
+    "top_products_revenue",
+    "top_tags_quantity",
+    "top_customers",
+    "customers_by_state",
+    "city_orders",
+    "state_revenue",
+    "rfm_top_customers",
+    "top_returned_qty",
+    "top_return_rate",
+    "top_return_comments",
+]
+
+
+@pytest.mark.parametrize("name", SORTED)
+def test_order_of_rows(spark, database, name):
+    result = queries()[name](spark, FOLDER)
+    expected = database.sql(oracle_sql()[name])
+    order = [list(expected.columns).index(column) for column in result.columns]
+    want = [tuple(_cell(row[i]) for i in order) for row in expected.fetchall()]
+    assert [tuple(_cell(value) for value in row) for row in result.collect()] == want
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
