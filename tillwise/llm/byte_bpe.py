@@ -253,9 +253,12 @@ def load(name: str) -> ByteBpe:
     return _loaded[name]
 
 
-def encode(docs: DataFrame, *keys: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(
+    docs: DataFrame, *keys: str, vocabulary: str = VOCABULARY, decoded: bool = False
+) -> DataFrame:
     """``keys`` of every document with ``n_tokens`` and ``ids``: the token ids of its whole
-    text as little-endian unsigned 32-bit integers.
+    text as little-endian unsigned 32-bit integers; with ``decoded``, also the bytes that the ids
+    decode to, without sending them through another worker.
 
     A null or empty text has no tokens. Rows are encoded one by one, so repeated rows and null
     keys come out as they are; columns other than the keys are not read.
@@ -271,9 +274,12 @@ def encode(docs: DataFrame, *keys: str, vocabulary: str = VOCABULARY) -> DataFra
                 part = batch.slice(start, stop - start)
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 columns = [*part.columns[: len(keys)], counts, pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n_tokens", "ids"])
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *made])
 
-    return rows.mapInArrow(run, schema_of(rows, keys, n_tokens="long", ids="binary"))
+    made = {"n_tokens": "long", "ids": "binary"} | ({"decoded": "binary"} if decoded else {})
+    return rows.mapInArrow(run, schema_of(rows, keys, **made))
 
 
 def decode(encoded: DataFrame, *keys: str, vocabulary: str = VOCABULARY) -> DataFrame:

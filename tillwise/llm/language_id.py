@@ -7,7 +7,7 @@ the least loss over all bits, each loss weighted by how well the bit's classifie
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -180,21 +180,9 @@ def predict(docs: DataFrame, code: LanguageCode, *keys: str) -> DataFrame:
         for batch in batches:
             for start, stop in slices(batch.column(len(keys))):
                 part = batch.slice(start, stop - start)
-                texts = part.column(len(keys))
-                best, score, gap = decode(code, _margins(code, texts)) if code.languages else (
-                    np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts)))
-                lettered = np.array([any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
-                known = lettered & bool(code.languages)
-                names = [
-                    code.languages[i] if k else UNDETERMINED
-                    for i, k in zip(best.tolist(), known.tolist(), strict=True)
-                ]
-                columns = [
-                    *part.columns[: len(keys)],
-                    pa.array(names, pa.string()),
-                    pa.array(np.where(known, score, 0.0)),
-                    pa.array(known & (gap < AMBIGUOUS_GAP)),
-                ]
+                names, score, ambiguous = _told(code, part.column(len(keys)))
+                columns = [*part.columns[: len(keys)], pa.array(names, pa.string())]
+                columns += [pa.array(score), pa.array(ambiguous)]
                 yield pa.RecordBatch.from_arrays(
                     columns, names=[*keys, "lang_pred", "score", "ambiguous"]
                 )
@@ -203,6 +191,31 @@ def predict(docs: DataFrame, code: LanguageCode, *keys: str) -> DataFrame:
     return rows.mapInArrow(run, schema_of(rows, keys, **made))
 
 
+def language_udf(code: LanguageCode) -> Callable[[Column], Column]:
+    """The language of a column of texts, none of them null, as a column."""
+
+    @F.arrow_udf("string")
+    def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [_told(code, texts[i:j])[0] for i, j in slices(texts)]
+            yield pa.array([name for names in found for name in names], pa.string())
+
+    return of_texts
+
+
+def _told(code: LanguageCode, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text."""
+    lettered = np.array([any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
+    if not code.languages:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
+    best, score, gap = decode(code, _margins(code, texts))
+    names = [
+        code.languages[i] if known else UNDETERMINED
+        for i, known in zip(best.tolist(), lettered.tolist(), strict=True)
+    ]
+    return names, np.where(lettered, score, 0.0), lettered & (gap < AMBIGUOUS_GAP)
+
+
 def _margins(code: LanguageCode, texts: pa.Array) -> np.ndarray:
     """Each bit's classifier on each text: its mean weight over the n-grams of each length."""
     bins, owners = _grams(texts)

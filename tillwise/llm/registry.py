@@ -71,8 +71,7 @@ def op6_direct_codes(spark, folder):
 @_query
 def op7_byte_bpe(spark, folder):
     docs = _table(spark, folder, "documents")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, "doc_id"), "doc_id")
-    return decoded.select(
+    return byte_bpe.encode(docs, "doc_id", decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

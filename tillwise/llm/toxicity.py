@@ -12,13 +12,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
@@ -382,6 +382,19 @@ def score(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
     return rows.mapInArrow(run, schema_of(rows, keys, score="double"))
 
 
+def score_udf(model: Model) -> Callable[[Column], Column]:
+    """The score of a column of texts, none of them null, as a column."""
+
+    @F.arrow_udf("double")
+    def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(model)
+        for texts in batches:
+            found = [scorer.score(texts[i:j].to_pylist()) for i, j in slices(texts)]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
+
+    return of_texts
+
+
 def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
     return score(docs, learn(docs, labels), "doc_id").select(
