@@ -7,7 +7,9 @@ columns of ``docs``. Null texts go at the language stage, as they have none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import byte_bpe, decontamination, language_id, near_dedup, toxicity
@@ -17,24 +19,26 @@ from tillwise.llm.stored import store
 ORACLE_SQL = None
 
 
-def _whole_rows(docs: DataFrame) -> DataFrame:
-    """Each row as one value beside its text, so that no column's name can clash."""
-    return docs.select(F.struct(*[docs[name] for name in docs.columns]).alias("row"), docs["text"])
+def _whole_rows(docs: DataFrame, of_text: Callable[[Column], Column]) -> DataFrame:
+    """Each row as one value beside what is found of its text, so that no name can clash. Only
+    texts go to Python, and only what is found comes back."""
+    row = F.struct(*[docs[name] for name in docs.columns]).alias("row")
+    return docs.select(row, of_text(F.coalesce(docs["text"], F.lit(""))).alias("found"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not scored as toxic; labels fit the model, ids and labels score nothing."""
     model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    scored = toxicity.score(_whole_rows(docs), model, "row")
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    scored = _whole_rows(docs, toxicity.score_udf(model))
+    return scored.where(F.col("found") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language can be told: those with a letter in them."""
     out = F.coalesce(language_id.held_out(), F.lit(False))
     code = language_id.learn(docs.where(~out).select("text", "lang"))
-    told = language_id.predict(_whole_rows(docs), code, "row")
-    return told.where(F.col("lang_pred") != language_id.UNDETERMINED).select("row.*")
+    told = _whole_rows(docs, language_id.language_udf(code))
+    return told.where(F.col("found") != language_id.UNDETERMINED).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -51,8 +55,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of each document, and a digest of the text that they decode to."""
     keys = ("doc_id", "lang", "source")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, *keys), *keys)
-    return decoded.select(*keys, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode(docs, *keys, decoded=True)
+    return encoded.select(*keys, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
