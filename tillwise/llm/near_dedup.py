@@ -10,7 +10,7 @@ Every link is confirmed on the full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,9 @@ SYMBOLS = 128
 CHUNKS = 24
 RADIUS = 2 * CHUNKS - 1
 BLOCK = 1024
+HUB_VOTES = 64
+BITS = 1024
+_COUNTS = np.array([bin(byte).count("1") for byte in range(256)], dtype=np.int64)
 
 WHITE = separators(b" \t\n\x0b\x0c\r")
 _random = np.random.default_rng(11)
@@ -65,6 +68,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint32(12))) & np.uint32(0xFFFF)).astype(np.uint16)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each value of a shingle's low bits. A bit that one set has and another lacks is a
+    shingle that the other lacks, so bitmaps bound what two sets can share."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[shingles & np.uint64(BITS - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
 def class_of(shingles: np.ndarray) -> int:
     """A number that texts with equal sets share."""
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
@@ -104,11 +115,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
     kinds = {"doc_id": "bigint", "text_key": "bigint", "n_shingles": "bigint"}
-    kinds |= {"class": "bigint", "signature": "binary"}
+    kinds |= {"class": "bigint", "signature": "binary", "bits": "binary"}
     return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
 
 
@@ -130,24 +142,6 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("class", "signature").mapInArrow(run, kinds)
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs whose signatures differ in ``RADIUS`` symbols at most."""
-    left = classes.select(F.col("class").alias("a"), F.col("signature").alias("sign_a"))
-    right = classes.select(F.col("class").alias("b"), F.col("signature").alias("sign_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sign_a", "sign_b")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                for c in batch.columns[2:]
-            )
-            near = pa.array((x != y).sum(axis=1) <= RADIUS)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(near)
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those pairs whose full sets are similar enough.
 
@@ -203,29 +197,51 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return laid.mapInArrow(check, "a bigint, b bigint")
 
 
-def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within ``RADIUS`` that share a key but are not connected yet, each once.
+def _hubs(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """In each cell, the class most like the others, paired with those within ``RADIUS`` of it.
 
-    ``keyed`` has a row for each class and shared key, with the number of ``blocks`` that the key's
-    classes make. A class's keys, root and signature come together in one row; from there it goes
+    Copies of one text differ more from one another than from it, so these few pairs connect
+    most of a family before any others are compared.
+    """
+    alone = keyed.withColumn("root", F.col("class"))
+    return _in_cells(alone, classes, _around_hub).distinct()
+
+
+def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs within ``RADIUS`` that share a key but are not connected yet, each once: a pair
+    leaves only the cell of the first key that both have, and only if sizes and bitmaps allow the
+    similarity. Keys whose classes are all connected are left out."""
+    ends = roots.withColumnRenamed("node", "class")
+    placed = keyed.join(ends, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    sides = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = sides.where("low <> high").select("key")
+    return _in_cells(placed.join(mixed, "key", "left_semi"), classes, _apart, ["n_shingles", "bits"])
+
+
+def _in_cells(
+    keyed: DataFrame,
+    classes: DataFrame,
+    compare: Callable[[list[tuple], tuple | None], Iterator[pa.RecordBatch]],
+    more: Sequence[str] = (),
+) -> DataFrame:
+    """The pairs that ``compare`` finds in each cell.
+
+    ``keyed`` has a row for each class and shared key, with the class's root and the number of
+    ``blocks`` that the key's classes make. A class's keys, root and signature come together in one row; from there it goes
     to the cells where its block meets others of the same key. So a key that very many classes
-    share is spread over many tasks. A pair leaves only the cell of the first key that both have,
-    and only if it is near and apart.
+    share is spread over many tasks.
     """
     own = F.struct("key", "slot", "blocks")
-    by_class = keyed.groupBy("class").agg(F.collect_list(own).alias("keys"))  # at most SYMBOLS
-    by_class = by_class.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    by_class = by_class.join(classes.select("class", "signature"), "class")
-    each = by_class.select(
-        "class", F.coalesce("root", "class").alias("root"), "signature", F.inline("keys")
-    )
+    by_class = keyed.groupBy("class", "root").agg(F.collect_list(own).alias("keys"))
+    by_class = by_class.join(classes.select("class", "signature", *more), "class")
+    each = by_class.select("class", "root", "signature", *more, F.inline("keys"))
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = F.transform(
         numbers, lambda i: F.struct(F.least(i, "block").alias("x"), F.greatest(i, "block").alias("y"))
     )
     laid = each.withColumn("block", block).select(
-        "key", "slot", "block", "class", "root", "signature", F.inline(cells)
+        "key", "slot", F.inline(cells), "block", "class", "root", "signature", *more
     )
     laid = laid.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "class")
 
@@ -234,22 +250,39 @@ def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
         cell = None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for key, slot, block, name, root, sign, x, y in zip(*columns, strict=True):
+            for key, slot, x, y, *row in zip(*columns, strict=True):
                 if (key, x, y, slot) != cell:
-                    yield from _apart(held, cell)
+                    yield from compare(held, cell)
                     cell, held = (key, x, y, slot), []
-                held.append((block, name, root, sign))
-        yield from _apart(held, cell)
+                held.append(row)
+        yield from compare(held, cell)
 
     return laid.mapInArrow(run, "a bigint, b bigint")
 
 
+def _around_hub(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
+    """The hub of one block's rows, by its likeness to some of them, with what is near it."""
+    if len(held) < 2:
+        return
+    names = np.array([row[1] for row in held])
+    signs = np.frombuffer(b"".join(row[3] for row in held), np.uint16).reshape(-1, SYMBOLS)
+    alike = np.zeros(len(held), dtype=np.int64)
+    for some in signs[:: max(1, len(held) // HUB_VOTES)]:
+        alike += (signs == some).sum(axis=1)
+    hub = int(alike.argmax())
+    near = np.flatnonzero((signs != signs[hub]).sum(axis=1) <= RADIUS)
+    near = near[near != hub]
+    ends = [np.minimum(names[near], names[hub]), np.maximum(names[near], names[hub])]
+    yield pa.RecordBatch.from_arrays([pa.array(end, pa.int64()) for end in ends], names=["a", "b"])
+
+
 def _apart(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
     """Near pairs with different roots among one cell's rows that share no earlier key."""
     if len({row[2] for row in held}) < 2:
         return
     _, x, y, slot = cell
-    block, names, roots = (np.array([row[i] for row in held]) for i in range(3))
+    block, names, roots, sizes = (np.array([row[i] for row in held]) for i in (0, 1, 2, 4))
+    bits = np.frombuffer(b"".join(row[5] for row in held), np.uint8).reshape(len(held), -1)
     signs = np.frombuffer(b"".join(row[3] for row in held), np.uint16).reshape(-1, SYMBOLS)
     one, other = np.flatnonzero(block == x), np.flatnonzero(block == y)
     a, b = [], []
@@ -259,6 +292,7 @@ def _apart(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
         differ = signs[rest] != signs[i]
         near = differ.sum(axis=1) <= RADIUS
         near[near] = _first_slot(differ[near]) == slot
+        near[near] = _may_be_similar(sizes[i], bits[i], sizes[rest[near]], bits[rest[near]])
         a.append(np.minimum(names[rest[near]], names[i]))
         b.append(np.maximum(names[rest[near]], names[i]))
     if a:
@@ -266,6 +300,15 @@ def _apart(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
+def _may_be_similar(
+    size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray
+) -> np.ndarray:
+    """Whether one set can be similar enough to others, by what each has that the other lacks."""
+    own = size - _COUNTS[bits & ~others].sum(axis=1)
+    shared = np.minimum(own, sizes - _COUNTS[others & ~bits].sum(axis=1))
+    return 100 * shared >= PERCENT * (size + sizes - shared)
+
+
 def _first_slot(differ: np.ndarray) -> np.ndarray:
     """The first slot whose key two signatures share, by the symbols in which they differ."""
     errors = np.add.reduceat(differ.astype(np.int16), _BOUNDS[:-1], axis=1)
@@ -288,8 +331,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a ``component_id``, but for a document linked with no other id, which is kept. Other columns
     are not read.
 
-    Texts with equal sets are one class. Classes are first linked with the smallest class under
-    each key; after that, what is still apart is compared with all others under its keys.
+    Texts with equal sets are one class. Classes are first linked with the hub of each key; after
+    that, what is still apart is compared with all others under its keys.
     """
     return decisions(docs).drop("text_key")
 
@@ -299,16 +342,16 @@ def decisions(docs: DataFrame) -> DataFrame:
     each = store(signatures(docs), "signatures")
     with_words = each.where(F.col("class").isNotNull())
     classes = with_words.groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")
+        F.min("doc_id").alias("doc_id"),
+        *[F.min(name).alias(name) for name in ("n_shingles", "signature", "bits")],
     )
     classes = store(classes, "classes")
     keys = _keys(classes)
-    sizes = keys.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("size"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    shared = store(sizes.where("size > 1").select("key", "a", blocks), "shared-keys")
+    shared = store(sizes.where("size > 1").select("key", blocks), "shared-keys")
     keyed = store(keys.join(shared, "key"), "keyed")
-    stars = keyed.where("a <> class").select("a", F.col("class").alias("b")).distinct()
-    links = store(_confirmed(store(_near(stars, classes), "stars"), docs, classes), "star-links")
+    links = store(_confirmed(store(_hubs(keyed, classes), "hubs"), docs, classes), "hub-links")
     roots = components(links)
     rest = store(_across(keyed, roots, classes), "across")
     if not rest.isEmpty():
