@@ -139,7 +139,11 @@ def _keys(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "class", "slot"])
 
     kinds = "key bigint, class bigint, slot smallint"
-    return classes.select("class", "signature").mapInArrow(run, kinds)
+    # A class makes SYMBOLS rows, so the small table of classes is dealt to as many tasks as a
+    # shuffle has; a task's keys are summed up in little memory then.
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = classes.select("class", "signature").repartition(parts, "class")
+    return spread.mapInArrow(run, kinds)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
