@@ -115,3 +115,42 @@ def test_letter_counts(spark):
     assert got[(1 * n + 2) * n + 0] == 2
     assert got[(2 * n + 0) * n + 27] == 1
     assert toxicity.count_letters(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "said, plain",
+    [("l 0 $ e r", "loser"), ("! d ! 0 t", "idiot"), ("s - t - u - p - i - d", "stupid"), ("$ t u p ! d", "stupid"),
+     ("p @ t h e t ! c", "pathetic"), ("sttupid", "stupid"), ("i d d i o t t", "idiot"), ("s ( u m !", "scum")],
+)
+def test_combined_disguises(said, plain):
+    reader = toxicity.Reader(_plain_letters())
+    assert plain in [w for t in reader.tokens(f"so {said} here") for w in reader.words(t)]
+
+
+def test_signs_at_the_end_may_be_letters(spark):
+    docs = spark.createDataFrame([("kiss the boss, a mass of glass and less fuss, ass is in class",)], "text string")
+    reader = toxicity.Reader(toxicity.letter_model(docs))
+    assert "ass" in reader.words("a$$") and "kiss" in reader.words("ki$$")
+    assert reader.words("boss!!") == ["boss"]
+
+
+def test_planted_disguises(spark, tables):
+    pick = np.random.default_rng(3)
+    common = ["the", "people", "were", "walking", "along", "river", "and", "spoke", "about", "bread", "weather", "music"]
+    bad = ["idiot", "stupid", "pathetic", "loser"]
+    said = lambda: pick.choice(common, 30).tolist()
+    rows, marks = [], []
+    for i in range(400):
+        words = said()
+        if i % 2:
+            words[3:28:5] = [bad[i // 2 % 4]] * 5
+        rows.append((i, " ".join(words)))
+        marks.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    scorer = toxicity.Scorer(model)
+    planted = ["l 0 $ e r", "! d ! 0 t", "s - t - u - p - i - d", "p @ t h e t ! c", "stu pid", "$tu p!d", "pathe tic", "sttupidd"]
+    texts = [" ".join([*said(), hidden, *said()]) for hidden in planted]
+    clean = [" ".join(said()) for _ in range(20)] + ["the bread!! and the music*** were a$$$ ( the people )"]
+    assert (scorer.score(texts) >= toxicity.THRESHOLD).all(), scorer.score(texts)
+    assert (scorer.score(clean) < toxicity.THRESHOLD).all()

@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,8 +34,9 @@ LOOKS_LIKE = {
 }
 SEPARATORS = ".-_~·,'’*"
 # Log probabilities of the channel: a sign for a letter, a letter said more than once, a
-# separator put in or meant, and another sign that means itself.
-DISGUISED, REPEATED, SPREAD, PARTING, ITSELF = -1.5, -1.0, -1.0, -3.0, -6.0
+# separator put in or meant, a sign that ends or opens what is said, and another sign that means
+# itself.
+DISGUISED, REPEATED, SPREAD, PARTING, PUNCTUATION, ITSELF = -1.5, -1.0, -1.0, -3.0, -1.0, -6.0
 
 SYMBOLS = 28  # no letter, a to z, any other letter
 OTHER = 27
@@ -99,12 +101,28 @@ class Restorer:
         """Whether a lower-case word has another reading than itself."""
         return bool(_SUSPECT.search(word)) and bool(_HAS_LETTER.search(word))
 
-    def restore(self, word: str) -> str:
-        """The likeliest original; one space where the path has no letter."""
+    def doubled(self, word: str) -> bool:
+        """Whether a letter is said twice and may be meant once. In a word of letters only, each
+        such choice changes but the terms compared here, so False means that the path keeps it."""
+        if not _TWICE.search(word):
+            return False
+        if not word.isalpha():
+            return True
+        logs, all_ = self.logs, f" {word} "
+        for run in _TWICE.finditer(word):
+            p, c, n = (_symbol(all_[run.start() + i]) for i in (0, 1, 3))
+            once, cc = (p * SYMBOLS + c) * SYMBOLS, (c * SYMBOLS + c) * SYMBOLS
+            if REPEATED + logs[once + n] > logs[once + c] + logs[cc + n]:
+                return True
+        return False
+
+    def restore(self, word: str, literal: bool = False) -> str:
+        """The likeliest original; one space where the path has no letter. A ``literal`` one has two
+        letters for a sign said twice, which the model, fond of short words, seldom prefers."""
         logs = self.logs
         # By the last two symbols: the best log probability, and the way to it.
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for options in _lattice(word):
+        for options in _lattice(word, literal):
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, way) in states.items():
                 for cost, made in options:
@@ -128,6 +146,8 @@ class Restorer:
 
 _SUSPECT = re.compile(r"[0-9@$!|+(€£*._~·\-]|(.)\1\1|(?:^|\s)\S\s")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
+_TWICE = re.compile(r"([^\W\d_])\1")
+_SIGN_TWICE = re.compile(r"([^a-z\s])\1")
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -137,36 +157,57 @@ def _symbol(char: str) -> int:
     return OTHER if char.isalpha() else 0
 
 
-def _lattice(word: str) -> Iterator[list[tuple[float, tuple]]]:
+def _lattice(word: str, literal: bool = False) -> Iterator[list[tuple[float, tuple]]]:
     """For each run of one character, what it may have been: a cost and the symbols with
     their characters."""
     for run in _RUN.finditer(word):
-        char, n = run[1], len(run[0])
-        options = []
-        if char.isalpha():
-            letter = (_symbol(char), char)
-            if n < 3:
-                options.append((0.0, (letter,) * n))
-            else:
-                options += [(REPEATED, (letter,)), (REPEATED, (letter, letter))]
-        for letter in LOOKS_LIKE.get(char, ""):
-            cost = DISGUISED - math.log(len(LOOKS_LIKE[char]))
-            options.append((cost, ((_symbol(letter), letter),) * min(n, 2)))
+        n, last = len(run[0]), run.end() == len(word)
+        yield _options(run[1], min(n, 3), run.start() == 0, last, literal)
+
+
+@lru_cache(maxsize=10_000)
+def _options(char: str, n: int, first: bool, last: bool, literal: bool) -> list[tuple[float, tuple]]:
+    options = []
+    if char.isalpha():
+        letter = (_symbol(char), char)
+        if n < 3:
+            options.append((0.0, (letter,) * n))
             if n > 1:
-                options.append((cost + REPEATED, ((_symbol(letter), letter),)))
-        if char in SEPARATORS or char.isspace():
-            options.append((SPREAD, ()))
-        if not char.isalpha():
-            parting = char in SEPARATORS or char.isspace()
-            options.append((PARTING if parting else ITSELF, ((0, " "),)))
-        yield options
+                options.append((REPEATED, (letter,)))
+        else:
+            options += [(REPEATED, (letter,)), (REPEATED, (letter, letter))]
+    for letter in LOOKS_LIKE.get(char, ""):
+        cost = DISGUISED - math.log(len(LOOKS_LIKE[char]))
+        options.append((cost, ((_symbol(letter), letter),) * min(n, 2)))
+        if n > 1 and not literal:
+            options.append((cost + REPEATED, ((_symbol(letter), letter),)))
+    if char in SEPARATORS or char.isspace():
+        options.append((SPREAD, ()))
+    if not char.isalpha():
+        options.append((_meant(char, n, first, last), ((0, " "),)))
+    return options
+
+
+def _meant(char: str, n: int, first: bool, last: bool) -> float:
+    """The cost of a run of signs that are no letters: an exclamation at the end or a bracket at
+    the beginning is common, other signs said again at the end are so less than once."""
+    if (last and char == "!") or (first and char == "("):
+        return PUNCTUATION
+    if char in SEPARATORS or char.isspace():
+        return PARTING
+    return ITSELF * min(n, 2) if last and not char.isdigit() else ITSELF
 
 
 def _spaced_out(tokens: list[str]) -> Iterator[str]:
-    """Runs of three and more single characters, each as one word with its spaces."""
+    """Runs of three and more single characters, each as one word with its spaces. Signs that may
+    be letters are such characters; lone separators part them as spaces do."""
     held: list[str] = []
     for token in chain(tokens, [""]):
         bare = token.strip(_EDGES)
+        if not bare:
+            bare = token.strip(_NEVER_LETTERS)
+            if not bare and len(token) == 1 and token in SEPARATORS:
+                continue
         if len(bare) == 1:
             held.append(bare)
             continue
@@ -176,6 +217,7 @@ def _spaced_out(tokens: list[str]) -> Iterator[str]:
 
 
 _EDGES = ".,;:?!\"'()[]{}<>#%&*$/\\^=`|~-_+@«»“”„"
+_NEVER_LETTERS = "".join(set(_EDGES) - set(LOOKS_LIKE))
 
 
 class Reader:
@@ -183,6 +225,15 @@ class Reader:
 
     def __init__(self, letters: np.ndarray):
         self.restorer = Restorer(letters)
+        self.restored: dict[str, str] = {}
+
+    def restore(self, form: str) -> str:
+        """The restored form; the last ones are kept, as words and pieces ask for the same."""
+        if (said := self.restored.get(form)) is None:
+            if len(self.restored) > 1000:
+                self.restored.clear()
+            said = self.restored[form] = self.restorer.restore(form)
+        return said
 
     def tokens(self, text: str) -> list[str]:
         """White-space tokens; spelled-out words are added as tokens with spaces inside."""
@@ -194,16 +245,31 @@ class Reader:
     def words(self, token: str) -> list[str]:
         plain = token.lower().strip(_EDGES)
         found = [plain] if plain and " " not in plain else []
-        # Signs at the end may be letters too, unless they are mere punctuation.
-        whole = token.lower().strip("\"'()[]{}<>#%&/\\^=`~,;:?.")
-        for form in {plain, whole}:
-            if self.restorer.suspect(form) and not _MERE_TAIL.search(form):
-                found += self.restorer.restore(form).split()
-        return found
-
-
-# Repeated signs at the end, as in "word!!" or "word***", disguise nothing.
-_MERE_TAIL = re.compile(r"[^\w\s]{2,}$|!$")
+        # Signs at the ends may be letters too; the path says whether they are.
+        whole = token.lower().strip("\"')[]{}<>#%&/\\^=`~,;:?.").rstrip("(")
+        if ")" in token:
+            whole = whole.lstrip("(")
+        forms = [plain] if whole == plain else [plain, whole]
+        if " " in whole:
+            # A letter said twice stands in one run again.
+            forms += [f for f in (whole.replace(" ", ""),) if self.restorer.doubled(f)]
+        for form in forms:
+            if " " in form or self.restorer.suspect(form) or self.restorer.doubled(form):
+                found += self.restore(form).split()
+                if _SIGN_TWICE.search(form):
+                    found += self.restorer.restore(form, literal=True).split()
+        return list(dict.fromkeys(found)) if len(found) > 1 else found
+
+    def piece(self, token: str) -> str:
+        """What a token adds to a word that is written in parts; no text if it is no part."""
+        whole = token.lower()
+        if whole.isalpha():
+            return whole
+        whole = whole.strip(_NEVER_LETTERS)
+        if " " in token or not _HAS_LETTER.search(whole):
+            return ""
+        said = self.restore(whole) if self.restorer.suspect(whole) else whole.strip(_EDGES)
+        return "" if " " in said else said
 
 
 def _terms(word: str) -> list[str]:
@@ -223,19 +289,50 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.reader = model, Reader(model.letters)
         self.cache: dict[str, float] = {}
+        # Words in parts are sought by strong terms only, as chance makes weak ones.
+        strong = (t for t, odds in model.lexicon.items() if odds >= STRONG)
+        self.sought = {term[:-1] for term in strong if term.endswith("$")}
+        self.begun = {word[:n] for word in self.sought for n in range(1, len(word))}
+        self.pieces: dict[str, str] = {}
+        self.starts: set[str] = set()
 
     def weight(self, token: str) -> float:
         get = self.model.lexicon.get
         return max((get(t, 0.0) for w in self.reader.words(token) for t in _terms(w)), default=0.0)
 
+    def in_parts(self, tokens: list[str]) -> list[str]:
+        """Neighbouring tokens that make a strong term together, as tokens with spaces inside."""
+        starts, pieces, found = self.starts, self.pieces, []
+        for i in [i for i, token in enumerate(tokens) if token in starts]:
+            said = pieces[tokens[i]]
+            for j in range(i + 1, len(tokens)):
+                more = pieces[tokens[j]]
+                said += more
+                if more and said in self.sought:
+                    found.append(" ".join(t.strip(_NEVER_LETTERS) for t in tokens[i : j + 1]))
+                if not more or said not in self.begun:
+                    break
+        return found
+
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Per text: strongest term, strong terms, sum of all, and words."""
         tokens = [self.reader.tokens(text) for text in texts]
         if len(self.cache) > CACHED_TOKENS:
             self.cache.clear()
+            self.pieces.clear()
+            self.starts.clear()
         for token in set().union(*tokens):
             if token not in self.cache:
                 self.cache[token] = self.weight(token)
+                piece = self.pieces[token] = self.reader.piece(token)
+                if piece in self.begun:
+                    self.starts.add(token)
+        for some in tokens:
+            parts = self.in_parts(some)
+            some += parts
+            for token in parts:
+                if token not in self.cache:
+                    self.cache[token], self.pieces[token] = self.weight(token), ""
         counts = np.array([len(some) for some in tokens], dtype=np.int64)
         flat = map(self.cache.__getitem__, chain.from_iterable(tokens))
         weights = np.fromiter(flat, dtype=np.float64, count=int(counts.sum()))
