@@ -73,3 +73,36 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in llm_queries()["op5_licenses"](spark, folder).collect())
     assert got == sorted(by_all_windows(docs, TEMPLATES)) and got
+
+
+def test_notices_in_other_words(spark):
+    notices = [
+        ("MIT", "Licensed under the MIT License"), ("MIT", "Distributed under the MIT License"),
+        ("MIT", "released under the terms of the MIT license"), ("Apache-2.0", "Licensed under Apache License 2.0"),
+        ("GPL-2.0", "you may use it under GNU General Public License version 2 only"), ("AGPL", "GNU Affero General Public License"),
+        ("LGPL-2.1", "the terms of the GNU Lesser General Public License, version 2.1"), ("EPL-2.0", "the Eclipse Public License v2.0"),
+        ("BSD-3-Clause", "see the BSD 3-clause license"), ("BSD-3-Clause", "// SPDX-License-Identifier: BSD-3-Clause"),
+        ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("CC-BY-SA-4.0", "shared as CC BY-SA 4.0 by all"),
+    ]
+    docs = spark.createDataFrame([(i, f"some words {t} and more") for i, (_, t) in enumerate(notices)], "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(docs, "doc_id").collect():
+        found.setdefault(r.doc_id, set()).add(r.license.split(":")[0])
+    assert all(name in found.get(i, ()) for i, (name, _) in enumerate(notices)), found
+    assert found[4] == {"GPL-2.0"} and found[6] == {"LGPL", "LGPL-2.1"} and found[11] == {"CC-BY-SA-4.0"}
+
+
+def test_short_templates_tell_licenses_apart():
+    scanner = licenses.Scanner(TEMPLATES)
+    for name, wording in TEMPLATES:
+        if ":" in name:
+            own = name.split(":")[0]
+            found = {found.split(":")[0] for _, found, *_ in scanner.scan(licenses.pa.array([wording])) if ":" in found}
+            assert own in found and all(own.startswith(other) or other.endswith(own) for other in found), (name, found)
+
+
+def test_catalog_table(spark):
+    rows = [("A", "one two three four"), ("A", "five six seven eight"), (None, "x y z"), ("B", None)]
+    catalog = licenses.templates_of(spark.createDataFrame(rows, "license string, wording string"))
+    docs = spark.createDataFrame([(1, "five six seven eight one two three four")], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.scan(docs, "doc_id", templates=catalog).collect()] == [(1, "A", 1.0, 0)]

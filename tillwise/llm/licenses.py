@@ -23,8 +23,47 @@ CONTAINED = 0.8
 MISSED = 1e-6
 SHORTEST = 8
 
-# Wordings by which texts say what license they are under.
-TEMPLATES = (
+# What licenses are called after any verb. A template has a few words only, all of
+# which are needed, so it tells versions apart and the words around it may be any.
+CALLED = {
+    "MIT": ("the MIT License", "under MIT License", "an MIT license", "the MIT/X11 License"),
+    "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "Apache License v2.0", "the Apache 2.0 License"),
+    "GPL": ("the GNU General Public License", "under the GNU GPL"),
+    "GPL-3.0": ("GNU General Public License version 3", "GNU General Public License v3", "GNU GPL version 3",
+                "GNU GPL v3", "under the GPLv3", "the GNU GPLv3"),
+    "GPL-2.0": ("GNU General Public License version 2", "GNU General Public License v2", "GNU GPL version 2",
+                "GNU GPL v2", "under the GPLv2", "the GNU GPLv2"),
+    "LGPL": ("GNU Lesser General Public License", "GNU Library General Public License", "under the LGPL"),
+    "LGPL-3.0": ("Lesser General Public License version 3", "Lesser General Public License v3", "under the LGPLv3"),
+    "LGPL-2.1": ("General Public License version 2.1", "General Public License v2.1", "under the LGPL 2.1"),
+    "AGPL": ("GNU Affero General Public License", "under the AGPL"),
+    "AGPL-3.0": ("Affero General Public License version 3", "Affero General Public License v3", "under the AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License version 2.0"),
+    "EPL-1.0": ("Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License version 1.0"),
+    "BSD": ("the BSD License", "under BSD License", "a BSD-style license"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License terms"),
+    "ISC": ("the ISC License", "under ISC License"),
+    "BSL-1.0": ("Boost Software License Version 1.0", "Boost Software License 1.0"),
+    "Zlib": ("the zlib License", "under zlib License"),
+    "CC0-1.0": ("CC0 1.0 Universal", "under CC0 1.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC-BY-3.0": ("CC BY 3.0", "Creative Commons Attribution 3.0"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Commons Attribution ShareAlike 4.0", "Commons Attribution Share Alike 4.0"),
+    "CC-BY-SA-3.0": ("CC BY-SA 3.0", "Commons Attribution ShareAlike 3.0", "Commons Attribution Share Alike 3.0"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Commons Attribution NonCommercial 4.0"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Commons Attribution NoDerivatives 4.0"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Attribution NonCommercial ShareAlike 4.0"),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "Attribution NonCommercial NoDerivatives 4.0"),
+}
+IDENTIFIERS = (
+    "MIT 0BSD ISC Zlib Unlicense BSL-1.0 Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 MPL-2.0 EPL-1.0 EPL-2.0 "
+    "BSD-2-Clause BSD-3-Clause CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-3.0 CC-BY-SA-3.0"
+).split()
+
+# Longer wordings by which texts say what license they are under.
+WORDINGS = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -71,8 +110,72 @@ TEMPLATES = (
         "License.",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "MIT warranty",
+        'The Software is provided "as is", without warranty of any kind, express or implied, including '
+        "but not limited to the warranties of merchantability, fitness for a particular purpose and "
+        "noninfringement. In no event shall the authors or copyright holders be liable for any claim, "
+        "damages or other liability, whether in an action of contract, tort or otherwise, arising from, "
+        "out of or in connection with the Software or the use or other dealings in the Software.",
+    ),
+    (
+        "BSD source clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions "
+        "and the following disclaimer.",
+    ),
+    (
+        "BSD binary clause",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+        "and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution.",
+    ),
+    (
+        "BSD-3-Clause endorsement",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "Apache-2.0 warranty",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License "
+        'is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express '
+        "or implied. See the License for the specific language governing permissions and limitations "
+        "under the License.",
+    ),
+    (
+        "Apache-2.0 grant",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a "
+        "perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to "
+        "reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and "
+        "distribute the Work and such Derivative Works in Source or Object form.",
+    ),
+    (
+        "GPL warranty",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ),
+    (
+        "GPL preamble",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but "
+        "changing it is not allowed.",
+    ),
 )
 
+# Every template has a name of its own, which begins with the license's.
+TEMPLATES = (
+    *WORDINGS,
+    *((f"{name}: {called}", called) for name, some in CALLED.items() for called in some),
+    *((f"{name}: SPDX", f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
+)
+
+
+def templates_of(catalog: DataFrame) -> list[tuple[str, str]]:
+    """The templates of a table with ``license`` and ``wording``, for ``scan``; rows that lack one
+    are left out. Wordings of one license make one row for each text, with the best of them. The
+    table is collected: it is a catalog, not data."""
+    rows = catalog.select("license", "wording").where("license is not null and wording is not null")
+    return sorted(tuple(row) for row in rows.distinct().collect())
+
+
 _WORD = [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]
 PARTING = separators(bytes(b for b in range(256) if b not in _WORD))
 
