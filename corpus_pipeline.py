@@ -18,6 +18,9 @@ from tillwise.llm.stored import store
 # SQL can express neither the fitted models nor the tokenizer.
 ORACLE_SQL = None
 
+# The stage's shingles; the query ``op8_near_dedup`` has four words by its contract.
+NEAR_DUPLICATE_WORDS = 5
+
 
 def _whole_rows(docs: DataFrame, of_text: Callable[[Column], Column]) -> DataFrame:
     """Each row as one value beside what is found of its text, so that no name can clash. Only
@@ -42,8 +45,8 @@ def drop_without_language(spark: SparkSession, docs: DataFrame, folder: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.without_duplicates(docs)
+    """One document of each group of near duplicates, at 0.8 on sets of five words."""
+    return near_dedup.without_duplicates(docs, NEAR_DUPLICATE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

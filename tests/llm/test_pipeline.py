@@ -5,7 +5,7 @@ import tiktoken
 
 import corpus_pipeline
 from corpus_pipeline import STAGES, run
-from tillwise.llm import byte_bpe
+from tillwise.llm import byte_bpe, near_dedup
 from tillwise.llm.tokenizer_files import PATTERN
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,3 +46,33 @@ def test_stages(spark):
 
 def test_no_sql():
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_by_five_words(spark):
+    pick = np.random.default_rng(4)
+    texts = []
+    for changes in (5, 6, 6, 7, 7, 8, 9):
+        base = [f"w{n}" for n in pick.integers(0, 5000, 300)]
+        other = list(base)
+        for at in range(10, 10 + 40 * changes, 40 if changes < 8 else 30):
+            if at < 300:
+                other[at] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    texts += ["one two three four", "one two three four", "a b c d e", "a b c d f"]
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(text) for text in texts]
+    groups = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                groups = [groups[j] if g == groups[i] else g for g in groups]
+    rows = [(i, text, "en") for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups))
+    four = near_dedup.without_duplicates(docs).collect()
+    assert len(four) < len(kept) < len(texts)

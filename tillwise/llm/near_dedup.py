@@ -98,7 +98,7 @@ def _tagged(signatures: np.ndarray, kept: list[int], tag: np.uint64) -> np.ndarr
     return rows
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles``, ``class`` and ``signature`` of
     every document; those without words have no class and no signature."""
     own = docs["doc_id"].cast("bigint").alias("doc_id")
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(2)):
-                sets = shingle_sets(batch.column(2)[start:stop])
+                sets = shingle_sets(batch.column(2)[start:stop], size)
                 columns = [
                     batch.column(0)[start:stop],
                     batch.column(1)[start:stop],
@@ -146,7 +146,7 @@ def _keys(classes: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, kinds)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """Those pairs whose full sets are similar enough.
 
     The sets of the texts that occur in pairs are made anew from one document of each class. A
@@ -167,7 +167,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(0)):
-                sets = [s for s in shingle_sets(batch.column(0)[start:stop]) if len(s)]
+                sets = [s for s in shingle_sets(batch.column(0)[start:stop], size) if len(s)]
                 columns = [
                     pa.array([class_of(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
@@ -324,10 +324,10 @@ def _first_slot(differ: np.ndarray) -> np.ndarray:
     return np.where(errors[rows, chunk] > 0, wrong, _BOUNDS[chunk])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document.
 
-    A document's set is its distinct runs of ``SHINGLE`` words, or the one run of all its words
+    A document's set is its distinct runs of ``size`` words, or the one run of all its words
     if they are fewer; documents are linked if 100 times the shared runs reach ``PERCENT`` times
     all of both. A null or empty text has no words and is linked with nothing. ``component_id`` is
     the smallest id reachable by links, and that document is the one kept. Each row has a row
@@ -338,12 +338,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal sets are one class. Classes are first linked with the hub of each key; after
     that, what is still apart is compared with all others under its keys.
     """
-    return decisions(docs).drop("text_key")
+    return decisions(docs, size).drop("text_key")
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``near_duplicates`` with the ``text_key`` of each row, xxhash64 of its text."""
-    each = store(signatures(docs), "signatures")
+    each = store(signatures(docs, size), "signatures")
     with_words = each.where(F.col("class").isNotNull())
     classes = with_words.groupBy("class").agg(
         F.min("doc_id").alias("doc_id"),
@@ -355,11 +355,11 @@ def decisions(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
     shared = store(sizes.where("size > 1").select("key", blocks), "shared-keys")
     keyed = store(keys.join(shared, "key"), "keyed")
-    links = store(_confirmed(store(_hubs(keyed, classes), "hubs"), docs, classes), "hub-links")
+    links = store(_confirmed(store(_hubs(keyed, classes), "hubs"), docs, classes, size), "hub-links")
     roots = components(links)
     rest = store(_across(keyed, roots, classes), "across")
     if not rest.isEmpty():
-        more = _confirmed(rest, docs, classes)
+        more = _confirmed(rest, docs, classes, size)
         links = store(links.union(more), "all-links")
         roots = components(links)
     roots = roots.withColumnRenamed("node", "class")
@@ -379,10 +379,10 @@ def decisions(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns: the one with the
+def without_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each group of near duplicates, by runs of ``size`` words, with all its columns: the one with the
     smallest id. Of rows repeated with id and text, one stays; a group without ids keeps all."""
-    decided = store(decisions(docs), "near-duplicates").select("doc_id", "text_key", "kept")
+    decided = store(decisions(docs, size), "near-duplicates").select("doc_id", "text_key", "kept")
     key = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
     times = decided.where("doc_id is not null").groupBy("doc_id", "text_key")
     again = times.count().where("count > 1").select(*key)
