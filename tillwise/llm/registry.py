@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, direct_codes, language_id, licenses, near_dedup, neighbours, quality, toxicity
+from . import (
+    byte_bpe,
+    chat,
+    decontamination,
+    direct_codes,
+    language_id,
+    licenses,
+    near_dedup,
+    neighbours,
+    quality,
+    simhash,
+    toxicity,
+)
 from .sql import SQL
 from .stored import new_path, store
 
@@ -98,3 +110,8 @@ def op10_chat(spark, folder):
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     formatted = chat.format_conversations(turns.union(spark.createDataFrame(more, schema)))
     return chat.digests(store(formatted, "formatted"))
+
+
+@_query
+def op11_simhash(spark, folder):
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
