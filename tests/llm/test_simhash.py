@@ -97,7 +97,6 @@ def test_links_connect_what_pairs_connect():
 @pytest.mark.parametrize("large", [4096, 3])
 def test_all_pairs(spark, monkeypatch, large):
     monkeypatch.setattr(simhash, "LARGE", large)
-    monkeypatch.setattr(simhash, "PIECE", 40)
     texts = corpus(large)
     ids = [*range(len(texts))]
     ids[4] = ids[9] = None
@@ -130,6 +129,12 @@ def test_family_of_many_members(spark):
     assert len({find(x) for x in parent}) == 1
 
 
+def test_pieces(monkeypatch):
+    texts = corpus(2)
+    monkeypatch.setattr(simhash, "PIECE", 40)
+    assert [simhash.fingerprint(t or "") for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -16,6 +16,7 @@ from . import (
     licenses,
     near_dedup,
     neighbours,
+    prefix_trie,
     quality,
     simhash,
     toxicity,
@@ -115,3 +116,9 @@ def op10_chat(spark, folder):
 @_query
 def op11_simhash(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query
+def op12_prefix_trie(spark, folder):
+    turns = prefix_trie.turns_of(_table(spark, folder, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
