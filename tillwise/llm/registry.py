@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     byte_bpe,
     chat,
     decontamination,
@@ -122,3 +123,8 @@ def op11_simhash(spark, folder):
 def op12_prefix_trie(spark, folder):
     turns = prefix_trie.turns_of(_table(spark, folder, "conversations"))
     return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
+@_query
+def op13_alignment(spark, folder):
+    return alignment.align(_table(spark, folder, "documents"))
