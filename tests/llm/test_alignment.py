@@ -92,13 +92,13 @@ def test_long_texts_in_parts(monkeypatch, tokens):
     monkeypatch.setattr(alignment, "PART_CHARS", 50)
     cut = list(alignment.parts([text]))
     assert len(cut) > 10 and [piece for _, pieces in cut for piece in pieces] == whole
-    held = alignment.Aligner(tokens)
-    numbers = held.numbered(whole)
-    n_a, n_b, groups, _ = held.table()[numbers].sum(axis=0)
-    assert (n_a, n_b, groups) == plain(tokens, [text])[0][:3]
-    monkeypatch.setattr(alignment, "KEPT_PIECES", 2)
-    again = held.numbered(whole)
-    assert (held.table()[again].sum(axis=0) == (n_a, n_b, groups, 0)).all()
+    held = alignment.Encoder(tokens)
+    for kept in (1000, 2):
+        monkeypatch.setattr(alignment, "KEPT_PIECES", kept)
+        numbers = held.numbered(whole)
+        a, b = held.ids_of(0, numbers)[0], held.ids_of(1, numbers)[0]
+        assert a.tolist() == tokens.a.encode(" " + text).ids and b.tolist() == tokens.b.encode(text)
+        assert len(alignment.Alignment.of(a, b, tokens.sizes).pairs()) == plain(tokens, [text])[0][2]
 
 
 def test_pair_hash():

@@ -4,19 +4,19 @@ Tokens of both are byte ranges of a text, and where tokens of both end, a group
 two tokens that end a group are linked. One of the two is the end of the other, so the pairs that
 can be linked are bounded by the bytes of the vocabularies (``Tokens.pair_bound``), not by the corpus.
 
-A first pass aligns the documents and writes each task's distinct pairs with their counts. Of all
-distinct pairs a minimal perfect hash is made; counts go to dense vectors at the places it
-gives, and the vectors of all tasks are summed up as a tree. The second pass aligns the
-documents again and looks its pairs up: the hash gives a place, the key held there verifies it.
+Documents are encoded once and their ids stored. A first pass over these aligns the documents and
+writes each task's distinct pairs with their counts. Of all distinct pairs a minimal perfect
+hash is made; counts go to dense vectors at the places it gives, and the vectors of all tasks are
+summed up as a tree. The second pass aligns the documents again and looks their pairs up: the
+hash gives a place, the key held there verifies it.
 
 Neither tokenizer has a token in which white space follows something else, so both work apart on
 the two sides of a space after a character that is none. Texts are cut there; what lies between
-cuts is encoded and aligned once, and kept.
+cuts is encoded once, and kept.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -38,13 +38,15 @@ PIECE_BPE = "piece_bpe_32k.model"
 SPACE = "▁"
 # Characters of a text that are cut at a time, and pieces, with their characters, kept in a worker.
 PART_CHARS = 1 << 20
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 KEPT_CHARS = 1 << 25
 # Pairs a task holds before it sums them up, places in one cell of a vector, and first sums.
 HELD_PAIRS = 1 << 21
 CELL = 1 << 16
 FAN = 32
 
+_MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -76,8 +78,10 @@ class Tokens:
             piece = self.b.id_to_piece(i)
             of_byte = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else None
             self.b_bytes.append(of_byte or piece.replace(SPACE, " ").encode())
-        self.a_sizes = np.array([len(token) for token in self.a_bytes], dtype=np.int64)
-        self.b_sizes = np.array([len(token) for token in self.b_bytes], dtype=np.int64)
+        self.sizes = [
+            np.array([len(token) for token in known], dtype=np.int64)
+            for known in (self.a_bytes, self.b_bytes)
+        ]
         self._check(json.loads(self.a.to_str()))
 
     def _check(self, stated: dict) -> None:
@@ -92,7 +96,7 @@ class Tokens:
     def pair_bound(self) -> int:
         """More pairs than can be linked: each end of an id's bytes is at most one id of the
         first and, as bytes and as a piece, two of the second tokenizer."""
-        return int(2 * self.a_sizes.sum() + self.b_sizes.sum())
+        return int(2 * self.sizes[0].sum() + self.sizes[1].sum())
 
     def encode(self, piece: str) -> tuple[list[int], list[int]]:
         """Ids of text that begins with a space, which the second tokenizer adds itself."""
@@ -106,9 +110,8 @@ class Tokens:
         return of_a == said and b"".join(map(self.b_bytes.__getitem__, b)) == said
 
 
-class Aligner:
-    """Pieces of text by number, and what their alignment is: tokens of both kinds, groups, the linked
-    pairs (first id times 2^32 and second id), the groups as text, and whether it failed."""
+class Encoder:
+    """Ids of both tokenizers for pieces of text, each encoded once and kept."""
 
     def __init__(self, tokens: Tokens):
         self.tokens = tokens
@@ -117,88 +120,72 @@ class Aligner:
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.chars = 0
-        self.said: list[str] = []
-        self._rows: list[np.ndarray] = []
-        self._pairs: list[np.ndarray] = []
-        self._table = np.zeros((0, 4), np.int64)
-        self._flat = np.zeros(0, np.int64)
+        self.failed: set[int] = set()
+        # The ids of all pieces on end, and where those of each begin.
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def numbered(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece. Numbers hold until the next call."""
         if len(self.numbers) > KEPT_PIECES or self.chars > KEPT_CHARS:
             self._forget()
-        new = [piece for piece in set(pieces) if piece not in self.numbers]
+        new = list(set(pieces).difference(self.numbers))
         if new:
             self._learn(new)
         return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
 
-    def table(self) -> np.ndarray:
-        """By number: tokens of the first, of the second, groups, and 1 where bytes differ."""
-        if self._rows:
-            self._table = np.concatenate([self._table, *self._rows])
-            self._rows = []
-        return self._table
-
-    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The linked pairs of some pieces on end, and how many each has."""
-        if self._pairs:
-            self._flat = np.concatenate([self._flat, *self._pairs])
-            self._pairs = []
-        sizes = self.table()[:, 2]
-        starts = np.cumsum(sizes) - sizes
-        wanted = sizes[numbers]
-        first = np.repeat(starts[numbers] - (np.cumsum(wanted) - wanted), wanted)
-        return self._flat[first + np.arange(len(first))], wanted
+    def ids_of(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first (0) or second (1) ids of some pieces on end, and how many each has."""
+        starts = self.starts[side]
+        sizes = np.diff(starts)[numbers]
+        first = np.repeat(starts[numbers] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[side][first + np.arange(len(first))], sizes
 
     def _learn(self, pieces: list[str]) -> None:
+        """Many at a time where white space does not end a piece, else one by one."""
+        made: tuple[list, list] = ([], [])
+        sizes: tuple[list, list] = ([], [])
+
+        def add(some: list[str], both: tuple[list[int], list[int]]) -> None:
+            stops = np.cumsum([len(piece.encode()) for piece in some])
+            for side, ids in enumerate(both):
+                held = np.array(ids, dtype=np.int64)
+                ends = np.cumsum(self.tokens.sizes[side][held])
+                made[side].append(held)
+                sizes[side].append(np.diff(np.searchsorted(ends, stops) + 1, prepend=0))
+            self.numbers.update(zip(some, range(len(self.numbers), len(self.numbers) + len(some)), strict=True))
+
         plain = [piece for piece in pieces if not piece[-1].isspace() and SPACE not in piece]
         for i in range(0, len(plain), 5000):
             some = plain[i : i + 5000]
-            a, b = self.tokens.encode("".join(some))
-            if self.tokens.same_bytes("".join(some), a, b):
-                self._add(some, np.array(a), np.array(b))
+            joined = "".join(some)
+            both = self.tokens.encode(joined)
+            if self.tokens.same_bytes(joined, *both):
+                add(some, both)
         for piece in pieces:
             if piece not in self.numbers:
-                a, b = self.tokens.encode(piece)
-                if self.tokens.same_bytes(piece, a, b):
-                    self._add([piece], np.array(a), np.array(b))
+                both = self.tokens.encode(piece)
+                if self.tokens.same_bytes(piece, *both):
+                    add([piece], both)
                 else:
-                    self.numbers[piece] = len(self.said)
-                    self.said.append("")
-                    self._rows.append(np.array([[0, 0, 0, 1]]))
+                    self.failed.add(len(self.numbers))
+                    self.numbers[piece] = len(self.numbers)
+                    for side in (0, 1):
+                        sizes[side].append(np.zeros(1, np.int64))
+        for side in (0, 1):
+            self.ids[side] = np.concatenate([self.ids[side], *made[side]])
+            starts = self.starts[side]
+            self.starts[side] = np.concatenate([starts, starts[-1] + np.cumsum(np.concatenate(sizes[side]))])
         self.chars += sum(map(len, pieces))
 
-    def _add(self, pieces: list[str], a: np.ndarray, b: np.ndarray) -> None:
-        """Take the ids of pieces on end apart."""
-        a_ends, b_ends = np.cumsum(self.tokens.a_sizes[a]), np.cumsum(self.tokens.b_sizes[b])
-        together = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        a_last, b_last = np.searchsorted(a_ends, together), np.searchsorted(b_ends, together)
-        stops = np.cumsum([len(piece.encode()) for piece in pieces])
-        groups = np.searchsorted(together, stops) + 1
-        a_stops, b_stops = a_last[groups - 1] + 1, b_last[groups - 1] + 1
-        rows = [np.diff(x, prepend=0) for x in (a_stops, b_stops, groups)]
-        self._rows.append(np.stack([*rows, np.zeros_like(groups)], axis=1))
-        self._pairs.append(a[a_last] << 32 | b[b_last])
-        a_said, b_said = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        a_from = b_from = 0
-        said = []
-        for a_to, b_to in zip((a_last + 1).tolist(), (b_last + 1).tolist(), strict=True):
-            said.append(f"{','.join(a_said[a_from:a_to])}|{','.join(b_said[b_from:b_to])}")
-            a_from, b_from = a_to, b_to
-        first = 0
-        for piece, stop in zip(pieces, groups.tolist(), strict=True):
-            self.numbers[piece] = len(self.said)
-            self.said.append(";".join(said[first:stop]))
-            first = stop
-
-
-_loaded: list[Aligner] = []
-
-
-def aligner() -> Aligner:
-    """The worker's aligner, which keeps pieces from one task to the next."""
+
+_loaded: list[Encoder] = []
+
+
+def encoder() -> Encoder:
+    """The worker's encoder, which keeps pieces from one task to the next."""
     if not _loaded:
-        _loaded.append(Aligner(Tokens()))
+        _loaded.append(Encoder(Tokens()))
     return _loaded[0]
 
 
@@ -283,41 +270,119 @@ def _summed(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, total
 
 
-def _failed(held: Aligner, owners: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owners, held.table()[numbers, 3], minlength=n) > 0
-
-
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """``pair`` and ``n``: each task's distinct pairs with how many links of its documents hold them."""
+def encode(docs: DataFrame, *keys: str) -> DataFrame:
+    """The ``keys`` of every row and the ids of both tokenizers, ``a`` and ``b``, as little-endian
+    unsigned 32-bit integers; none for texts whose tokens do not give their bytes back."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pairs, times, size = aligner(), [], [], 0
+        held = encoder()
         for batch in batches:
-            for start, stop in slices(batch.column(0)):
-                texts = batch.column(0)[start:stop].to_pylist()
-                found = []
+            for start, stop in slices(batch.column(len(keys))):
+                some = batch.slice(start, stop - start)
+                texts = some.column(len(keys)).to_pylist()
+                made = [[b""] * len(texts), [b""] * len(texts)]
                 failed = np.zeros(len(texts), dtype=bool)
                 for owners, pieces in parts(texts):
                     at, numbers = np.array(owners, dtype=np.int64), held.numbered(pieces)
-                    failed |= _failed(held, at, numbers, len(texts))
-                    some, often = np.unique(numbers[~failed[at]], return_counts=True)
-                    linked, sizes = held.pairs(some)
-                    found.append((linked, np.repeat(often, sizes)))
-                if len(texts) == 1 and failed[0]:
-                    continue
-                for linked, often in found:
-                    pairs.append(linked)
-                    times.append(often)
-                    size += len(linked)
-                if size > HELD_PAIRS:
-                    one = _summed(pairs, times)
-                    pairs, times, size = [one[0]], [one[1]], 0
+                    if held.failed:
+                        failed[at[np.isin(numbers, list(held.failed))]] = True
+                    for side in (0, 1):
+                        ids, sizes = held.ids_of(side, numbers)
+                        ends = np.cumsum(np.bincount(at, sizes, minlength=len(texts)).astype(np.int64))
+                        flat = ids.astype("<u4").tobytes()
+                        first = 0
+                        for i, end in enumerate((4 * ends).tolist()):
+                            made[side][i] += flat[first:end]
+                            first = end
+                ids = [
+                    pa.array([b"" if no else x for no, x in zip(failed, side, strict=True)], pa.binary())
+                    for side in made
+                ]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *ids], names=[*keys, "a", "b"])
+
+    rows = text_rows(docs, *keys)
+    return rows.mapInArrow(run, schema_of(rows, keys, a="binary", b="binary"))
+
+
+@dataclass
+class Alignment:
+    """The ids of some texts on end, and where both tokenizers end a token together: the places
+    after the last first and second id of each group."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_stops: np.ndarray
+    b_stops: np.ndarray
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray, sizes: list[np.ndarray]) -> Alignment:
+        a_ends, b_ends = np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
+        ends_here = np.zeros(int(a_ends[-1]) + 1 if len(a) else 1, dtype=np.int8)
+        ends_here[a_ends] += 1
+        ends_here[b_ends] += 1
+        stops = [np.flatnonzero(ends_here[ends] == 2) + 1 for ends in (a_ends, b_ends)]
+        return cls(a, b, *stops)
+
+    def pairs(self) -> np.ndarray:
+        """The linked ids of each group: the first times 2^32, and the second."""
+        return self.a[self.a_stops - 1] << 32 | self.b[self.b_stops - 1]
+
+    def said(self, firsts: np.ndarray, names: list[str]) -> list[str]:
+        """The names of all ids in order of the groups, first ids before second ones, with what
+        stands before each. ``firsts`` are the groups that begin a text."""
+        n_a, n_b, kinds = len(self.a), len(self.b), len(names) // 4
+        a_starts = np.concatenate([[0], self.a_stops])[:-1]
+        b_starts = np.concatenate([[0], self.b_stops])[:-1]
+        group_of_a = np.repeat(np.arange(len(a_starts)), self.a_stops - a_starts)
+        group_of_b = np.repeat(np.arange(len(b_starts)), self.b_stops - b_starts)
+        a_kind, b_kind = np.full(n_a, 1), np.full(n_b, 1)
+        a_kind[a_starts], b_kind[b_starts] = 2, 3
+        a_kind[a_starts[firsts]] = 0
+        codes = np.empty(n_a + n_b, dtype=np.int64)
+        codes[np.arange(n_a) + b_starts[group_of_a]] = a_kind * kinds + self.a
+        codes[np.arange(n_b) + self.a_stops[group_of_b]] = b_kind * kinds + self.b
+        return list(map(names.__getitem__, codes.tolist()))
+
+
+def _names(tokens: Tokens) -> list[str]:
+    """Decimal ids: at a text's begin, after a comma, after a semicolon, after a bar."""
+    ids = range(max(len(tokens.a_bytes), len(tokens.b_bytes)))
+    return [f"{sign}{i}" for sign in ("", ",", ";", "|") for i in ids]
+
+
+def _aligned(
+    batches: Iterable[pa.RecordBatch], sizes: list[np.ndarray]
+) -> Iterator[tuple[pa.RecordBatch, Alignment, list[np.ndarray]]]:
+    """Rows whose last two columns are ids, some at a time, with their alignment and how many ids of
+    each kind each row has."""
+    for batch in batches:
+        for start, stop in slices(batch.column(batch.num_columns - 1)):
+            some = batch.slice(start, stop - start)
+            held = [some.column(some.num_columns - 2 + side).to_pylist() for side in (0, 1)]
+            a, b = (np.frombuffer(b"".join(cells), "<u4").astype(np.int64) for cells in held)
+            yield some, Alignment.of(a, b, sizes), [np.array([len(x) // 4 for x in c]) for c in held]
+
+
+def pair_counts(encoded: DataFrame) -> DataFrame:
+    """``pair`` and ``n``: each task's distinct pairs with how many links of its documents hold them."""
+    known = Tokens().sizes
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        for _, aligned, _ in _aligned(batches, known):
+            distinct, often = np.unique(aligned.pairs(), return_counts=True)
+            pairs.append(distinct)
+            times.append(often)
+            if sum(map(len, pairs)) > HELD_PAIRS:
+                one = _summed(pairs, times)
+                pairs, times = [one[0]], [one[1]]
         distinct, total = _summed(pairs, times)
         for i in range(0, len(distinct), 100_000):
             columns = [pa.array(x[i : i + 100_000]) for x in (distinct, total)]
             yield pa.RecordBatch.from_arrays(columns, names=["pair", "n"])
 
-    return text_rows(docs).mapInArrow(run, "pair bigint, n bigint")
+    return encoded.select("a", "b").mapInArrow(run, "pair bigint, n bigint")
 
 
 def _vectors(counts: DataFrame, hashed: PairHash) -> DataFrame:
@@ -412,49 +477,32 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-_MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def alignments(docs: DataFrame, counts: Counts, *keys: str) -> DataFrame:
-    """The ``keys`` of every row with its alignment: tokens of both, groups, links, those that are the
-    best of their second id, the sum of their counts, and the ``groups`` as text: first ids,
-    a bar, second ids, and a semicolon between groups."""
+def alignments(encoded: DataFrame, counts: Counts, *keys: str) -> DataFrame:
+    """The ``keys`` of every row of ``encode`` with its alignment: tokens of both, groups, links, those
+    that are the best of their second id, the sum of their counts, and ``groups``, as text: first
+    ids, a bar, second ids, and a semicolon between groups."""
+    known = Tokens().sizes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = aligner()
-        for batch in batches:
-            for start, stop in slices(batch.column(len(keys))):
-                some = batch.slice(start, stop - start)
-                texts = some.column(len(keys)).to_pylist()
-                made = np.zeros((len(texts), 6), dtype=np.int64)
-                failed = np.zeros(len(texts), dtype=bool)
-                digests = [hashlib.sha256() for _ in texts]
-                begun = [False] * len(texts)
-                for owners, pieces in parts(texts):
-                    at, numbers = np.array(owners, dtype=np.int64), held.numbered(pieces)
-                    failed |= _failed(held, at, numbers, len(texts))
-                    distinct, place = np.unique(numbers, return_inverse=True)
-                    linked, sizes = held.pairs(distinct)
-                    times, best = counts.look_up(linked)
-                    table = held.table()[distinct]
-                    columns = [table[:, 0], table[:, 1], table[:, 2], sizes]
-                    columns += [_sums(best.astype(np.int64), sizes), _sums(times, sizes)]
-                    n = np.bincount(at, minlength=len(texts))
-                    made += np.stack([_sums(column[place], n) for column in columns], axis=1)
-                    ends = np.cumsum(n).tolist()
-                    for i, (size, end) in enumerate(zip(n.tolist(), ends, strict=True)):
-                        if size and not failed[i]:
-                            said = ";".join([held.said[j] for j in numbers[end - size : end].tolist()])
-                            digests[i].update(f"{';' if begun[i] else ''}{said}".encode())
-                            begun[i] = True
-                made[failed] = 0
-                none = failed | (made[:, 0] == 0)
-                shown = ["" if no else d.hexdigest() for no, d in zip(none, digests, strict=True)]
-                columns = [*some.columns[: len(keys)], *[pa.array(x) for x in made.T], pa.array(shown)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *_MADE, "groups_sha256"])
-
-    rows = text_rows(docs, *keys)
-    kinds = dict.fromkeys(_MADE, "long") | {"groups_sha256": "string"}
+        names = _names(encoder().tokens)
+        for some, aligned, (n_a, n_b) in _aligned(batches, known):
+            a_ends, ends = np.cumsum(n_a), np.cumsum(n_a + n_b)
+            groups = np.searchsorted(aligned.a_stops, a_ends, side="right")
+            n_groups = np.diff(groups, prepend=0)
+            times, best = counts.look_up(aligned.pairs())
+            columns = [n_a, n_b, n_groups, n_groups, _sums(best.astype(np.int64), n_groups)]
+            columns.append(_sums(times, n_groups))
+            said = aligned.said((groups - n_groups)[n_groups > 0], names)
+            texts = ["".join(said[i:j]) for i, j in zip((ends - n_a - n_b).tolist(), ends.tolist(), strict=True)]
+            made = [*map(pa.array, columns), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [*some.columns[: len(keys)], *made], names=[*keys, *_MADE, "groups"]
+            )
+
+    rows = encoded.select(*keys, "a", "b")
+    kinds = dict.fromkeys(_MADE, "long") | {"groups": "string"}
     return rows.mapInArrow(run, schema_of(rows, keys, **kinds))
 
 
@@ -470,5 +518,8 @@ def align(docs: DataFrame) -> DataFrame:
     none. Other columns are not read.
     """
     own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"])
-    counted = store(pair_counts(own), "pair-counts")
-    return alignments(own, Counts.of(counted), "doc_id")
+    encoded = store(encode(own, "doc_id"), "both-ids")
+    counted = store(pair_counts(encoded), "pair-counts")
+    made = alignments(encoded, Counts.of(counted), "doc_id")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return made.select("doc_id", *_MADE, digest.alias("groups_sha256"))
