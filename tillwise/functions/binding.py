@@ -1,8 +1,8 @@
-"""A choice among cases."""
+"""A choice among cases, and column names that are free."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,3 +15,11 @@ def first_match(cases: Sequence[tuple[Column, Column | object]], default: Column
     for condition, value in rest:
         column = column.when(condition, value)
     return column.otherwise(default)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with so many underscores ahead that no column has it, in upper case or lower."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +32,7 @@ DATE_FORMATS = (
 # Values below this many units have millionths that a double holds exactly.
 SMALL = 2.0**33
 HALF = 26
+SUM_PARTS = ("high", "low", "beyond", "large", "values")
 
 
 def as_double(df: DataFrame, name: str) -> Column:
@@ -77,24 +78,42 @@ def as_flag(df: DataFrame, name: str) -> Column:
     return F.coalesce(flag, F.lit(False)).alias(name)
 
 
-def exact_sum(name: str) -> Column:
-    """Sum of a numeric column as double; null without values.
+def sum_parts(name: str) -> dict[str, Column]:
+    """The aggregates that make up the exact sum of a column, each of which can be added up again.
 
-    Millionths are added up as long integers, in two parts so that no total overflows: exact,
-    the same for any order of the rows, and several times faster than a decimal sum. What a
+    Millionths are added up as long integers, in two parts so that no total overflows. What a
     value has beyond its millionths is added up as doubles, 0 for money and pieces, and so
-    are values too large for millionths, and infinities. Nothing is cut off or rounded.
+    are values too large for millionths, and infinities. ``values`` counts what was added.
     """
     value = F.col(name).cast("double")
     small = F.abs(value) < SMALL
     millionths = F.when(small, F.rint(value * 1e6).cast("bigint"))
     beyond = F.when(small, value - F.rint(value * 1e6) / 1e6)
-    high = F.sum(F.shiftright(millionths, HALF)).cast("decimal(20,0)") * F.lit(Decimal(1 << HALF))
-    low = F.sum(millionths.bitwiseAND(F.lit((1 << HALF) - 1))).cast("decimal(20,0)")
-    exact = ((high + low) * F.lit(Decimal("0.000001"))).cast("double")
-    rest = [F.sum(beyond), F.sum(F.when(~small, value))]
-    parts = [F.coalesce(part, F.lit(0.0)) for part in (exact, *rest)]
-    return F.when(F.count(value) > 0, parts[0] + parts[1] + parts[2])
+    return {
+        "high": F.sum(F.shiftright(millionths, HALF)),
+        "low": F.sum(millionths.bitwiseAND(F.lit((1 << HALF) - 1))),
+        "beyond": F.sum(beyond),
+        "large": F.sum(F.when(~small, value)),
+        "values": F.count(value),
+    }
+
+
+def sum_of_parts(parts: Mapping[str, Column] | None = None) -> Column:
+    """The sum as double that ``sum_parts`` make up, or columns of their names; null without values."""
+    held = parts or {name: F.col(name) for name in SUM_PARTS}
+    high = held["high"].cast("decimal(20,0)") * F.lit(Decimal(1 << HALF))
+    exact = ((high + held["low"].cast("decimal(20,0)")) * F.lit(Decimal("0.000001"))).cast("double")
+    added = [F.coalesce(part, F.lit(0.0)) for part in (exact, held["beyond"], held["large"])]
+    return F.when(held["values"] > 0, added[0] + added[1] + added[2])
+
+
+def exact_sum(name: str) -> Column:
+    """Sum of a numeric column as double; null without values.
+
+    Exact in millionths, the same for any order of the rows, and several times faster than a
+    decimal sum: see ``sum_parts``. Nothing is cut off or rounded.
+    """
+    return sum_of_parts(sum_parts(name))
 
 
 def total(name: str) -> Column:

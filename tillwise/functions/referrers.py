@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binding import first_match
+from .binding import first_match, free_name
+from .suffix_rules import host_labels
 
 # Labels and the URL parts they stand for. The first match wins and a part
 # may stand anywhere in the URL, so "t.co" also takes every host that ends in "t.com".
@@ -175,20 +176,57 @@ def with_referrer(
     column: str,
     name: str,
     stores: Sequence[Store] = (),
-    suffixes: Suffixes = DEFAULT_SUFFIXES,
+    suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
 ) -> DataFrame:
     """Add ``name``, the source name of the URL in ``column``.
 
     Each value that several rules look at is a column of its own for a while, so it is worked
-    out once, in generated code.
+    out once, in generated code. With a table of suffix rules (see ``suffix_rules``) the distinct
+    URLs are named, by a join of their distinct hosts with the rules, and joined back; rows
+    without a URL are spread over all tasks of that join.
     """
-    df = df.withColumn("_url", _url(F.col(column)))
-    df = df.withColumn("_netloc", _netloc(F.col("_url")))
-    df = df.withColumn("_host", _host(F.col("_netloc")))
-    df = df.withColumn("_label", site_label(F.col("_host"), suffixes))
-    parts = [F.col(part) for part in ("_url", "_netloc", "_label")]
-    named = df.withColumn(name, _name(F.col(column), *parts, stores))
-    return named.drop("_url", "_netloc", "_host", "_label")
+    if isinstance(suffixes, DataFrame):
+        return _with_joined_referrer(df, column, name, stores, suffixes)
+    url, netloc, host, label = (free_name([*df.columns, name], part) for part in _PARTS)
+    parted = df.withColumn(url, _url(F.col(column)))
+    parted = parted.withColumn(netloc, _netloc(F.col(url)))
+    parted = parted.withColumn(host, _host(F.col(netloc)))
+    parted = parted.withColumn(label, site_label(F.col(host), suffixes))
+    parts = [F.col(part) for part in (url, netloc, label)]
+    named = parted.withColumn(name, _name(F.col(column), *parts, stores))
+    return named.drop(url, netloc, host, label)
+
+
+_PARTS = ("_url", "_netloc", "_host", "_label")
+# Into how many keys rows without a URL are spread.
+SPREAD = 4096
+
+
+def _with_joined_referrer(
+    df: DataFrame, column: str, name: str, stores: Sequence[Store], rules: DataFrame
+) -> DataFrame:
+    names = referrer_names(df.select(F.col(column).alias("site")), stores, rules)
+    key, site = (free_name([*df.columns, name], part) for part in ("_key", "_site"))
+    place = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("string")
+    known = F.concat(F.lit("="), F.col(column).cast("string"))
+    keyed = df.drop(name).withColumn(key, F.coalesce(known, place))
+    names = names.select(F.concat(F.lit("="), "site").alias(site), F.col("source").alias(name))
+    joined = keyed.join(names, F.col(key) == F.col(site), "left").drop(key, site)
+    return joined.withColumn(name, F.coalesce(name, F.lit(NO_REFERRER)))
+
+
+def referrer_names(
+    sites: DataFrame, stores: Sequence[Store], rules: DataFrame
+) -> DataFrame:
+    """``site`` and its ``source`` name for every distinct ``site``, by a table of suffix rules; a null
+    site drops out."""
+    distinct = sites.where(F.col("site").isNotNull()).select(F.col("site").cast("string")).distinct()
+    url = distinct.withColumn("url", _url(F.col("site")))
+    parted = url.withColumn("netloc", _netloc(F.col("url")))
+    parted = parted.withColumn("host", _host(F.col("netloc")))
+    labelled = parted.join(host_labels(parted, rules), "host")
+    parts = [F.col(part) for part in ("site", "url", "netloc", "label")]
+    return labelled.select("site", _name(*parts, stores).alias("source"))
 
 
 def _url(site: Column) -> Column:

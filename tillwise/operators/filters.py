@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import free_name
 from ..functions.numbers import as_timestamp
 
 ALL = "All"
@@ -127,5 +128,6 @@ def drop_unreadable(df: DataFrame, times: Sequence[str]) -> DataFrame:
 
 def semi_join(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """Rows whose value occurs in ``other``; a null occurs if ``other`` has a null."""
-    keys = other.select(F.col(column).alias("_key")).distinct()
-    return df.join(keys, F.col(column).eqNullSafe(F.col("_key")), "left_semi")
+    key = free_name(df.columns, "_key")
+    keys = other.select(F.col(column).alias(key)).distinct()
+    return df.join(keys, F.col(column).eqNullSafe(F.col(key)), "left_semi")

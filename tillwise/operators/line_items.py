@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import free_name
 from ..functions.numbers import as_double, as_timestamp, exact_sum
 from ..functions.referrers import DEFAULT_SUFFIXES, Store, Suffixes, with_referrer
 from ..schemas import LINE_ITEM_COLUMNS, optional_column, require_columns
@@ -54,16 +55,23 @@ def line_count() -> Column:
     return F.least(*[F.coalesce(F.array_size(name), F.lit(0)) for name in ARRAYS])
 
 
-def order_lines(orders: DataFrame) -> DataFrame:
-    """One row per position that all three arrays of an order have."""
+def order_lines(orders: DataFrame, numbered: bool = False) -> DataFrame:
+    """One row per position that all three arrays of an order have; on request with its
+    ``line_number`` from 1."""
     require_columns(orders, ARRAYS, "orders")
-    zipped = F.arrays_zip(*ARRAYS)
-    lines = orders.withColumn("_line", F.explode(F.slice(zipped, F.lit(1), line_count())))
+    at, line = (free_name(orders.columns, name) for name in ("_at", "_line"))
+    zipped = F.slice(F.arrays_zip(*ARRAYS), F.lit(1), line_count())
+    others = [F.col(name) for name in orders.columns if name not in ARRAYS]
+    if numbered:
+        lines = orders.select("*", F.posexplode(zipped).alias(at, line))
+        others.append((F.col(at) + 1).alias("line_number"))
+    else:
+        lines = orders.withColumn(line, F.explode(zipped))
     return lines.select(
-        *[F.col(name) for name in orders.columns if name not in ARRAYS],
-        F.col("_line.product_sku").alias("order_product_sku"),
-        F.col("_line.product_ids").alias("order_product_id"),
-        F.col("_line.quantities").alias("quantity"),
+        *others,
+        F.col(f"{line}.product_sku").alias("order_product_sku"),
+        F.col(f"{line}.product_ids").alias("order_product_id"),
+        F.col(f"{line}.quantities").alias("quantity"),
     )
 
 
@@ -75,20 +83,63 @@ def product_skus(products: DataFrame) -> DataFrame:
     return tagged.select(*columns, F.explode("product_sku").alias("product_sku"))
 
 
+def products_by_sku(products: DataFrame) -> DataFrame:
+    """One row per SKU: the tagged product with the smallest ``product_id`` that has it, and in
+    ``product_tags`` all tags of all its products, each once, in order."""
+    skus = product_skus(products).where(F.col("product_sku").isNotNull())
+    names = [name for name in skus.columns if name not in ("product_sku", "product_tags", "product_id")]
+    whole = F.struct("product_id", *names) if "product_id" in skus.columns else F.struct(*names)
+    first = skus.groupBy("product_sku").agg(F.min(whole).alias("first"))
+    tags = skus.select("product_sku", F.explode("product_tags").alias("tag"))
+    tags = tags.groupBy("product_sku").agg(F.array_sort(F.collect_set("tag")).alias("product_tags"))
+    return first.join(tags, "product_sku").select("product_sku", "first.*", "product_tags")
+
+
 def line_items(
     orders: DataFrame,
     products: DataFrame,
     stores: Sequence[Store] = (),
-    suffixes: Suffixes = DEFAULT_SUFFIXES,
+    suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
+    grain: str = "tag",
 ) -> DataFrame:
-    """The full line-item table: 39 columns of both sides and 6 derived ones."""
+    """The full line-item table: 39 columns of both sides and 6 derived ones.
+
+    With ``grain="line"`` it has one row per order line, whatever the tags and products of its
+    SKU: ``line_number`` takes the place of ``individual_product_tag``, the product columns are those of
+    ``products_by_sku``, ``product_tags_list`` has all tags in order and ``product_tags_compound`` names
+    them. So a sum over lines counts each once.
+    """
+    if grain not in ("tag", "line"):
+        raise ValueError(f"a grain of line items is 'tag' or 'line', not {grain!r}")
     # Sources are named per order, before its lines and their tags multiply it.
     named = with_source(orders, stores, suffixes)
-    return join_products(order_lines(named), products, stores, suffixes)
+    if grain == "tag":
+        return join_products(order_lines(named), products, stores, suffixes)
+    return join_skus(order_lines(named, numbered=True), products, stores, suffixes)
+
+
+def join_skus(
+    lines: DataFrame,
+    products: DataFrame,
+    stores: Sequence[Store] = (),
+    suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
+) -> DataFrame:
+    """Line items of one row per line, from numbered order lines."""
+    lines = lines.withColumnsRenamed({"updated_at": "order_updated_at", "email": "customer_email"})
+    catalog = products_by_sku(products).withColumnRenamed("updated_at", "product_updated_at")
+    joined = lines.join(catalog.drop("product_id"), _same_sku(lines), "left")
+    columns = [name for name in LINE_ITEM_COLUMNS if name != "individual_product_tag"]
+    derived = [name for name in ("cleaned_referring_site",) if name in joined.columns]
+    items = typed_lines(joined.select("line_number", *columns, *derived, "product_tags"))
+    tags = F.coalesce("product_tags", F.array().cast("array<string>"))
+    named = F.when(F.size(tags) > 0, F.array_join(tags, ", ")).otherwise(NO_TAG)
+    items = derived_columns(items, stores, suffixes)
+    items = items.withColumns({"product_tags_list": tags, "product_tags_compound": named})
+    return items.drop("product_tags")
 
 
 def with_source(
-    orders: DataFrame, stores: Sequence[Store] = (), suffixes: Suffixes = DEFAULT_SUFFIXES
+    orders: DataFrame, stores: Sequence[Store] = (), suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES
 ) -> DataFrame:
     """Add ``cleaned_referring_site`` unless it is there already."""
     if "cleaned_referring_site" in orders.columns:
@@ -111,7 +162,7 @@ def join_products(
     lines: DataFrame,
     products: DataFrame,
     stores: Sequence[Store] = (),
-    suffixes: Suffixes = DEFAULT_SUFFIXES,
+    suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
 ) -> DataFrame:
     """The line-item table from order lines that are already one row per line."""
     lines = lines.withColumnsRenamed({"updated_at": "order_updated_at", "email": "customer_email"})
@@ -135,7 +186,7 @@ def typed_lines(lines: DataFrame) -> DataFrame:
 
 
 def derived_columns(
-    lines: DataFrame, stores: Sequence[Store] = (), suffixes: Suffixes = DEFAULT_SUFFIXES
+    lines: DataFrame, stores: Sequence[Store] = (), suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES
 ) -> DataFrame:
     """Line revenue, status, referrer name, tag forms and customer type."""
     present = set(lines.columns)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.binding import first_match
+from ..functions.binding import first_match, free_name
 from ..functions.numbers import exact_sum
+from ..sources.store import materialize
 
 
 def top_k(df: DataFrame, measure: str, k: int, *tie: str) -> DataFrame:
@@ -195,3 +196,38 @@ def _one_of(columns: Sequence[str], rows: Iterable[tuple]) -> Column:
         for row in sorted(rows)
     ]
     return reduce(or_, equal)
+
+
+def global_rank(
+    df: DataFrame, order: Sequence[str | Column], name: str = "rank", buckets: int | None = None
+) -> DataFrame:
+    """Add ``name``, the number of each row from 1 in ascending order of ``order``, nulls first.
+
+    The same numbers as ``row_number`` over all rows, without gathering them in one task. Rows
+    are dealt into ``buckets`` ranges by sampled cut points and sorted there; the sorted buckets are
+    stored, so cut points and places stay as they are whatever is computed again, and a bucket's
+    rows come after those of all buckets before it, whose sizes are all that is added up. A hash
+    of the whole row comes after ``order``: rows that tie are numbered the same way in every run,
+    and very many ties are cut into several buckets as well. Rows that are equal in all columns are
+    numbered as they come. Other columns are kept, also such with the names used here.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = free_name([*df.columns, name], "_place")
+    # The upper bits of the number are the bucket's, the lower 33 the row's within it.
+    keys = [*order, F.xxhash64(*[F.col(f"`{column}`") for column in df.columns])]
+    ranges = df.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
+    stored = materialize(ranges.withColumn(place, F.monotonically_increasing_id()), "ranked")
+    bucket = F.shiftright(place, IN_BUCKET)
+    sizes = stored.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
+    # One number for each bucket, however many rows there are.
+    before, starts = 0, []
+    for number, size in sorted(sizes.collect()):
+        starts += [0] * (number - len(starts)) + [before]
+        before += size
+    offsets = F.array(*[F.lit(start).cast("bigint") for start in starts or [0]])
+    row = F.col(place).bitwiseAND(F.lit((1 << IN_BUCKET) - 1))
+    return stored.withColumn(name, F.get(offsets, bucket.cast("int")) + row + 1).drop(place)
+
+
+IN_BUCKET = 33

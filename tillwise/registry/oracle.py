@@ -6,6 +6,8 @@ defined; nothing is summed before the product join.
 
 from __future__ import annotations
 
+from ..sources.star import RULED_SITE_SQL
+
 
 def _exact(value: str) -> str:
     """A sum with compensation for rounding; only the result is rounded."""
@@ -240,6 +242,29 @@ def _rfm(body: str) -> str:
     return _with("od cu", body, **_RFM)
 
 
+_RULED = f"""WITH rules AS (SELECT * FROM (VALUES ('com', 'plain'), ('org', 'plain'), ('uk', 'plain'),
+  ('co.uk', 'plain'), ('a.b.com', 'plain'), ('agency', 'plain'), ('photography', 'plain'),
+  ('bd', 'any'), ('ck', 'any'), ('www.ck', 'not')) AS v(name, kind)),
+sites AS (SELECT o_orderkey AS order_id, {RULED_SITE_SQL} AS referring_site FROM orders),
+hosts AS (
+  SELECT DISTINCT host, string_split(host, '.') AS labels FROM (
+    SELECT regexp_extract(referring_site, '://(?:[^/@]*@)?([^/:]*)', 1) AS host FROM sites)),
+sizes AS (
+  SELECT host, labels, max(CASE kind WHEN 'plain' THEN n WHEN 'any' THEN n + 1 END) AS longest,
+    max(n - 1) FILTER (kind = 'not') AS instead
+  FROM (SELECT *, len(string_split(name, '.')) AS n FROM hosts LEFT JOIN rules
+    ON host = name AND kind <> 'any' OR ends_with(host, '.' || name)) GROUP BY 1, 2),
+named AS (
+  SELECT host, CASE WHEN host SIMILAR TO '[0-9.]+' THEN host
+    WHEN coalesce(instead, longest) IS NULL THEN labels[-1]
+    WHEN coalesce(instead, longest) = len(labels) THEN labels[-2]
+    ELSE labels[len(labels) - coalesce(instead, longest)] END AS label FROM sizes)
+SELECT order_id, referring_site, CASE WHEN referring_site IS NULL THEN 'Direct/Unknown'
+  WHEN contains(referring_site, 'google.com') THEN 'Google Search'
+  ELSE upper(label[1]) || label[2:] END AS cleaned_referring_site
+FROM sites LEFT JOIN named ON host = regexp_extract(referring_site, '://(?:[^/@]*@)?([^/:]*)', 1)"""
+
+
 def _rfm_top(where: str) -> str:
     return _rfm(f"""SELECT customer_id, first_name, email, "Recency", "Frequency", "Monetary",
   "R_Score", "F_Score", "M_Score", "RFM_Segment", CASE "RFM_Segment"
@@ -301,6 +326,10 @@ def _short(x: str) -> str:
 
 # The columns of doubles in each result, which both engines round to 6 digits at the end.
 _DOUBLES = {
+    "line_items_by_line": "quantity price line_item_revenue",
+    "line_items_refreshed": "quantity total_order_value line_item_revenue",
+    "rfm_of_batches": "Monetary",
+    "rfm_ranks": "Monetary",
     "line_items_of_arrays": "quantity line_item_revenue total_order_value",
     "sales_kpis_of_arrays": (
         "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
@@ -456,6 +485,32 @@ FROM made LEFT JOIN catalog ON order_product_sku = product_sku""",
 UNION ALL SELECT 'SKU-' || (CAST(substr(product_sku, 5) AS BIGINT) + 1), product_name, price,
   individual_product_tag FROM px""",
         ),
+        "line_items_by_line": _with(
+            "ord",
+            f"""SELECT order_id, line_number, order_product_sku, quantity, product_name, price,
+  quantity * price AS line_item_revenue, {_SOURCE} AS cleaned_referring_site,
+  coalesce(tags, 'Unknown Tag') AS product_tags_compound
+FROM made LEFT JOIN firsts ON order_product_sku = 'SKU-' || firsts.sku
+LEFT JOIN tags ON tags.sku = firsts.sku""",
+            made=_ARRAY_LINES.replace("ord.*,", "ord.*, i AS line_number,"),
+            catalog="""SELECT p_partkey + k AS sku, part.* FROM part, (SELECT unnest([0, 1]) AS k)
+WHERE p_size % 10 <> 0""",
+            firsts="""SELECT sku, arg_min(p_name, p_partkey) AS product_name,
+  arg_min(p_retailprice, p_partkey) AS price FROM catalog GROUP BY 1""",
+            tags="""SELECT sku, string_agg(tag, ', ' ORDER BY tag) AS tags FROM (
+  SELECT DISTINCT sku, unnest([p_type, p_brand]) AS tag FROM catalog) GROUP BY 1""",
+        ),
+        "line_items_refreshed": _with(
+            "li",
+            """SELECT order_id, order_date, order_updated_at, order_product_sku, quantity,
+  total_order_value, line_item_revenue, product_tags_compound FROM li""",
+        ),
+        "rfm_of_batches": _rfm("SELECT * FROM scored"),
+        "rfm_ranks": _rfm(
+            """SELECT customer_id, "Recency", "Frequency", "Monetary", r AS "R_Rank", f AS "F_Rank",
+  m AS "M_Rank" FROM ranked"""
+        ),
+        "referrer_names_by_rules": _RULED,
         "sales_kpis_of_arrays": _with("ord", _kpis("order_id % 4 > 0", "ord")),
         "line_items_without_columns": """SELECT l_orderkey AS order_id, l_quantity AS quantity,
   'N/A (Site Data Missing)' AS cleaned_referring_site, 0.0::DOUBLE AS line_item_revenue,

@@ -28,8 +28,10 @@ from ..operators.line_items import (
 from ..operators.line_items import line_items as build_line_items
 from ..operators.orders import lines_of_product, one_row_per_order, order_rows
 from ..plans import customers, geo, products, referrers, returns, rfm, sales
+from ..plans.rfm_state import read_rfm_scores, update_rfm
+from ..sources.refresh import refresh_by_month
 from ..sources.star import STORES, StarShop
-from ..sources.store import new_path
+from ..sources.store import new_path, read_line_items
 from ..sources.tables import (
     read_orders,
     read_products,
@@ -140,6 +142,60 @@ def sales_kpis_of_arrays(shop):
     return sales.sales_kpis(order_rows(_shop_of_arrays(shop)[0], MONEY))
 
 
+@_query
+def line_items_by_line(shop):
+    items = build_line_items(*_shop_of_arrays(shop), STORES, grain="line")
+    names = ("order_id", "line_number", "order_product_sku", "quantity", "product_name", "price")
+    return items.select(
+        *names, "line_item_revenue", "cleaned_referring_site", "product_tags_compound"
+    )
+
+
+# Stored tables
+
+
+@_query
+def line_items_refreshed(shop):
+    # Some orders are stored in an older form first, some come late, some come again from before.
+    items = _line_items(shop).select(
+        "order_id", "order_date", "order_updated_at", "order_product_sku", "quantity",
+        "total_order_value", "line_item_revenue", "product_tags_compound",
+    )
+    path = new_path(shop.spark, "line-items")
+    late, changed, stale = (F.col("order_id") % n == 0 for n in (5, 7, 11))
+    older = items.withColumns(
+        {
+            "order_date": F.expr("order_date - interval 40 days"),
+            "order_updated_at": F.expr("order_updated_at - interval 1 day"),
+            "total_order_value": F.col("total_order_value") / 2,
+        }
+    )
+    refresh_by_month(items.where(~late & ~changed).union(older.where(~late & changed)), path)
+    refresh_by_month(items.where(late | changed), path)
+    refresh_by_month(older.where(stale), path)
+    return read_line_items(shop.spark, path)
+
+
+@_query
+def rfm_of_batches(shop):
+    # Some orders come first with another customer and a later date than they have.
+    orders = _orders(shop, "customer_id", "order_date", "total_order_value", "updated_at")
+    path = new_path(shop.spark, "rfm-state")
+    late, changed = F.col("order_id") % 3 == 0, F.col("order_id") % 7 == 0
+    before = orders.withColumns(
+        {
+            "customer_id": F.lit(1).cast("bigint"),
+            "order_date": F.expr("order_date + interval 400 days"),
+            "updated_at": F.expr("updated_at - interval 1 day"),
+        }
+    )
+    update_rfm(orders.where(~late & ~changed).unionByName(before.where(~late & changed)), path)
+    update_rfm(orders.where(late & ~changed), path)
+    update_rfm(orders.where(changed), path)
+    update_rfm(before.where(late), path)
+    return read_rfm_scores(shop.spark, path).drop("RFM_Score", "RFM_Segment")
+
+
 @_query
 def line_items_without_columns(shop):
     # What stands for columns that the source lacks.
@@ -509,6 +565,11 @@ def rfm_customers(shop):
     return _rfm(shop)
 
 
+@_query
+def rfm_ranks(shop):
+    return rfm.rfm_ranks(_orders(shop, "customer_id", "order_date", "total_order_value"))
+
+
 @_query
 def rfm_segment_counts(shop):
     return rfm.rfm_segment_counts(_rfm(shop))
@@ -623,6 +684,12 @@ def referrer_names(shop):
     return with_source(sites, STORES)
 
 
+@_query
+def referrer_names_by_rules(shop):
+    sites, rules = shop.sites_under_rules()
+    return with_source(sites, STORES, rules)
+
+
 @_query
 def raw_referrer_counts(shop):
     totals = _order_totals(shop, "referring_site", referrers=True)

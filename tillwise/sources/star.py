@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.referrers import Store
+from ..functions.suffix_rules import suffix_rules
 from ..operators.filters import date_range
 from .tables import typed_customers, typed_returns
 
@@ -107,6 +108,19 @@ SHEET_SQL = {
 }
 
 
+# Suffix rules, as a public list writes them, and hosts under all kinds of them.
+SUFFIX_RULES = (
+    "// suffixes", "", "com", "org", "uk", "co.uk", "a.b.com", "agency", "photography  // one word",
+    "*.bd", "*.ck", "!www.ck",
+)
+RULED_SITE_SQL = """case o_orderkey % 12 when 0 then 'https://www.studio.photography/x'
+    when 1 then 'http://a.agency' when 2 then 'https://news.bbc.com.bd/y?z=1'
+    when 3 then 'https://x' || (o_custkey % 20) || '.y.ck/' when 4 then 'http://deep.www.ck/'
+    when 5 then 'https://m.shop' || (o_custkey % 30) || '.co.uk:8080/q' when 6 then 'http://y.ck/'
+    when 7 then 'http://10.0.0.' || (o_custkey % 9) when 8 then 'http://host' || (o_custkey % 15) || '/'
+    when 10 then 'https://www.google.com/search?q=x' when 11 then 'https://user@q.a.b.com/' end"""
+
+
 def _derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{sql} as `{name}`" for name, sql in columns.items()])
 
@@ -155,6 +169,12 @@ class StarShop:
             columns |= SITE_SQL
         return _derive(raw, columns)
 
+    def sites_under_rules(self) -> tuple[DataFrame, DataFrame]:
+        """Orders with referring sites under rare and nested suffixes, and the table of rules."""
+        sites = {"order_id": "o_orderkey", "referring_site": RULED_SITE_SQL}
+        lines = self.spark.createDataFrame([(rule,) for rule in SUFFIX_RULES], "value string")
+        return _derive(self.table("orders"), sites), suffix_rules(lines)
+
     def lines(self) -> DataFrame:
         """Order lines without order-level columns."""
         return _derive(self.table("lineitem"), LINE_SQL)

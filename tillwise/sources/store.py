@@ -22,15 +22,17 @@ def write_line_items(lines: DataFrame, path: str) -> None:
     Months are cut in UTC, whatever the session's zone. The rebalance hint lets Spark split
     months that are too large for one task and merge the small ones.
     """
-    _write_by(lines.withColumn(MONTH, _month(lines, "order_date")), MONTH, path)
+    write_by(lines.withColumn(MONTH, month_of(lines, "order_date")), MONTH, path)
 
 
-def _write_by(df: DataFrame, column: str, path: str) -> None:
+def write_by(df: DataFrame, column: str, path: str) -> None:
+    """Write ``df`` by the values of a column; stored values that it has no row of stay."""
     writer = df.hint("rebalance", column).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-def _month(df: DataFrame, name: str) -> Column:
+def month_of(df: DataFrame, name: str) -> Column:
+    """The first day of a time's month, in UTC."""
     clock = F.col(name)
     if isinstance(df.schema[name].dataType, T.TimestampType):
         clock = F.convert_timezone(F.current_timezone(), F.lit("UTC"), clock.cast("timestamp_ntz"))
