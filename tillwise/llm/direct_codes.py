@@ -21,10 +21,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from .texts import slices, text_rows
 from .tokenizer_files import vocabulary
 
@@ -126,23 +126,45 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers. No match spans a space, so texts are
-        cut there; a word and plain punctuation after it are apart in any case."""
-        cut = [text.split(" ") for text in texts]
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache = {"": b""}
-        new = [chunk for chunk in set().union(*cut) if chunk not in self.cache]
-        parts = [self._parts(chunk) for chunk in new]
-        self._ask([p for p in {p for both in parts for p in both} if p not in self.cache])
-        for chunk, (word, tail) in zip(new, parts, strict=True):
-            self.cache[chunk] = self.cache[word] + self.cache[tail]
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, bytes] = {"": b""}
+        # Chunks by number: the ids of all on end, and where those of each begin.
+        self.numbers: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype="<u4")
+        self.starts = np.zeros(1, dtype=np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and how many each has. No match spans a space, so texts
+        are cut there; a word and plain punctuation after it are apart in any case. Of the
+        chunks that Arrow finds, Python sees each distinct one only."""
+        if len(self.numbers) > CACHED_CHUNKS:
+            self._forget()
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if new := [chunk for chunk in distinct if chunk not in self.numbers]:
+            self._learn(new)
+        known = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        numbers = known[np.asarray(coded.indices)]
+        sizes = np.diff(self.starts)[numbers]
+        ends = np.cumsum(sizes)
+        first = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        bounds = np.concatenate([[0], ends])[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+        return self.ids[first + np.arange(len(first))], np.diff(bounds)
+
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [self._parts(chunk) for chunk in chunks]
+        self._ask(list({part for both in parts for part in both}.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        cells = [get(word) + get(tail) if tail else get(word) for word, tail in parts]
+        self.numbers.update(zip(chunks, range(len(self.numbers), len(self.numbers) + len(chunks)), strict=True))
+        sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(cells), "<u4")])
 
     def _ask(self, pieces: list[str]) -> None:
         """Encode new pieces: words of letters many at a time, as the last id of each is one
@@ -155,10 +177,10 @@ class WordBpe:
             if len(ends) == len(group):
                 flat = found.astype("<u4").tobytes()
                 cuts = zip(group, [0, *ends], ends, strict=False)
-                self.cache |= {word: flat[4 * i : 4 * j] for word, i, j in cuts}
-        rest = [piece for piece in pieces if piece not in self.cache]
+                self.pieces |= {word: flat[4 * i : 4 * j] for word, i, j in cuts}
+        rest = [piece for piece in pieces if piece not in self.pieces]
         for piece, found in zip(rest, self._encode(rest), strict=True):
-            self.cache[piece] = found.astype("<u4").tobytes()
+            self.pieces[piece] = found.astype("<u4").tobytes()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -221,9 +243,12 @@ def write(
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 some = batch.slice(start, stop - start)
-                encoded = bpe.encode(some.column(1).to_pylist())
+                flat, counts = bpe.encode(some.column(1))
+                stops = (4 * np.cumsum(counts)).tolist()
+                whole = flat.tobytes()
                 keys = zip(some.column(0).to_pylist(), some.column(2).to_pylist(), strict=True)
-                for (doc, place), ids in zip(keys, encoded, strict=True):
+                for (doc, place), first, stop in zip(keys, [0, *stops], stops, strict=False):
+                    ids = whole[first:stop]
                     if held and (place != bucket or size + len(ids) // 4 >= SEGMENT_TOKENS):
                         yield segment()
                         part, held, size = part + 1 if place == bucket else 0, [], 0
