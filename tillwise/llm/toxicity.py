@@ -46,7 +46,7 @@ LEAST_DOCS = 5
 PREFIXES = (4, 5, 6, 7)
 STRONG = 2.0
 THRESHOLD = 0.5
-CACHED_TOKENS = 200_000
+CACHED_TOKENS = 400_000
 
 _SYMBOL = np.zeros(256, dtype=np.int32)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
@@ -122,7 +122,7 @@ class Restorer:
         logs = self.logs
         # By the last two symbols: the best log probability, and the way to it.
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for options in _lattice(word, literal):
+        for _, options in _lattice(word, literal):
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, way) in states.items():
                 for cost, made in options:
@@ -151,18 +151,23 @@ _SIGN_TWICE = re.compile(r"([^a-z\s])\1")
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
+def _once(word: str) -> str:
+    """A word with every letter that is said again said once."""
+    return _RUN.sub(r"\1", word)
+
+
 def _symbol(char: str) -> int:
     if "a" <= char <= "z":
         return ord(char) - 96
     return OTHER if char.isalpha() else 0
 
 
-def _lattice(word: str, literal: bool = False) -> Iterator[list[tuple[float, tuple]]]:
-    """For each run of one character, what it may have been: a cost and the symbols with
-    their characters."""
+def _lattice(word: str, literal: bool = False) -> Iterator[tuple[int, list[tuple[float, tuple]]]]:
+    """For each run of one character, its end and what it may have been: a cost and the symbols
+    with their characters."""
     for run in _RUN.finditer(word):
         n, last = len(run[0]), run.end() == len(word)
-        yield _options(run[1], min(n, 3), run.start() == 0, last, literal)
+        yield run.end(), _options(run[1], min(n, 3), run.start() == 0, last, literal)
 
 
 @lru_cache(maxsize=10_000)
@@ -203,6 +208,11 @@ def _spaced_out(tokens: list[str]) -> Iterator[str]:
     be letters are such characters; lone separators part them as spaces do."""
     held: list[str] = []
     for token in chain(tokens, [""]):
+        if len(token) > 1 and token[:2].isalpha():
+            if len(held) > 2:
+                yield " ".join(held)
+            held = []
+            continue
         bare = token.strip(_EDGES)
         if not bare:
             bare = token.strip(_NEVER_LETTERS)
@@ -220,11 +230,100 @@ _EDGES = ".,;:?!\"'()[]{}<>#%&*$/\\^=`|~-_+@«»“”„"
 _NEVER_LETTERS = "".join(set(_EDGES) - set(LOOKS_LIKE))
 
 
+class Sought:
+    """The terms of a lexicon, and whether any reading of a form can hold one of them.
+
+    A form is restored to a single reading, whatever its costs, so one of whose readings none
+    holds a term need not be restored: an exact bound, found by going through the lattice with
+    the beginnings of terms alone.
+    """
+
+    def __init__(self, terms: Iterable[str]):
+        terms = list(terms)
+        self.wholes = {term[:-1] for term in terms if term.endswith("$")}
+        self.prefixes = {term for term in terms if not term.endswith("$")}
+        self.begins = {t[:n] for t in self.wholes | self.prefixes for n in range(1, len(t) + 1)}
+        self.once = {_once(t) for t in self.wholes | self.prefixes}
+        self.once_begun = {t[:n] for t in self.once for n in range(1, len(t) + 1)}
+
+    def holds(self, word: str) -> bool:
+        """Whether a word has a term at all, by what it begins with."""
+        return word[: PREFIXES[0]] in self.begins
+
+    def in_reading(self, form: str) -> bool:
+        states = {""}
+        # After this place no other word can begin: the last sign but for those that end the form.
+        inner = form if form.isalpha() or form[-1:].isalpha() else form.rstrip(form[-1:])
+        if inner.isalpha():
+            # All readings are one word, and equal but for letters said again and what ends them.
+            once = _once(inner)
+            if once[:3] not in self.once_begun and not self.once & {once[:1], once[:2]}:
+                return False
+            if once not in self.once_begun and not any(once[:n] in self.once for n in range(1, len(once))):
+                return False
+        restart = -1 if inner.isalpha() else max((i for i, c in enumerate(inner) if not c.isalpha()), default=-1)
+        for end, options in _lattice(form):
+            following = set()
+            for state in states:
+                for _, made in options:
+                    at = state
+                    for _, char in made:
+                        if char == " ":
+                            if at in self.wholes:
+                                return True
+                            at = ""
+                        elif at is not None:
+                            at += char
+                            if at in self.prefixes:
+                                return True
+                            if at not in self.begins:
+                                at = None  # until the next word begins
+                    following.add(at)
+            states = following
+            if end > restart and states == {None}:
+                return False
+        return any(state in self.wholes for state in states)
+
+
+class Parts:
+    """Whether a reading of a form can be a part of some words, in one piece."""
+
+    def __init__(self, words: Iterable[str]):
+        self.pieces = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+
+    def in_reading(self, form: str) -> bool:
+        states = {""}
+        for _, options in _lattice(form):
+            following = set()
+            for state in states:
+                for _, made in options:
+                    at: str | None = state
+                    for _, char in made:
+                        if char == " ":
+                            # Spaces around a reading are cut off; none can be inside.
+                            at = at if not at or at.endswith(" ") else f"{at} "
+                        else:
+                            at += char
+                            if at not in self.pieces:
+                                at = None
+                                break
+                    if at is not None:
+                        following.add(at)
+            states = following
+            if not states:
+                return False
+        return any(states)
+
+
 class Reader:
-    """Turns tokens into the words they may be: as they stand, and restored."""
+    """Turns tokens into the words they may be: as they stand, and restored.
 
-    def __init__(self, letters: np.ndarray):
+    With ``sought`` and ``parts``, forms are restored only if a reading matters to these.
+    """
+
+    def __init__(self, letters: np.ndarray, sought: Sought | None = None, parts: Parts | None = None):
         self.restorer = Restorer(letters)
+        self.sought, self.parts = sought, parts
         self.restored: dict[str, str] = {}
 
     def restore(self, form: str) -> str:
@@ -238,15 +337,18 @@ class Reader:
     def tokens(self, text: str) -> list[str]:
         """White-space tokens; spelled-out words are added as tokens with spaces inside."""
         tokens = text.split()
-        if sum(map((1).__eq__, map(len, tokens))) > 2:
+        if list(map(len, tokens)).count(1) > 2:
             tokens.extend(_spaced_out(tokens))
         return tokens
 
     def words(self, token: str) -> list[str]:
-        plain = token.lower().strip(_EDGES)
+        lower = token.lower()
+        if lower.isalpha() and not _TWICE.search(lower):
+            return [lower]
+        plain = lower.strip(_EDGES)
         found = [plain] if plain and " " not in plain else []
         # Signs at the ends may be letters too; the path says whether they are.
-        whole = token.lower().strip("\"')[]{}<>#%&/\\^=`~,;:?.").rstrip("(")
+        whole = lower.strip("\"')[]{}<>#%&/\\^=`~,;:?.").rstrip("(")
         if ")" in token:
             whole = whole.lstrip("(")
         forms = [plain] if whole == plain else [plain, whole]
@@ -254,6 +356,8 @@ class Reader:
             # A letter said twice stands in one run again.
             forms += [f for f in (whole.replace(" ", ""),) if self.restorer.doubled(f)]
         for form in forms:
+            if self.sought and not self.sought.in_reading(form):
+                continue
             if " " in form or self.restorer.suspect(form) or self.restorer.doubled(form):
                 found += self.restore(form).split()
                 if _SIGN_TWICE.search(form):
@@ -268,7 +372,10 @@ class Reader:
         whole = whole.strip(_NEVER_LETTERS)
         if " " in token or not _HAS_LETTER.search(whole):
             return ""
-        said = self.restore(whole) if self.restorer.suspect(whole) else whole.strip(_EDGES)
+        if self.restorer.suspect(whole):
+            said = self.restore(whole) if not self.parts or self.parts.in_reading(whole) else ""
+        else:
+            said = whole.strip(_EDGES)
         return "" if " " in said else said
 
 
@@ -287,18 +394,21 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.reader = model, Reader(model.letters)
+        self.model = model
         self.cache: dict[str, float] = {}
         # Words in parts are sought by strong terms only, as chance makes weak ones.
         strong = (t for t, odds in model.lexicon.items() if odds >= STRONG)
         self.sought = {term[:-1] for term in strong if term.endswith("$")}
         self.begun = {word[:n] for word in self.sought for n in range(1, len(word))}
+        self.terms = Sought(model.lexicon)
+        self.reader = Reader(model.letters, self.terms, Parts(self.sought))
         self.pieces: dict[str, str] = {}
         self.starts: set[str] = set()
 
     def weight(self, token: str) -> float:
+        words = [word for word in self.reader.words(token) if self.terms.holds(word)]
         get = self.model.lexicon.get
-        return max((get(t, 0.0) for w in self.reader.words(token) for t in _terms(w)), default=0.0)
+        return max((get(t, 0.0) for w in words for t in _terms(w)), default=0.0)
 
     def in_parts(self, tokens: list[str]) -> list[str]:
         """Neighbouring tokens that make a strong term together, as tokens with spaces inside."""
@@ -321,12 +431,11 @@ class Scorer:
             self.cache.clear()
             self.pieces.clear()
             self.starts.clear()
-        for token in set().union(*tokens):
-            if token not in self.cache:
-                self.cache[token] = self.weight(token)
-                piece = self.pieces[token] = self.reader.piece(token)
-                if piece in self.begun:
-                    self.starts.add(token)
+        for token in set().union(*tokens).difference(self.cache):
+            self.cache[token] = self.weight(token)
+            piece = self.pieces[token] = self.reader.piece(token)
+            if piece in self.begun:
+                self.starts.add(token)
         for some in tokens:
             parts = self.in_parts(some)
             some += parts
@@ -383,7 +492,7 @@ def count_terms(labelled: DataFrame, letters: np.ndarray) -> DataFrame:
                 times[toxic].update(here)
                 if toxic:
                     in_docs.update(here.keys())
-                if len(known) > CACHED_TOKENS // 4:
+                if len(known) > CACHED_TOKENS // 8:
                     known.clear()
         terms = list(times[True].keys() | times[False].keys())
         for start in range(0, len(terms), 100_000):
