@@ -74,3 +74,32 @@ def test_small_graphs():
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         ids, _ = beam_search(vectors, build_graph(vectors), vectors, 10)
         assert (ids[:, 0] == np.arange(n)).all()
+
+
+def test_multiples_of_one_vector(spark):
+    """Cosines that are equal to the last bit go to the smallest ids."""
+    base = np.random.default_rng(1).normal(size=16).astype(np.float32)
+    rows = [(i, (base * np.float32(2.0 ** ((i * 7) % 28 - 14))).tolist()) for i in range(28)]
+    got = sorted(tuple(r) for r in nearest(table(spark, rows)).collect())
+    assert [i for _, _, i, _ in got] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("noise", [1e-2, 1e-3, 3e-4, 1e-4])
+def test_tight_clusters(spark, noise):
+    random = np.random.default_rng(7)
+    centres = random.normal(size=(6, 64))
+    vectors = centres[random.integers(0, 6, 1500)] + noise * random.normal(size=(1500, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors.astype(np.float32))]
+    got = {(q, i) for q, _, i, _ in nearest(table(spark, rows)).collect()}
+    want = {(q, i) for q, _, i, _ in by_all_pairs(rows, 5, 50)}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_recall_of_the_query(spark):
+    from tillwise.llm.registry import llm_queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want = {(q, i) for q, _, i, _ in by_all_pairs(rows, 5, 50)}
+    got = {(r.query_id, r.vec_id) for r in llm_queries()["op3_neighbours"](spark, folder).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)

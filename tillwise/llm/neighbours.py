@@ -29,8 +29,10 @@ ENTRIES = 8
 
 
 def _distances(vectors: np.ndarray, rows: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Squared distances of unit vectors: of each point to its row of vectors."""
-    return 2 - 2 * np.einsum("brd,bd->br", vectors[rows], points)
+    """Squared distances of unit vectors: of each point to its row of vectors. Differences are
+    squared, as a product near 1 cannot tell near vectors apart."""
+    between = vectors[rows] - points[:, None, :]
+    return np.einsum("brd,brd->br", between, between)
 
 
 def beam_search(
@@ -171,6 +173,17 @@ def _usable(vector: Column) -> Column:
     return finite & F.exists(vector, lambda x: x != 0)
 
 
+def direction(vector: Column) -> Column:
+    """A vector divided by the power of two that brings its largest component to 1 or more and
+    below 2. Nothing is rounded, so vectors that are such multiples of one another have one
+    direction, and equal cosines to the last bit."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    largest = F.array_max(F.transform(wide, lambda x: F.abs(x)))
+    # The addend makes up for a logarithm that falls short of a whole number by its last bit.
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(largest) + 1e-9).cast("double"))
+    return F.transform(wide, lambda x: x / scale)
+
+
 def _dealt(df: DataFrame, rows: int, name: str, by: str) -> DataFrame:
     """Add ``name``, a number by hash so that about ``rows`` rows of one length share it, and
     ``{name}s``, how many numbers there are."""
@@ -179,76 +192,106 @@ def _dealt(df: DataFrame, rows: int, name: str, by: str) -> DataFrame:
     return numbered.withColumn(name, F.pmod(F.xxhash64(by), F.col(f"{name}s")).cast("int"))
 
 
+def _tasks(df: DataFrame, name: str) -> int:
+    """Twice as many tasks as there are numbers, so that few of these share one."""
+    sizes = df.groupBy("length").agg(F.max(f"{name}s").alias("n"))
+    return 2 * (sizes.agg(F.sum("n")).first()[0] or 1)
+
+
 def build_index(vectors: DataFrame) -> DataFrame:
-    """One row per shard: ``length``, ``shard`` and, as bytes, its ``ids``, ``vectors`` and ``graph``.
+    """One row per shard: ``length``, ``shard``, ``shards`` (how many of this length) and, as bytes, its
+    ``ids``, ``vectors`` and ``graph``.
 
     ``vectors`` has ``id``, ``vector`` and ``length``. A shard has about ``SHARD_ROWS`` rows however many
-    there are, and is rebuilt alike if a task is run again.
+    there are, and is rebuilt alike if a task is run again. There are as many tasks as shards: the
+    work is in the graphs, not in the bytes.
     """
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         own = np.stack(rows["vector"].to_numpy()).astype(np.float32)
         graph = build_graph(_unit(own)).astype(np.int32)
-        cells = [rows["length"].iloc[0], rows["shard"].iloc[0], rows["id"].to_numpy(np.int64).tobytes()]
+        cells = [rows[name].iloc[0] for name in ("length", "shard", "shards")]
+        cells.append(rows["id"].to_numpy(np.int64).tobytes())
         return pd.DataFrame(
             [[*cells, own.tobytes(), graph.tobytes()]],
-            columns=["length", "shard", "ids", "vectors", "graph"],
+            columns=["length", "shard", "shards", "ids", "vectors", "graph"],
         )
 
-    dealt = _dealt(vectors, SHARD_ROWS, "shard", "id").select("length", "shard", "id", "vector")
-    return dealt.groupBy("length", "shard").applyInPandas(
-        build, "length int, shard int, ids binary, vectors binary, graph binary"
+    dealt = _dealt(vectors, SHARD_ROWS, "shard", "id")
+    dealt = store(dealt.select("length", "shard", "shards", "id", "vector"), "dealt-vectors")
+    spread = dealt.repartition(_tasks(dealt, "shard"), "length", "shard")
+    return spread.groupBy("length", "shard").applyInPandas(
+        build, "length int, shard int, shards int, ids binary, vectors binary, graph binary"
     )
 
 
+def _best(
+    sought: np.ndarray, vectors: np.ndarray, found: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All found vectors ranked by their cosines: of each query the ``k`` nearest, and what ties
+    with the last of them. Gives the query's place, the vector's, and the cosine."""
+    rows, hits, scores = [], [], []
+    step = max(1, (1 << 22) // (found.shape[1] * sought.shape[1]))
+    for start in range(0, len(sought), step):
+        row, place = np.nonzero(found[start : start + step] >= 0)
+        hit = found[start + row, place]
+        score = np.full(found[start : start + step].shape, -np.inf)
+        score[row, place] = cosines(sought[start + row], vectors[hit])
+        last = -np.sort(-score, axis=1)[:, min(k, score.shape[1]) - 1]
+        kept = score[row, place] >= last[row]
+        rows.append(start + row[kept])
+        hits.append(hit[kept])
+        scores.append(score[row, place][kept])
+    return np.concatenate(rows), np.concatenate(hits), np.concatenate(scores)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each query in each shard: ``query``, ``id``, ``score``.
+    """The ``k`` nearest of each query in each shard, and those that tie: ``query``, ``id``, ``score``.
 
-    Queries (``query``, ``vector``, ``length``) come in blocks, and every block meets every shard of its
-    length: a block and a shard are one row, so a task holds little of either table.
+    Queries (``query``, ``vector``, ``length``) come in blocks, and every block goes to every shard of
+    its length. A shard moves once and the blocks pass by it one at a time, so a task holds one
+    of each. All ids in the beam are ranked by their cosines.
     """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("query")
         own = np.stack(rows["vector"].to_numpy()).astype(np.float32)
-        cells = [rows["length"].iloc[0], rows["block"].iloc[0], rows["blocks"].iloc[0]]
+        cells = [rows["length"].iloc[0], rows["block"].iloc[0]]
         cells += [rows["query"].to_numpy(np.int64).tobytes(), own.tobytes()]
-        return pd.DataFrame([cells], columns=["length", "block", "blocks", "queries", "sought"])
+        return pd.DataFrame([cells], columns=["length", "block", "queries", "sought"])
 
     dealt = _dealt(queries, QUERY_ROWS, "block", "query")
-    packed = dealt.select("length", "block", "blocks", "query", "vector").groupBy("length", "block")
-    blocks = packed.applyInPandas(
-        pack, "length int, block int, blocks int, queries binary, sought binary"
-    )
-    blocks = store(blocks, "query-blocks")
-    numbers = blocks.groupBy("length").agg(F.max("blocks").alias("blocks"))
-    shards = index.join(numbers, "length")
-    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = shards.join(blocks.drop("blocks"), ["length", "block"])
-    met = met.select("length", "ids", "vectors", "graph", "queries", "sought")
+    packed = dealt.select("length", "block", "query", "vector").groupBy("length", "block")
+    blocks = packed.applyInPandas(pack, "length int, block int, queries binary, sought binary")
+    numbers = index.select("length", "shard")
+    sent = store(blocks, "query-blocks").join(numbers, "length")
+    kinds = ("length", "shard", "block", "names", "vectors", "graph")
+    sent = sent.select("length", "shard", "block", "queries", "sought", F.lit(None).cast("binary"))
+    shards = index.select("length", "shard", F.lit(-1), "ids", "vectors", "graph")
+    both = shards.toDF(*kinds).union(sent.toDF(*kinds))
+    laid = both.repartition(_tasks(index, "shard"), "length", "shard")
+    laid = laid.sortWithinPartitions("length", "shard", "block")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = vectors = unit = graph = None
         for batch in batches:
             for i in range(batch.num_rows):
-                length, *cells = (column[i].as_py() for column in batch.columns)
-                ids, vectors, graph, names, sought = (
-                    np.frombuffer(cell, kind)
-                    for cell, kind in zip(cells, (np.int64, "f4", np.int32, np.int64, "f4"), strict=True)
-                )
-                vectors, sought = vectors.reshape(-1, length), sought.reshape(-1, length)
-                graph, unit = graph.reshape(-1, DEGREE).astype(np.int64), _unit(vectors)
+                length, _, block, names, held, edges = (column[i].as_py() for column in batch.columns)
+                names = np.frombuffer(names, np.int64)
+                held = np.frombuffer(held, "f4").reshape(-1, length)
+                if block < 0:
+                    ids, vectors, unit = names, held, _unit(held)
+                    graph = np.frombuffer(edges, np.int32).reshape(-1, DEGREE).astype(np.int64)
+                    continue
                 for start in range(0, len(names), BATCH):
-                    own, named = sought[start : start + BATCH], names[start : start + BATCH]
+                    own, named = held[start : start + BATCH], names[start : start + BATCH]
                     found, _ = beam_search(unit, graph, _unit(own), BEAM)
-                    found = found[:, : k + 4]
-                    row, place = np.nonzero(found >= 0)
-                    hit = found[row, place]
-                    columns = [named[row], ids[hit], cosines(own[row], vectors[hit])]
-                    made = [pa.array(column) for column in columns]
+                    row, hit, score = _best(own, vectors, found, k)
+                    made = [pa.array(column) for column in (named[row], ids[hit], score)]
                     yield pa.RecordBatch.from_arrays(made, names=["query", "id", "score"])
 
-    return met.mapInArrow(run, "query bigint, id bigint, score double")
+    return laid.mapInArrow(run, "query bigint, id bigint, score double")
 
 
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -261,32 +304,36 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     repeated with id and vector count once, and rows of one id with other vectors are
     queries each. Other columns are not read.
 
-    Equal vectors are one point of the graph. Of the ids at a point, the ``k + 1`` smallest can be
-    among the ``k`` nearest of any query, so these are kept with it.
+    Vectors of one direction, that is equal but for a power of two, are one point of the graph. Of
+    the ids at a point, the ``k + 1`` smallest can be among the ``k`` nearest of any query, so these
+    are kept with it. Points and queries are told apart by 64-bit hashes of what they are.
     """
     vector = F.col("embedding").cast("array<float>")
     rows = embeddings.select(embeddings["vec_id"].cast("bigint").alias("id"), vector.alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(_usable(F.col("vector")))
-    by_id = Window.partitionBy("vector").orderBy("id")
     once = rows.groupBy("id", "vector").agg(F.size("vector").alias("length"))
-    first = once.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
-    points = first.groupBy("vector").agg(
-        F.min("id").alias("id"), F.min("length").alias("length"), F.collect_list("id").alias("same")
+    by_id = Window.partitionBy("direction").orderBy("id", "vector")
+    directed = once.withColumn("direction", direction(F.col("vector")))
+    first = directed.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
+    points = first.groupBy("direction").agg(
+        F.min_by("vector", "place").alias("vector"),
+        F.min("length").alias("length"),
+        F.collect_list("id").alias("same"),
     )
     # A point is named by a number of its own, as rows of one id may have several vectors.
-    points = points.withColumn("id", F.xxhash64("vector"))
+    points = points.select(F.xxhash64("direction").alias("id"), "vector", "length", "same")
     points = store(points, "points")
     index = store(build_index(points.select("id", "vector", "length")), "graphs")
     queries = once.where(F.col("id") % every == 0)
     queries = store(queries.withColumn("query", F.xxhash64("id", "vector")), "queries")
-    found = search(index, queries.select("query", "vector", "length"), k)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     # First the points, of which the query's own may be one, then the ids at them.
-    near = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    near = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1 + 4)
+    found = search(index, queries.select("query", "vector", "length"), k + 1)
+    near = Window.partitionBy("query").orderBy(F.desc("score"))
+    near = found.withColumn("place", F.rank().over(near)).where(F.col("place") <= k + 1)
     named = near.join(points.select("id", "same"), "id").select(
         "query", "score", F.explode("same").alias("vec_id")
     )
     named = named.join(queries.select("query", F.col("id").alias("query_id")), "query")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = named.where("vec_id <> query_id").withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
