@@ -67,6 +67,7 @@ def rebuilt(turns: DataFrame, block: int = 20) -> DataFrame:
     none), then c's own turns after its first h; h is ``shared_start``, 0 to 3. Each
     conversation also has a row at position -1, so that those left without a turn are seen.
     """
+    turns = store(turns, "turns")
     starts = turns.where((F.col("position") < 3) & (F.col("conv_id") % block == 0))
     starts = starts.groupBy(F.col("conv_id").alias("base")).agg(
         F.array_sort(F.collect_list(F.struct("position", "turn", "words"))).alias("start")
