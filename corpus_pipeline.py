@@ -30,16 +30,20 @@ def _whole_rows(docs: DataFrame, of_text: Callable[[Column], Column]) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that are not scored as toxic; labels fit the model, ids and labels score nothing."""
+    """Documents that are not scored as toxic; labels fit the model, ids and labels score nothing.
+    Null texts count as empty, and without labels none is toxic; repeated rows go or stay alike."""
     model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     scored = _whole_rows(docs, toxicity.score_udf(model))
     return scored.where(F.col("found") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose language can be told: those with a letter in them."""
+    """Documents whose language can be told: those with a letter in them. Null and empty texts
+    have none; where no document names a language, none can be learnt, and letters alone count."""
     out = F.coalesce(language_id.held_out(), F.lit(False))
     code = language_id.learn(docs.where(~out).select("text", "lang"))
+    if not code.languages:
+        return docs.where(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
     told = _whole_rows(docs, language_id.language_udf(code))
     return told.where(F.col("found") != language_id.UNDETERMINED).select("row.*")
 
@@ -56,7 +60,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token ids of each document, and a digest of the text that they decode to."""
+    """Token ids of each row, and a digest of the text that they decode to; null texts have none."""
     keys = ("doc_id", "lang", "source")
     encoded = byte_bpe.encode(docs, *keys, decoded=True)
     return encoded.select(*keys, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

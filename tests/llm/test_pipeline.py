@@ -76,3 +76,29 @@ def test_near_duplicates_by_five_words(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(groups))
     four = near_dedup.without_duplicates(docs).collect()
     assert len(four) < len(kept) < len(texts)
+
+
+def test_names_that_clash(spark):
+    """Columns of any name, rows without ids, and two texts of one id."""
+    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text), (None, text), (None, text + " more"), (7, "a b c d e f"), (7, "a b c d e f"), (7, "A b c d e f")]
+    rows += [(8, "other words that stand alone here"), (None, "x " + items[0]), (9, ""), (9, ""), (None, None), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, _id int, _key string, class int, `first` int"
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "k", 2, i) for i, r in enumerate(rows)], schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    found = sorted((str(r.doc_id), (r.text or "").lower()[:9]) for r in kept.collect())
+    assert found == sorted([
+        ("None", "word0 wor"), ("7", "a b c d e"), ("8", "other wor"), ("None", ("x " + items[0]).lower()[:9]),
+        ("9", ""), ("None", ""), ("None", ""),
+    ])
+    clean = corpus_pipeline.drop_contaminated(spark, docs, FOLDER)
+    assert clean.columns == docs.columns and clean.count() == len(rows) - 1
+
+
+def test_no_language_learnt(spark):
+    rows = [(1, "clean words", None), (2, "12 34", None), (3, None, ""), (4, "日本", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_without_language(spark, docs, FOLDER).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 4]

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import free_name
 from .stored import store
 
 WINDOW = 10
@@ -113,10 +114,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns."""
+    """The documents without a hit, with all their columns, whatever their names.
+
+    Null and empty texts have none and stay, repeated rows stay or go together, and an empty
+    benchmark keeps all rows.
+    """
+    id_, key = (free_name(docs.columns, name) for name in ("_id", "_key"))
     bad = store(by_text(docs, benchmark).where("contaminated"), "contaminated")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_key"))
+    bad = bad.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & F.xxhash64(docs["text"]).eqNullSafe(F.col(key))
     return docs.join(bad, same, "left_anti")
 
 

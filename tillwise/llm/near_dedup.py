@@ -4,8 +4,10 @@ A document's set of word shingles gets a signature of ``SYMBOLS`` values of ``b`
 hash function. Two signatures that differ in at most ``RADIUS`` symbols have, by the pigeonhole
 principle, a chunk of the ``CHUNKS`` in which they differ in one symbol at most. All ways to leave
 one symbol out of a chunk are enumerated as keys, so such a pair shares a key for certain.
-At a similarity of 0.8 the chance that a pair differs in more symbols is below 1e-6.
-Every link is confirmed on the full sets.
+A pair of similarity 0.8 differs in more symbols with a chance of 3.6e-6, but is missed only if it
+differs in two or more in each of the chunks: 16 have five symbols and 8 six, so the chance
+is 0.263^16 x 0.345^8, or 1e-13, for independent hashes. Pairs that have met are not judged by
+their signatures: what bitmaps of the sets allow is confirmed, as every link is, on the full sets.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import free_name
 from .components import components
 from .stored import store
 from .texts import separators, shingle_hashes, slices, text_rows, utf8, word_hashes
@@ -212,7 +215,7 @@ def _hubs(keyed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within ``RADIUS`` that share a key but are not connected yet, each once: a pair
+    """Pairs that share a key but are not connected yet, each once: a pair
     leaves only the cell of the first key that both have, and only if sizes and bitmaps allow the
     similarity. Keys whose classes are all connected are left out."""
     ends = roots.withColumnRenamed("node", "class")
@@ -281,7 +284,7 @@ def _around_hub(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatc
 
 
 def _apart(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
-    """Near pairs with different roots among one cell's rows that share no earlier key."""
+    """Possible pairs with different roots among one cell's rows that share no earlier key."""
     if len({row[2] for row in held}) < 2:
         return
     _, x, y, slot = cell
@@ -293,9 +296,7 @@ def _apart(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
     for i in one:
         rest = other[other > i] if x == y else other
         rest = rest[roots[rest] != roots[i]]
-        differ = signs[rest] != signs[i]
-        near = differ.sum(axis=1) <= RADIUS
-        near[near] = _first_slot(differ[near]) == slot
+        near = _first_slot(signs[rest] != signs[i]) == slot
         near[near] = _may_be_similar(sizes[i], bits[i], sizes[rest[near]], bits[rest[near]])
         a.append(np.minimum(names[rest[near]], names[i]))
         b.append(np.maximum(names[rest[near]], names[i]))
@@ -338,15 +339,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     Texts with equal sets are one class. Classes are first linked with the hub of each key; after
     that, what is still apart is compared with all others under its keys.
     """
-    return decisions(docs, size).drop("text_key")
+    return decisions(docs, size).drop("text_key", "worded", "stays")
 
 
 def decisions(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``near_duplicates`` with the ``text_key`` of each row, xxhash64 of its text."""
     each = store(signatures(docs, size), "signatures")
     with_words = each.where(F.col("class").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     classes = with_words.groupBy("class").agg(
         F.min("doc_id").alias("doc_id"),
+        F.min(order).alias("first"),
         *[F.min(name).alias(name) for name in ("n_shingles", "signature", "bits")],
     )
     classes = store(classes, "classes")
@@ -364,42 +367,48 @@ def decisions(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         roots = components(links)
     roots = roots.withColumnRenamed("node", "class")
     grouped = classes.join(roots, "class", "left").select(
-        "class", "doc_id", F.coalesce("root", "class").alias("root")
+        "class", "doc_id", "first", F.coalesce("root", "class").alias("root")
     )
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(least, "root").select("class", "component_id")
+    least = grouped.groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.min("first").alias("survivor")
+    )
+    named = grouped.join(least, "root").select("class", "component_id", "survivor")
     result = each.join(named, "class", "left")
     component = F.coalesce("component_id", "doc_id")
+    stays = F.struct("doc_id", "text_key") == F.struct("survivor.doc_id", "survivor.text_key")
     return result.select(
         "doc_id",
         "text_key",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("class").isNotNull().alias("worded"),
+        F.when(F.col("class").isNull(), True).otherwise(stays).alias("stays"),
     )
 
 
 def without_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One document of each group of near duplicates, by runs of ``size`` words, with all its columns: the one with the
-    smallest id. Of rows repeated with id and text, one stays; a group without ids keeps all."""
-    decided = store(decisions(docs, size), "near-duplicates").select("doc_id", "text_key", "kept")
-    key = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
-    times = decided.where("doc_id is not null").groupBy("doc_id", "text_key")
-    again = times.count().where("count > 1").select(*key)
-    rest = _without(docs, decided.where("not kept").select(*key).distinct())
-    if again.isEmpty():
-        return rest
-    once = rest.join(again, _same_row(docs), "left_semi")
-    once = once.groupBy("doc_id", F.xxhash64("text").alias("_key")).agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    )
-    return _without(rest, again).unionByName(once.select("row.*"))
+    """One document of each group of near duplicates, by runs of ``size`` words, with all its columns,
+    whatever their names.
 
+    It is the one with the smallest id, of several rows with that id the one whose text has the
+    smallest hash, and of equal rows one; a row without an id stays only where its group has no
+    id. Null and empty texts are in no group; of these, rows repeated with an id and text are one.
+    """
+    decided = store(decisions(docs, size), "near-duplicates")
+    id_, key = (free_name(docs.columns, name) for name in ("_id", "_key"))
+    named = [F.col("doc_id").alias(id_), F.col("text_key").alias(key)]
 
-def _same_row(docs: DataFrame) -> Column:
-    id_, key = docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"])
-    return id_.eqNullSafe(F.col("_id")) & key.eqNullSafe(F.col("_key"))
-
+    def same(df: DataFrame) -> Column:
+        return df["doc_id"].cast("bigint").eqNullSafe(F.col(id_)) & F.xxhash64(df["text"]).eqNullSafe(F.col(key))
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone, _same_row(docs), "left_anti")
+    rest = docs.join(decided.where("not stays").select(*named).distinct(), same(docs), "left_anti")
+    alike = decided.where("stays and (worded or doc_id is not null)").groupBy("doc_id", "text_key")
+    again = store(alike.count().where("count > 1").select(*named), "repeated")
+    if again.isEmpty():
+        return rest
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    once = rest.join(again, same(rest), "left_semi")
+    once = once.select(row.alias("row"), F.xxhash64("text").alias("text_key"))
+    once = once.groupBy(F.col("row.doc_id"), "text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rest.join(again, same(rest), "left_anti").unionByName(once.select("row.*"))
