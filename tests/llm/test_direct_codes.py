@@ -35,6 +35,13 @@ def test_texts_of_all_kinds(library):
         assert np.frombuffer(ids, "<u4").tolist() == _ids(library, text), repr(text)
 
 
+def test_special_names(library):
+    texts = ["<|endoftext|>", "<|ENDOFTEXT|>", "A <|EndOfText|> B", "x<|startoftext|>Y", "THE END", "Ends.", ""]
+    flat, counts = WordBpe(vocabulary(direct_codes.VOCABULARY)).encode(pa.array(texts))
+    found = np.split(flat, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in found] == [_ids(library, text) for text in texts]
+
+
 def test_random_access():
     pick = random.Random(5)
     edges = [0, 255, 256, 65535, 65536, 2**32 - 1]

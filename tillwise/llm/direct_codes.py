@@ -34,6 +34,8 @@ WIDTHS = (1, 1, 2)
 BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 CACHED_CHUNKS = 1_000_000
+# Bytes of text whose distinct chunks are found at a time.
+SLICE_BYTES = 4_000_000
 PUNCTUATION = ".,;:!?\"#$%&()*+-/<=>@[]^_`{|}~"
 _POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 
@@ -143,11 +145,14 @@ class WordBpe:
         chunks that Arrow finds, Python sees each distinct one only."""
         if len(self.numbers) > CACHED_CHUNKS:
             self._forget()
-        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        texts = texts.cast(pa.large_string())
+        # The tokenizer takes no note of case, but for what may be a special token's name.
+        special = pc.match_substring(texts, "<|")
+        cut = pc.split_pattern(pc.if_else(special, texts, pc.ascii_lower(texts)), " ")
         coded = cut.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if new := [chunk for chunk in distinct if chunk not in self.numbers]:
-            self._learn(new)
+        if new := set(distinct).difference(self.numbers):
+            self._learn(list(new))
         known = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
         numbers = known[np.asarray(coded.indices)]
         sizes = np.diff(self.starts)[numbers]
@@ -188,6 +193,8 @@ class WordBpe:
 
     @staticmethod
     def _parts(chunk: str) -> tuple[str, str]:
+        if chunk.isalpha() and chunk.isascii():
+            return chunk.lower(), ""
         word = chunk.rstrip(PUNCTUATION)
         if not word.isalpha() or not word.lower().isalpha():
             return chunk, ""
@@ -241,7 +248,7 @@ def write(
             return pa.RecordBatch.from_arrays(cells, names=names)
 
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
+            for start, stop in slices(batch.column(1), SLICE_BYTES):
                 some = batch.slice(start, stop - start)
                 flat, counts = bpe.encode(some.column(1))
                 stops = (4 * np.cumsum(counts)).tolist()
