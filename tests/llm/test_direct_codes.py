@@ -29,7 +29,8 @@ def _ids(library, text):
 def test_texts_of_all_kinds(library):
     pick = random.Random(4)
     texts = ["".join(pick.choices(PARTS, k=pick.randint(0, 12))) for _ in range(3000)]
-    flat, counts = WordBpe(vocabulary(direct_codes.VOCABULARY)).encode(pa.array(texts))
+    among = pa.array(["É before", *texts, "after É"])[1:-1]
+    flat, counts = WordBpe(vocabulary(direct_codes.VOCABULARY)).encode(among)
     found = [x.tobytes() for x in np.split(flat, np.cumsum(counts)[:-1])]
     for text, ids in zip(texts, found, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == _ids(library, text), repr(text)

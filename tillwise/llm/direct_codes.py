@@ -145,7 +145,8 @@ class WordBpe:
         chunks that Arrow finds, Python sees each distinct one only."""
         if len(self.numbers) > CACHED_CHUNKS:
             self._forget()
-        texts = texts.cast(pa.large_string())
+        # A copy of its own, as Arrow folds the case of a slice at wrong places.
+        texts = pa.concat_arrays([texts[:0], texts]).cast(pa.large_string())
         # The tokenizer takes no note of case, but for what may be a special token's name.
         special = pc.match_substring(texts, "<|")
         cut = pc.split_pattern(pc.if_else(special, texts, pc.ascii_lower(texts)), " ")
