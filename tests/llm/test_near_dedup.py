@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillwise.llm import near_dedup
 from tillwise.llm.components import components
@@ -116,3 +117,27 @@ def test_components(spark, shape):
             assert root[a] == root[b]
     groups = {"path": 1, "star": 1, "cycles": 2, "none": 0}[shape]
     assert len(set(root.values())) == groups
+
+
+def test_rows_of_a_hot_key_grow_in_proportion(spark, monkeypatch):
+    """A family that is connected but for a few classes goes to the blocks of these alone."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+
+    def counted(held, cell):
+        import pyarrow as pa
+
+        ids = pa.array([row[1] for row in held], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, ids], names=["a", "b"])
+
+    monkeypatch.setattr(near_dedup, "_apart", counted)
+    rows = {}
+    for n in (400, 800):
+        ids = spark.range(n)
+        sign = near_dedup.signature(np.arange(9, dtype=np.uint64)).tobytes()
+        classes = ids.selectExpr("id class", "9L n_shingles").withColumn("signature", F.lit(sign))
+        classes = classes.withColumn("bits", F.lit(near_dedup.bitmap(np.arange(9, dtype=np.uint64))))
+        keyed = ids.selectExpr("7L key", "id class", "cast(0 as smallint) slot", f"{n // 8} blocks")
+        roots = ids.selectExpr("id node", "case when id < 5 then id else 5 end root")
+        rows[n] = near_dedup._across(keyed, roots, classes).count()
+        assert rows[n] <= n + 5 * (n // 8 + 2)
+    assert rows[800] < 2.2 * rows[400]

@@ -33,6 +33,8 @@ RADIUS = 2 * CHUNKS - 1
 BLOCK = 1024
 HUB_VOTES = 64
 BITS = 1024
+PAIR_KINDS = "a bigint, b bigint"
+HUB_KINDS = PAIR_KINDS + ", key bigint, slot smallint, blocks int"
 _COUNTS = np.array([bin(byte).count("1") for byte in range(256)], dtype=np.int64)
 
 WHITE = separators(b" \t\n\x0b\x0c\r")
@@ -205,50 +207,88 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int)
 
 
 def _hubs(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """In each cell, the class most like the others, paired with those within ``RADIUS`` of it.
+    """In each block of a key, the class most like the others, paired with those within ``RADIUS`` of it.
 
     Copies of one text differ more from one another than from it, so these few pairs connect
-    most of a family before any others are compared.
+    most of a family before any others are compared. The blocks of a key send their hubs to a next
+    level, until the key is one block: a class makes one row per key, whatever the number of blocks.
     """
-    alone = keyed.withColumn("root", F.col("class"))
-    return _in_cells(alone, classes, _around_hub).distinct()
+    level = keyed.withColumn("root", F.col("class"))
+    pairs: DataFrame | None = None
+    while True:
+        meets = F.lit(None).cast("int")
+        laid = level.withColumns({"block": _block(F.col("blocks")), "meets": meets})
+        found = store(_in_cells(laid, classes, _around_hub, HUB_KINDS), "block-hubs")
+        near = found.where("key is null").select("a", "b")
+        pairs = near if pairs is None else pairs.union(near)
+        hubs = found.where("key is not null")
+        if hubs.isEmpty():
+            return pairs.distinct()
+        # A key of one block has no hub row, so its hubs have met all that they have to.
+        level = hubs.select(
+            "key", F.col("a").alias("class"), "slot",
+            F.ceil(F.col("blocks") / BLOCK).cast("int").alias("blocks"), F.col("a").alias("root"),
+        )
+
+
+def _block(blocks: Column) -> Column:
+    """The block of a class among those of a key."""
+    return F.pmod(F.xxhash64("class"), blocks).cast("int")
 
 
 def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that share a key but are not connected yet, each once: a pair
     leaves only the cell of the first key that both have, and only if sizes and bitmaps allow the
-    similarity. Keys whose classes are all connected are left out."""
+    similarity. Keys whose classes are all connected are left out.
+
+    The classes of a key's largest root are not compared with one another. They make the last
+    blocks and meet only the first ones, those of all other classes.
+    """
     ends = roots.withColumnRenamed("node", "class")
-    placed = keyed.join(ends, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    sides = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = sides.where("low <> high").select("key")
-    return _in_cells(placed.join(mixed, "key", "left_semi"), classes, _apart, ["n_shingles", "bits"])
+    placed = keyed.drop("blocks").join(ends, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sides = sizes.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"),
+        F.max("n").alias("n_main"),
+        F.sum("n").alias("n"),
+    )
+    firsts = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("firsts")
+    lasts = F.ceil(F.col("n_main") / BLOCK).cast("int").alias("lasts")
+    mixed = sides.where("n > n_main").select("key", "main", firsts, lasts)
+    met = placed.join(mixed, "key")
+    is_main = F.col("root") == F.col("main")
+    block = F.when(is_main, F.col("firsts") + _block(F.col("lasts"))).otherwise(_block(F.col("firsts")))
+    meets = F.when(is_main, F.col("firsts")).otherwise(F.col("firsts") + F.col("lasts"))
+    laid = met.withColumns({"block": block, "meets": meets, "blocks": F.col("firsts") + F.col("lasts")})
+    return _in_cells(laid, classes, _apart, PAIR_KINDS, ["n_shingles", "bits"])
 
 
 def _in_cells(
     keyed: DataFrame,
     classes: DataFrame,
     compare: Callable[[list[tuple], tuple | None], Iterator[pa.RecordBatch]],
+    kinds: str,
     more: Sequence[str] = (),
 ) -> DataFrame:
-    """The pairs that ``compare`` finds in each cell.
+    """What ``compare`` finds in each cell, the meeting of two blocks of a key.
 
-    ``keyed`` has a row for each class and shared key, with the class's root and the number of
-    ``blocks`` that the key's classes make. A class's keys, root and signature come together in one row; from there it goes
-    to the cells where its block meets others of the same key. So a key that very many classes
-    share is spread over many tasks.
+    ``keyed`` has a row for each class and shared key, with the class's root, the number of
+    ``blocks`` of the key, the class's ``block`` and the number of blocks that this ``meets``, from
+    the first; null: only itself. A class's keys, root and signature come together in one row; from
+    there it goes to its cells. So a key that very many classes share is spread over many tasks.
     """
-    own = F.struct("key", "slot", "blocks")
+    own = F.struct("key", "slot", "blocks", "block", "meets")
     by_class = keyed.groupBy("class", "root").agg(F.collect_list(own).alias("keys"))
     by_class = by_class.join(classes.select("class", "signature", *more), "class")
     each = by_class.select("class", "root", "signature", *more, F.inline("keys"))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
+    numbers = F.when(F.col("meets").isNull(), F.array("block")).otherwise(
+        F.sequence(F.lit(0), F.col("meets") - 1)
+    )
     cells = F.transform(
         numbers, lambda i: F.struct(F.least(i, "block").alias("x"), F.greatest(i, "block").alias("y"))
     )
-    laid = each.withColumn("block", block).select(
-        "key", "slot", F.inline(cells), "block", "class", "root", "signature", *more
+    laid = each.select(
+        "key", "slot", "blocks", F.inline(cells), "block", "class", "root", "signature", *more
     )
     laid = laid.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "class")
 
@@ -257,19 +297,20 @@ def _in_cells(
         cell = None
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for key, slot, x, y, *row in zip(*columns, strict=True):
-                if (key, x, y, slot) != cell:
+            for key, slot, blocks, x, y, *row in zip(*columns, strict=True):
+                if (key, x, y, slot, blocks) != cell:
                     yield from compare(held, cell)
-                    cell, held = (key, x, y, slot), []
+                    cell, held = (key, x, y, slot, blocks), []
                 held.append(row)
         yield from compare(held, cell)
 
-    return laid.mapInArrow(run, "a bigint, b bigint")
+    return laid.mapInArrow(run, kinds)
 
 
 def _around_hub(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
-    """The hub of one block's rows, by its likeness to some of them, with what is near it."""
-    if len(held) < 2:
+    """The hub of one block's rows, by its likeness to some of them, with what is near it; a row
+    with the key says what the hub is, if the key has other blocks."""
+    if cell is None or (len(held) < 2 and cell[4] == 1):
         return
     names = np.array([row[1] for row in held])
     signs = np.frombuffer(b"".join(row[3] for row in held), np.uint16).reshape(-1, SYMBOLS)
@@ -279,15 +320,24 @@ def _around_hub(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatc
     hub = int(alike.argmax())
     near = np.flatnonzero((signs != signs[hub]).sum(axis=1) <= RADIUS)
     near = near[near != hub]
-    ends = [np.minimum(names[near], names[hub]), np.maximum(names[near], names[hub])]
-    yield pa.RecordBatch.from_arrays([pa.array(end, pa.int64()) for end in ends], names=["a", "b"])
+    key, _, _, slot, blocks = cell
+    told = [int(names[hub])] if blocks > 1 else []
+    none = [None] * len(near)
+    columns = [
+        pa.array(np.minimum(names[near], names[hub]).tolist() + told, pa.int64()),
+        pa.array(np.maximum(names[near], names[hub]).tolist() + told, pa.int64()),
+        pa.array(none + [key for _ in told], pa.int64()),
+        pa.array(none + [slot for _ in told], pa.int16()),
+        pa.array(none + [blocks for _ in told], pa.int32()),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "slot", "blocks"])
 
 
 def _apart(held: list[tuple], cell: tuple | None) -> Iterator[pa.RecordBatch]:
     """Possible pairs with different roots among one cell's rows that share no earlier key."""
     if len({row[2] for row in held}) < 2:
         return
-    _, x, y, slot = cell
+    _, x, y, slot, _ = cell
     block, names, roots, sizes = (np.array([row[i] for row in held]) for i in (0, 1, 2, 4))
     bits = np.frombuffer(b"".join(row[5] for row in held), np.uint8).reshape(len(held), -1)
     signs = np.frombuffer(b"".join(row[3] for row in held), np.uint16).reshape(-1, SYMBOLS)
