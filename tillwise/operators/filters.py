@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import free_name
@@ -26,14 +26,24 @@ def date_range(
     An incomplete or reversed range filters nothing, or raises with ``strict``. The bounds
     are literals of the column's own type, so that the filter reaches the file scan.
     """
-    if start is None or end is None or start > end:
+    condition = date_condition(df, column, start, end)
+    if condition is None:
         if strict:
             raise ValueError(f"not a date range: {start} to {end}")
         return df
+    return df.where(condition)
+
+
+def date_condition(
+    df: DataFrame, column: str, start: dt.date | None, end: dt.date | None
+) -> Column | None:
+    """What ``date_range`` asks of a row; ``None`` for an incomplete or reversed range."""
+    if start is None or end is None or start > end:
+        return None
     kind = df.schema[column].dataType
     first = F.lit(start.isoformat()).cast(kind)
     after = F.lit((end + dt.timedelta(days=1)).isoformat()).cast(kind)
-    return df.where((F.col(column) >= first) & (F.col(column) < after))
+    return (F.col(column) >= first) & (F.col(column) < after)
 
 
 def keep_equal(df: DataFrame, **values: object) -> DataFrame:

@@ -22,6 +22,7 @@ from ..functions.binding import free_name
 from ..functions.numbers import as_double, as_timestamp, exact_sum
 from ..functions.referrers import DEFAULT_SUFFIXES, Store, Suffixes, with_referrer
 from ..schemas import LINE_ITEM_COLUMNS, optional_column, require_columns
+from .hot_keys import hot_join
 
 TIMES = ("order_date", "order_updated_at", "product_created_at", "product_updated_at")
 NUMBERS = (
@@ -101,9 +102,13 @@ def line_items(
     stores: Sequence[Store] = (),
     suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
     grain: str = "tag",
+    frequent: DataFrame | None = None,
 ) -> DataFrame:
     """The full line-item table: 39 columns of both sides and 6 derived ones.
 
+    With ``frequent``, the SKUs that ``frequent_keys`` finds in the order lines, only these are split
+    in the product join, and only their products copied.
+
     With ``grain="line"`` it has one row per order line, whatever the tags and products of its
     SKU: ``line_number`` takes the place of ``individual_product_tag``, the product columns are those of
     ``products_by_sku``, ``product_tags_list`` has all tags in order and ``product_tags_compound`` names
@@ -114,8 +119,8 @@ def line_items(
     # Sources are named per order, before its lines and their tags multiply it.
     named = with_source(orders, stores, suffixes)
     if grain == "tag":
-        return join_products(order_lines(named), products, stores, suffixes)
-    return join_skus(order_lines(named, numbered=True), products, stores, suffixes)
+        return join_products(order_lines(named), products, stores, suffixes, frequent)
+    return join_skus(order_lines(named, numbered=True), products, stores, suffixes, frequent)
 
 
 def join_skus(
@@ -123,11 +128,12 @@ def join_skus(
     products: DataFrame,
     stores: Sequence[Store] = (),
     suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
+    frequent: DataFrame | None = None,
 ) -> DataFrame:
     """Line items of one row per line, from numbered order lines."""
     lines = lines.withColumnsRenamed({"updated_at": "order_updated_at", "email": "customer_email"})
     catalog = products_by_sku(products).withColumnRenamed("updated_at", "product_updated_at")
-    joined = lines.join(catalog.drop("product_id"), _same_sku(lines), "left")
+    joined = _with_products(lines, catalog.drop("product_id"), frequent)
     columns = [name for name in LINE_ITEM_COLUMNS if name != "individual_product_tag"]
     derived = [name for name in ("cleaned_referring_site",) if name in joined.columns]
     items = typed_lines(joined.select("line_number", *columns, *derived, "product_tags"))
@@ -158,11 +164,20 @@ def _same_sku(lines: DataFrame) -> Column:
     return (F.coalesce(sku, spread) == F.col("product_sku")) & sku.isNotNull()
 
 
+def _with_products(lines: DataFrame, catalog: DataFrame, frequent: DataFrame | None) -> DataFrame:
+    if frequent is None:
+        return lines.join(catalog, _same_sku(lines), "left")
+    # Lines of one order and quantity share a place, so no other column has to be hashed.
+    spread = [name for name in ("order_id", "quantity") if name in lines.columns]
+    return hot_join(lines, catalog, "order_product_sku", "product_sku", frequent, spread=spread)
+
+
 def join_products(
     lines: DataFrame,
     products: DataFrame,
     stores: Sequence[Store] = (),
     suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
+    frequent: DataFrame | None = None,
 ) -> DataFrame:
     """The line-item table from order lines that are already one row per line."""
     lines = lines.withColumnsRenamed({"updated_at": "order_updated_at", "email": "customer_email"})
@@ -172,7 +187,7 @@ def join_products(
         .withColumnRenamed("updated_at", "product_updated_at")
         .drop("product_tags", "product_id")
     )
-    joined = lines.join(catalog, _same_sku(lines), "left")
+    joined = _with_products(lines, catalog, frequent)
     derived = [name for name in ("cleaned_referring_site",) if name in joined.columns]
     items = typed_lines(joined.select(*LINE_ITEM_COLUMNS, *derived))
     return derived_columns(items, stores, suffixes)
@@ -252,13 +267,17 @@ SALTS = 4
 
 
 def order_totals(
-    lines: DataFrame, products: DataFrame, priced_only: bool = False
+    lines: DataFrame,
+    products: DataFrame,
+    priced_only: bool = False,
+    frequent: DataFrame | None = None,
 ) -> DataFrame:
     """Per order, ``quantity``, ``line_item_revenue`` and ``line_rows`` of its line items.
 
     The catalog comes down to one row per SKU, the number of its line-item rows and their
     summed price, so a line never becomes more than one row. With ``priced_only`` only line
-    items that have a revenue are counted.
+    items that have a revenue are counted. With ``frequent``, the SKUs that ``frequent_keys`` finds in
+    the lines, only these are split and copied; else all SKUs have ``SALTS`` copies.
     """
     skus = product_skus(products).where(F.col("price").isNotNull() | F.lit(not priced_only))
     copies = F.size("product_tags")
@@ -268,11 +287,13 @@ def order_totals(
     weights = weighed.groupBy("product_sku").agg(
         F.sum("_rows").alias("_rows"), exact_sum("_price").alias("_price")
     )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    weights = weights.withColumn("_copy", salts)
-    salt = F.pmod(F.xxhash64("order_id"), F.lit(SALTS)).cast("int")
-    same = _same_sku(lines) & (salt == F.col("_copy"))
-    items = lines.join(weights, same, "left")
+    if frequent is None:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        weights = weights.withColumn("_copy", salts)
+        salt = F.pmod(F.xxhash64("order_id"), F.lit(SALTS)).cast("int")
+        items = lines.join(weights, _same_sku(lines) & (salt == F.col("_copy")), "left")
+    else:
+        items = _with_products(lines, weights, frequent)
     rows = F.coalesce(F.col("_rows"), F.lit(1))
     items = items.select(
         "order_id",
