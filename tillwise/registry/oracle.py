@@ -448,6 +448,18 @@ _DOUBLES = {
 }
 
 
+# A third of the lines have one SKU and some none.
+_HOT = """SELECT l_orderkey AS order_id, l_quantity AS quantity,
+  CASE WHEN l_orderkey % 9 < 3 THEN 'SKU-1' WHEN l_orderkey % 9 > 3 THEN 'SKU-' || l_partkey END
+    AS order_product_sku FROM lineitem"""
+
+
+def _choice(cascade: str, turn: int, column: str, where: str = "true") -> str:
+    """One choice list, as a query of its own."""
+    return f"""SELECT '{cascade}' AS cascade, {turn} AS turn, '{column}' AS filter, {column} AS value
+FROM li WHERE {column} IS NOT NULL AND {where}"""
+
+
 def all_sql() -> dict[str, str]:
     """SQL per query name."""
     return {name: _rounded(sql, _DOUBLES.get(name, "").split()) for name, sql in _all().items()}
@@ -805,4 +817,51 @@ UNION SELECT product_name FROM ret WHERE product_name IS NOT NULL""",
   format('{{:,}}', CAST(round_even({value} / 7, 0) AS BIGINT)) AS count,
   format('{{:.2f}}%', {value} / 7000) AS percent FROM ord""",
         ),
+        "frequent_skus": _with(
+            "",
+            """SELECT order_product_sku AS key, count(*) AS n,
+  round(count(*) / (SELECT count(*) FROM hot), 6) AS share FROM hot
+WHERE order_product_sku IS NOT NULL GROUP BY ALL
+HAVING count(*) >= 0.0005::DOUBLE * (SELECT count(*) FROM hot)""",
+            hot=_HOT,
+        ),
+        "hot_sku_order_totals": _with(
+            "px",
+            f"""SELECT order_id, {_sum("quantity")} AS quantity, {_sum("quantity * price")}
+  AS line_item_revenue, count(*) AS line_rows
+FROM hot LEFT JOIN px ON order_product_sku = product_sku GROUP BY order_id""",
+            hot=_HOT,
+        ),
+        "hot_sku_line_items": _with(
+            "ord px",
+            """SELECT hot.order_id, order_product_sku, quantity, product_name, product_sku,
+  coalesce(individual_product_tag, 'Unknown Tag') AS product_tags_compound,
+  round(quantity * price, 6) AS line_item_revenue, order_channel
+FROM hot JOIN ord ON hot.order_id = ord.order_id
+LEFT JOIN px ON order_product_sku = product_sku""",
+            hot=_HOT,
+        ),
+        "choices_of_pages": _with(
+            "li",
+            "\nUNION ".join(
+                [
+                    _choice("overview", 1, "product_name", PERIOD),
+                    _choice("overview", 2, "order_channel", PERIOD),
+                    _choice("overview", 3, "cleaned_referring_site", f"{PERIOD} AND order_channel = 'web'"),
+                    _choice(
+                        "overview",
+                        4,
+                        "discount_applied",
+                        f"{PERIOD} AND order_channel = 'web' AND cleaned_referring_site = 'Google Direct'",
+                    ),
+                    _choice("products", 1, "product_name", PERIOD),
+                    _choice(
+                        "products", 2, "product_tags_compound", f"{PERIOD} AND product_name = 'red widget'"
+                    ),
+                    _choice("customers", 1, "imputed_customer_type"),
+                    _choice("geography", 1, "geography_state"),
+                    _choice("geography", 2, "geography_city", "geography_state = 'NATION_3'"),
+                ]
+            ),
+        ),
     }

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions.formats import amount, count_text, currency, percent_text, short_number
 from ..operators import filters
+from ..operators.choices import Cascade, cascading_choices
+from ..operators.hot_keys import frequent_keys
 from ..operators.line_items import (
     derived_columns,
     join_products,
@@ -781,5 +783,52 @@ def number_texts(shop):
     )
 
 
+def _hot_lines(shop: StarShop) -> DataFrame:
+    """The order lines, a third of them with one SKU and some with none."""
+    at = F.col("order_id") % 9
+    sku = F.when(at < 3, F.lit("SKU-1")).when(at > 3, F.col("order_product_sku"))
+    return shop.lines().withColumn("order_product_sku", sku)
+
+
+@_query
+def frequent_skus(shop):
+    return frequent_keys(_hot_lines(shop), "order_product_sku", 0.0005)
+
+
+@_query
+def hot_sku_order_totals(shop):
+    lines = _hot_lines(shop)
+    frequent = frequent_keys(lines, "order_product_sku")
+    # Orders without a priced line: a sum of nothing is 0 in a result.
+    return order_totals(lines, shop.products(), frequent=frequent).fillna(0.0, "line_item_revenue")
+
+
+@_query
+def hot_sku_line_items(shop):
+    lines = _hot_lines(shop)
+    orders = with_source(shop.orders(geography=True, referrers=True), STORES)
+    frequent = frequent_keys(lines, "order_product_sku")
+    items = join_products(orders.join(lines, "order_id"), shop.products(), STORES, frequent=frequent)
+    names = ("order_id", "order_product_sku", "quantity", "product_name", "product_sku")
+    return items.select(*names, "product_tags_compound", "line_item_revenue", "order_channel")
+
+
+@_query
+def choices_of_pages(shop):
+    overview = {
+        "product_name": filters.ALL,
+        "order_channel": "web",
+        "cleaned_referring_site": "Google Direct",
+        "discount_applied": None,
+    }
+    pages = [
+        Cascade("overview", overview, START, END),
+        Cascade("products", {"product_name": PRODUCT, "product_tags_compound": None}, START, END),
+        Cascade("customers", {"imputed_customer_type": "new"}),
+        Cascade("geography", {"geography_state": "NATION_3", "geography_city": None}),
+    ]
+    return cascading_choices(_line_items(shop), pages)
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_registry)
