@@ -28,6 +28,8 @@ def _ratio(a: str, b: str, factor: str = "") -> str:
 
 PERIOD = "order_date >= DATE '1996-01-01' AND order_date < DATE '1999-01-01'"
 
+_OF_PRODUCT = "order_id IN (SELECT order_id FROM li WHERE product_name = 'red widget')"
+
 _SITE = """CASE o_orderkey % 16 WHEN 0 THEN NULL WHEN 1 THEN ''
   WHEN 2 THEN 'android-app://com.google.android.gm/'
   WHEN 3 THEN 'https://www.google.com/search?q=x' WHEN 4 THEN 'https://www.google.com/'
@@ -379,6 +381,16 @@ _DOUBLES = {
         "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
         "average_order_value"
     ),
+    "cube_kpis_filtered": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "cube_kpis_product": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "cube_daily_product": "revenue",
+    "cube_by_channel": "total_order_value",
     "home_kpis": "total_revenue",
     "geo_kpis": "total_revenue",
     "geo_kpis_state": "total_revenue",
@@ -841,6 +853,25 @@ FROM hot JOIN ord ON hot.order_id = ord.order_id
 LEFT JOIN px ON order_product_sku = product_sku""",
             hot=_HOT,
         ),
+        "cube_kpis_filtered": _with("od", _kpis(f"{PERIOD} AND order_channel = 'web'")),
+        "cube_kpis_product": _with("od li", _kpis(f"{PERIOD} AND {_OF_PRODUCT}")),
+        "cube_daily_product": _with(
+            "od li",
+            f"""SELECT CAST(order_date AS DATE) AS date, {_sum("total_order_value")} AS revenue,
+  count(order_id) AS orders FROM od WHERE {_OF_PRODUCT} GROUP BY 1""",
+        ),
+        "cube_by_channel": _with(
+            "od",
+            f"""SELECT order_channel, {_sum("total_order_value")} AS total_order_value,
+  count(order_id) AS orders FROM od
+WHERE geography_state = 'NATION_3' AND order_channel IS NOT NULL GROUP BY 1""",
+        ),
+        "cube_orders_of_products": _with(
+            "li",
+            f"""SELECT geography_state, count(DISTINCT order_id) AS orders FROM li
+WHERE {PERIOD} AND product_name IN ('red widget', 'red plate', 'blue ring', 'hot bolt')
+  AND geography_state IS NOT NULL GROUP BY 1""",
+        ),
         "choices_of_pages": _with(
             "li",
             "\nUNION ".join(

@@ -29,7 +29,7 @@ from ..operators.line_items import (
 )
 from ..operators.line_items import line_items as build_line_items
 from ..operators.orders import lines_of_product, one_row_per_order, order_rows
-from ..plans import customers, geo, products, referrers, returns, rfm, sales
+from ..plans import cube, customers, geo, products, referrers, returns, rfm, sales
 from ..plans.rfm_state import read_rfm_scores, update_rfm
 from ..sources.refresh import refresh_by_month
 from ..sources.star import STORES, StarShop
@@ -830,5 +830,51 @@ def choices_of_pages(shop):
     return cascading_choices(_line_items(shop), pages)
 
 
+# Daily facts
+
+
+CUBE = ("order_channel", "discount_applied", "geography_state", "geography_city")
+SEVERAL = ("red widget", "red plate", "blue ring", "hot bolt")
+
+
+def _cube(shop: StarShop) -> str:
+    """The path of the stored facts of all orders."""
+    path = new_path(shop.spark, "cube")
+    orders = _orders(shop, "order_date", *CUBE, *MONEY, geography=True)
+    same = F.col("order_product_sku") == F.col("product_sku")
+    pairs = shop.lines().join(product_skus(shop.products()), same)
+    cube.write_cube(orders, pairs.select("order_id", "product_name"), path, CUBE)
+    return path
+
+
+@_query
+def cube_kpis_filtered(shop):
+    cells = cube.read_cells(shop.spark, _cube(shop), START, END, order_channel="web")
+    return cube.cube_kpis(cells)
+
+
+@_query
+def cube_kpis_product(shop):
+    return cube.cube_kpis(cube.read_cells(shop.spark, _cube(shop), START, END, PRODUCT))
+
+
+@_query
+def cube_daily_product(shop):
+    return cube.cube_daily(cube.read_cells(shop.spark, _cube(shop), product=PRODUCT))
+
+
+@_query
+def cube_by_channel(shop):
+    cells = cube.read_cells(shop.spark, _cube(shop), geography_state="NATION_3")
+    return cube.cube_by(cells, "order_channel")
+
+
+@_query
+def cube_orders_of_products(shop):
+    cells = cube.read_product_cells(shop.spark, _cube(shop), START, END)
+    chosen = cells.where(F.col("product_name").isin(*SEVERAL) & F.col("geography_state").isNotNull())
+    return cube.distinct_orders(chosen, "geography_state")
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_registry)
