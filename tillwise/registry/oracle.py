@@ -326,6 +326,13 @@ def _short(x: str) -> str:
     ELSE format('{{:.2f}}', {a}) END END"""
 
 
+def _counters(table: str, **conditions: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS counter, count(*) FILTER ({condition}) AS n FROM {table}"
+        for name, condition in conditions.items()
+    )
+
+
 # The columns of doubles in each result, which both engines round to 6 digits at the end.
 _DOUBLES = {
     "line_items_by_line": "quantity price line_item_revenue",
@@ -711,6 +718,27 @@ WHERE customer_id IN (SELECT customer_id FROM cu WHERE state = 'NATION_3')""",
             """SELECT return_date, 'Tea "Gold", ' || product_name || chr(10) || 'line two'
   AS product_name, returned_quantity, coalesce(return_comments, '') AS return_comments FROM ret""",
         ),
+        "returns_losses": _with(
+            "sheet",
+            _counters(
+                "sheet",
+                rows_read="true",
+                rows_dropped="""("Date" = 'n/a' OR "Quantity" = '')""",
+                unreadable_return_date="""("Date" = 'n/a')""",
+                blank_return_date="""("Date" = '')""",
+                unreadable_returned_quantity="""("Quantity" <> '' AND TRY_CAST("Quantity" AS DOUBLE) IS NULL)""",
+                blank_returned_quantity="""("Quantity" = '')""",
+            ),
+        ),
+        "line_items_written": _with(
+            "li",
+            _counters(
+                "li",
+                rows_written="true",
+                without_date="order_date IS NULL",
+                without_product="product_sku IS NULL",
+            ),
+        ),
         "returns_unreadable": _with(
             "sheet",
             """SELECT "Date" AS return_date, "Product Name" AS product_name,

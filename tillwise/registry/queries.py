@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,9 @@ from ..operators.orders import lines_of_product, one_row_per_order, order_rows
 from ..plans import cube, customers, geo, products, referrers, returns, rfm, sales
 from ..plans.rfm_state import read_rfm_scores, update_rfm
 from ..sources.refresh import refresh_by_month
+from ..sources.losses import loss_table
 from ..sources.star import STORES, StarShop
-from ..sources.store import new_path, read_line_items
+from ..sources.store import new_path, read_line_items, write_line_items
 from ..sources.tables import (
     read_orders,
     read_products,
@@ -178,6 +179,14 @@ def line_items_refreshed(shop):
     return read_line_items(shop.spark, path)
 
 
+@_query
+def line_items_written(shop):
+    losses = Observation("line items")
+    items = _line_items(shop).select("order_id", "order_date", "product_sku", "quantity")
+    write_line_items(items, new_path(shop.spark, "line-items"), losses)
+    return loss_table(shop.spark, losses)
+
+
 @_query
 def rfm_of_batches(shop):
     # Some orders come first with another customer and a later date than they have.
@@ -628,6 +637,14 @@ def returns_unreadable(shop):
     return unreadable_returns(shop.returns_sheet())
 
 
+@_query
+def returns_losses(shop):
+    losses = Observation("returns")
+    typed = typed_returns(shop.returns_sheet(), losses=losses)
+    typed.write.parquet(new_path(shop.spark, "returns"))
+    return loss_table(shop.spark, losses)
+
+
 @_query
 def returns_vs_sales(shop):
     return _returns_vs_sales(shop)

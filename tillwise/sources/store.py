@@ -6,22 +6,27 @@ import datetime as dt
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.filters import date_range
+from .losses import written_rows
 
 MONTH = "order_month"
 SEGMENT = "RFM_Segment"
 
 
-def write_line_items(lines: DataFrame, path: str) -> None:
+def write_line_items(lines: DataFrame, path: str, losses: Observation | None = None) -> None:
     """Write the line-item table by order month; months that ``lines`` has no row of stay.
 
     Months are cut in UTC, whatever the session's zone. The rebalance hint lets Spark split
-    months that are too large for one task and merge the small ones.
+    months that are too large for one task and merge the small ones. ``losses`` count the rows, those
+    without a date and those without a product.
     """
+    if losses is not None:
+        nulls = {"without_date": "order_date", "without_product": "product_sku"}
+        lines = written_rows(lines, losses, **nulls)
     write_by(lines.withColumn(MONTH, month_of(lines, "order_date")), MONTH, path)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import DATE_FORMATS, as_double, as_flag, as_timestamp
 from ..schemas import CUSTOMERS, ORDERS, PRODUCTS, RETURNS, RETURNS_SHEET, require_columns
+from .losses import typed_with_losses
 
 # Customer types by number of orders.
 RETURNING = "Returning Customer"
@@ -24,24 +25,34 @@ SHEET_NAMES = {
 }
 
 
-def read_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_orders(
+    spark: SparkSession, path: str, fmt: str = "parquet", losses: Observation | None = None
+) -> DataFrame:
     """The orders table, typed: one row per order, lines in three parallel arrays."""
-    return _typed(_pick(spark.read.format(fmt).load(path), ORDERS.names, "orders"), ORDERS)
+    rows = _pick(spark.read.format(fmt).load(path), ORDERS.names, "orders")
+    return _typed(rows, ORDERS, losses)
 
 
-def read_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_products(
+    spark: SparkSession, path: str, fmt: str = "parquet", losses: Observation | None = None
+) -> DataFrame:
     """The product catalog, typed: SKUs and tags as arrays."""
-    return _typed(_pick(spark.read.format(fmt).load(path), PRODUCTS.names, "products"), PRODUCTS)
+    rows = _pick(spark.read.format(fmt).load(path), PRODUCTS.names, "products")
+    return _typed(rows, PRODUCTS, losses)
 
 
-def read_customers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_customers(
+    spark: SparkSession, path: str, fmt: str = "parquet", losses: Observation | None = None
+) -> DataFrame:
     """The customer master with all its columns, typed."""
-    return typed_customers(spark.read.format(fmt).load(path))
+    return typed_customers(spark.read.format(fmt).load(path), losses)
 
 
-def read_returns(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_returns(
+    spark: SparkSession, path: str, losses: Observation | None = None, **options: str
+) -> DataFrame:
     """The returns sheet exported as CSV, typed. A blank cell is an empty text, not null."""
-    return typed_returns(read_returns_sheet(spark, path, **options))
+    return typed_returns(read_returns_sheet(spark, path, **options), losses=losses)
 
 
 def read_returns_sheet(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -56,13 +67,16 @@ def _pick(df: DataFrame, names: Sequence[str], what: str) -> DataFrame:
     return df.select(*names)
 
 
-def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Times and numbers of ``schema`` typed; what cannot be read becomes null."""
+def _typed(
+    df: DataFrame, schema: T.StructType, losses: Observation | None = None
+) -> DataFrame:
+    """Times and numbers of ``schema`` typed; what cannot be read becomes null, and is counted if
+    ``losses`` are given."""
     numbers = (T.DoubleType(), T.ArrayType(T.DoubleType()))
     present = [field for field in schema if field.name in df.columns]
     typed = {f.name: as_timestamp(df, f.name) for f in present if f.dataType == T.TimestampType()}
     typed |= {f.name: as_double(df, f.name) for f in present if f.dataType in numbers}
-    return df.withColumns(typed)
+    return df.withColumns(typed) if losses is None else typed_with_losses(df, typed, losses)
 
 
 def customer_type(df: DataFrame) -> Column:
@@ -72,22 +86,30 @@ def customer_type(df: DataFrame) -> Column:
     return F.when(F.col("orders_count") > 1, RETURNING).otherwise(NEW)
 
 
-def typed_customers(customers: DataFrame) -> DataFrame:
+def typed_customers(customers: DataFrame, losses: Observation | None = None) -> DataFrame:
     """Times, numbers and the opt-in flag typed, customer type added."""
-    customers = _typed(customers, CUSTOMERS)
+    customers = _typed(customers, CUSTOMERS, losses)
     if "marketing_opt_in" in customers.columns:
         flag = as_flag(customers, "marketing_opt_in")
         customers = customers.withColumn("marketing_opt_in", flag)
     return customers.withColumn("imputed_customer_type", customer_type(customers))
 
 
-def typed_returns(sheet: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def typed_returns(
+    sheet: DataFrame,
+    formats: Sequence[str] = DATE_FORMATS,
+    losses: Observation | None = None,
+) -> DataFrame:
     """The returns sheet renamed and typed; rows without a readable date or quantity go.
 
-    Each date cell is tried against all ``formats``, whatever the other rows look like.
+    Each date cell is tried against all ``formats``, whatever the other rows look like. With
+    ``losses``, what goes is counted as ``typed_with_losses`` says.
     """
-    typed = _cells(sheet, formats)[1].drop("_raw")
-    return typed.dropna(subset=["return_date", "returned_quantity"])
+    required = ["return_date", "returned_quantity"]
+    if losses is not None:
+        named = _named(sheet)
+        return typed_with_losses(named, _typed_cells(named, formats), losses, required)
+    return _cells(sheet, formats)[1].drop("_raw").dropna(subset=required)
 
 
 def unreadable_returns(sheet: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
@@ -101,13 +123,19 @@ def unreadable_returns(sheet: DataFrame, formats: Sequence[str] = DATE_FORMATS)
 
 def _cells(sheet: DataFrame, formats: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The sheet under its new names; the same typed, with the raw cells beside."""
+    named = _named(sheet)
+    raw = {"_raw": F.struct(*named.columns)}
+    return named, named.withColumns(raw | _typed_cells(named, formats))
+
+
+def _named(sheet: DataFrame) -> DataFrame:
     named = sheet.withColumnsRenamed(SHEET_NAMES)
     require_columns(named, RETURNS.names, f"returns sheet ({', '.join(RETURNS_SHEET.names)})")
-    typed = named.withColumns(
-        {
-            "_raw": F.struct(*named.columns),
-            "return_date": as_timestamp(named, "return_date", formats),
-            "returned_quantity": as_double(named, "returned_quantity"),
-        }
-    )
-    return named, typed
+    return named
+
+
+def _typed_cells(named: DataFrame, formats: Sequence[str]) -> dict[str, Column]:
+    return {
+        "return_date": as_timestamp(named, "return_date", formats),
+        "returned_quantity": as_double(named, "returned_quantity"),
+    }
