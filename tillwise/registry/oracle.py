@@ -388,6 +388,11 @@ _DOUBLES = {
         "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
         "average_order_value"
     ),
+    "sales_kpis_by_order": (
+        "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
+        "average_order_value"
+    ),
+    "lines_of_orders": "total_order_value quantity",
     "cube_kpis_filtered": (
         "total_revenue total_discount_amount total_tax_amount total_shipping_cost "
         "average_order_value"
@@ -717,6 +722,13 @@ WHERE customer_id IN (SELECT customer_id FROM cu WHERE state = 'NATION_3')""",
             "ret",
             """SELECT return_date, 'Tea "Gold", ' || product_name || chr(10) || 'line two'
   AS product_name, returned_quantity, coalesce(return_comments, '') AS return_comments FROM ret""",
+        ),
+        "sales_kpis_by_order": _with("od", _kpis()),
+        "lines_of_orders": _with(
+            "ord",
+            """SELECT order_id, any_value(total_order_value) AS total_order_value,
+  count(l_orderkey) AS n_lines, sum(l_quantity) AS quantity
+FROM ord LEFT JOIN lineitem ON l_orderkey = order_id GROUP BY 1""",
         ),
         "returns_losses": _with(
             "sheet",

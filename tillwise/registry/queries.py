@@ -31,8 +31,14 @@ from ..operators.line_items import line_items as build_line_items
 from ..operators.orders import lines_of_product, one_row_per_order, order_rows
 from ..plans import cube, customers, geo, products, referrers, returns, rfm, sales
 from ..plans.rfm_state import read_rfm_scores, update_rfm
-from ..sources.refresh import refresh_by_month
+from ..sources.bucketed import (
+    lines_per_order,
+    orders_with_lines,
+    read_by_order,
+    store_by_order,
+)
 from ..sources.losses import loss_table
+from ..sources.refresh import refresh_by_month
 from ..sources.star import STORES, StarShop
 from ..sources.store import new_path, read_line_items, write_line_items
 from ..sources.tables import (
@@ -187,6 +193,26 @@ def line_items_written(shop):
     return loss_table(shop.spark, losses)
 
 
+def _by_order(shop: StarShop) -> tuple[DataFrame, DataFrame]:
+    """Orders and lines, written as bucketed tables and read again."""
+    path = new_path(shop.spark, "by-order")
+    name = "by_order_" + path.rsplit("-", 1)[-1]
+    orders = shop.orders().select("order_id", "order_channel", *MONEY)
+    store_by_order(orders, shop.lines(), name, path)
+    return read_by_order(shop.spark, name)
+
+
+@_query
+def sales_kpis_by_order(shop):
+    return sales.sales_kpis(orders_with_lines(*_by_order(shop)))
+
+
+@_query
+def lines_of_orders(shop):
+    orders, lines = _by_order(shop)
+    return lines_per_order(orders.select("order_id", "total_order_value"), lines)
+
+
 @_query
 def rfm_of_batches(shop):
     # Some orders come first with another customer and a later date than they have.
