@@ -134,3 +134,27 @@ def test_only_the_months_of_a_period_are_read(spark, shop):
     plan = cube_kpis(read_cells(spark, path, START, END))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(order_month" in plan
     assert "bits" not in plan
+
+
+def test_a_cell_is_as_large_as_its_orders_need(spark, shop):
+    orders, pairs, path = shop
+    cells = read_product_cells(spark, path)
+    assert dict(cells.dtypes)["bits"] == "bigint"
+    assert cells.where(F.bit_count("bits") != F.col("orders")).count() == 0
+    sold = orders.join(pairs.dropna().distinct(), "order_id")
+    assert cells.agg(F.sum("orders")).first()[0] == sold.count()
+
+
+def test_buckets_are_summed_and_written_without_another_shuffle(spark, tmp_path):
+    n = 70_000
+    clock = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    money = [F.lit(0.5).alias(name) for name in MEASURES]
+    orders = spark.range(n).select(F.col("id").alias("order_id"), clock.alias("order_date"), F.lit("w").alias("c"), *money)
+    pairs = orders.select("order_id", F.lit("a").alias("product_name"))
+    write_cube(orders, pairs, str(tmp_path), ["c"])
+    placed = read_product_cells(spark, str(tmp_path)).select("order_month", "bucket", F.input_file_name().alias("file"))
+    per_month = placed.distinct().groupBy("order_month")
+    files = per_month.agg(F.count_distinct("file").alias("files"), F.count_distinct("bucket").alias("buckets"))
+    assert all(row.files <= row.buckets for row in files.collect())
+    # Every bucket of a month is whole in one file.
+    assert placed.distinct().groupBy("order_month", "bucket").count().where("count > 1").count() == 0

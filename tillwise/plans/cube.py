@@ -2,7 +2,7 @@
 
 Two tables hold the cells. One has a row per day and values of the dimensions, where each order
 counts once. The other has a row per day, values and product, where an order counts once for each
-of its products: the sums for one product, and the orders as bitmaps, so that the orders with any
+of its products: the sums for one product, and the orders as bits, so that the orders with any
 of several products are counted exactly, however many of these they have.
 """
 
@@ -18,10 +18,12 @@ from ..functions.numbers import SUM_PARTS, ratio, sum_of_parts, sum_parts
 from ..operators.filters import ALL, keep_equal
 from ..operators.ranking import global_rank
 from ..schemas import require_columns
-from ..sources.store import MONTH, month_of, write_by
+from ..sources.store import MONTH, month_of, write_by, write_parts
 
 MEASURES = ("total_order_value", "discount_amount", "tax_amount", "shipping_cost")
 OWN = ("date", "orders", "bucket", "bits", "number", MONTH)
+# Orders whose bits are one long integer: two to this power.
+WORD = 6
 
 
 def write_cube(
@@ -42,6 +44,11 @@ def write_cube(
 
     The orders are numbered by time: those of a day are neighbours and fill few bitmaps. Numbers
     are compared within a month only, and a month is always written in one go.
+
+    A cell of products has a row for each ``number`` of 64 neighbours it holds an order of, so a row is
+    as large for a cell of one order as it needs to be. All rows of a ``bucket`` of 32,768 orders
+    are summed and written by one task: the tasks grow in number with the orders, not in size, and
+    rows of a month lie in few files without another shuffle.
     """
     require_columns(orders, ("order_id", "order_date", *dimensions, *measures), "orders")
     require_columns(order_products, ("order_id", product), "products of orders")
@@ -60,11 +67,23 @@ def write_cube(
     write_by(cells, MONTH, f"{path}/orders")
 
     pairs = order_products.select("order_id", product).dropna().distinct()
-    bought = numbered.join(pairs, "order_id").withColumn("bucket", F.bitmap_bucket_number("number"))
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
-    per_product = bought.groupBy(MONTH, "date", *dimensions, product, "bucket")
-    cells = per_product.agg(F.count("order_id").alias("orders"), bits, *sums)
-    write_by(cells, MONTH, f"{path}/products")
+    place = F.col("number") - 1
+    bought = numbered.join(pairs, "order_id").withColumns(
+        {
+            "bucket": F.bitmap_bucket_number("number"),
+            "bits": F.expr(f"shiftleft(1L, cast((number - 1) % {1 << WORD} as int))"),
+            "number": F.shiftright(place, WORD),
+        }
+    )
+    per_bucket = bought.repartition(max(_buckets(numbered), 1), "bucket")
+    per_product = per_bucket.groupBy(MONTH, "date", *dimensions, product, "bucket", "number")
+    cells = per_product.agg(F.count("order_id").alias("orders"), F.bit_or("bits").alias("bits"), *sums)
+    write_parts(cells, MONTH, f"{path}/products")
+
+
+def _buckets(numbered: DataFrame) -> int:
+    """How many buckets the numbers from 1 without gaps fill."""
+    return numbered.agg(F.bitmap_bucket_number(F.max("number"))).first()[0] or 0
 
 
 def read_cells(
@@ -145,9 +164,9 @@ def cube_by(cells: DataFrame, column: str) -> DataFrame:
 def distinct_orders(cells: DataFrame, *columns: str) -> DataFrame:
     """Orders in these cells of products, each once: in all, or per values of ``columns``.
 
-    Bitmaps of the same orders are united where the cells are, so a shuffle moves one for each
-    value, month and 32,768 orders, whatever the number of products and days.
+    Bits of the same orders are united where the cells are, so a shuffle moves one long integer for
+    each value, month and 64 orders, whatever the number of products and days.
     """
-    united = cells.groupBy(*columns, MONTH, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    counted = united.select(*columns, F.bitmap_count("bits").alias("n")).groupBy(*columns)
+    united = cells.groupBy(*columns, MONTH, "bucket", "number").agg(F.bit_or("bits").alias("bits"))
+    counted = united.select(*columns, F.bit_count("bits").alias("n")).groupBy(*columns)
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"))

@@ -32,7 +32,12 @@ def write_line_items(lines: DataFrame, path: str, losses: Observation | None = N
 
 def write_by(df: DataFrame, column: str, path: str) -> None:
     """Write ``df`` by the values of a column; stored values that it has no row of stay."""
-    writer = df.hint("rebalance", column).write.mode("overwrite")
+    write_parts(df.hint("rebalance", column), column, path)
+
+
+def write_parts(df: DataFrame, column: str, path: str) -> None:
+    """``write_by`` with the rows in the tasks they are in, for rows that are dealt already."""
+    writer = df.write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
