@@ -1,5 +1,9 @@
+import contextlib
 import datetime as dt
+import io
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,8 @@ from tillwise import schemas
 from tillwise.functions.numbers import exact_sum
 from tillwise.operators.line_items import (
     derived_columns,
+    join_orders_and_products,
+    join_products,
     last_sku_lines,
     line_items,
     order_lines,
@@ -240,3 +246,37 @@ def test_result_does_not_depend_on_row_order(spark, random_shop):
     a, b = line_items(raw, catalog), line_items(shuffled, catalog)
     for plan in (product_plans.low_stock, product_plans.top_tags_revenue, geo.map_points):
         assert rows(plan(a)) == rows(plan(b))
+
+
+def _split(lines):
+    """Orders and lines as two tables; an order that has no line, and lines without an order."""
+    orders = lines.drop("order_product_sku", "order_product_id", "quantity").distinct()
+    orders = orders.withColumn("order_id", F.nullif("order_id", F.lit("o7")))
+    return orders, lines.select("order_id", "order_product_sku", "order_product_id", "quantity")
+
+
+def test_lines_that_meet_products_first_give_the_same_table(spark, random_shop):
+    raw, catalog = random_shop
+    orders_, lines = _split(order_lines(raw))
+    # Orders that come twice, tags that are null, SKUs that come twice.
+    orders_ = orders_.union(orders_.where("order_id = 'o3'"))
+    catalog = catalog.union(catalog.where("product_name = 'p2'").withColumn("product_tags", F.array(F.lit(None), F.lit(""))))
+    got = join_orders_and_products(orders_, lines, catalog)
+    want = join_products(orders_.join(lines, "order_id"), catalog)
+    assert got.columns == want.columns and got.count() > 100
+    assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
+
+
+def test_no_line_is_shuffled_with_the_columns_of_its_order(spark, random_shop):
+    raw, catalog = random_shop
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = join_orders_and_products(*_split(order_lines(raw)), catalog)
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            items.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffled = [part for part in plan.getvalue().split("\n\n") if re.match(r"\s*\(\d+\) Exchange", part)]
+    assert len(shuffled) >= 4
+    assert not any("geography_city" in part and "order_product_sku" in part for part in shuffled)

@@ -131,7 +131,7 @@ def join_skus(
     frequent: DataFrame | None = None,
 ) -> DataFrame:
     """Line items of one row per line, from numbered order lines."""
-    lines = lines.withColumnsRenamed({"updated_at": "order_updated_at", "email": "customer_email"})
+    lines = _renamed(lines)
     catalog = products_by_sku(products).withColumnRenamed("updated_at", "product_updated_at")
     joined = _with_products(lines, catalog.drop("product_id"), frequent)
     columns = [name for name in LINE_ITEM_COLUMNS if name != "individual_product_tag"]
@@ -180,16 +180,44 @@ def join_products(
     frequent: DataFrame | None = None,
 ) -> DataFrame:
     """The line-item table from order lines that are already one row per line."""
-    lines = lines.withColumnsRenamed({"updated_at": "order_updated_at", "email": "customer_email"})
-    catalog = (
-        product_skus(products)
-        .withColumn("individual_product_tag", F.explode("product_tags"))
-        .withColumnRenamed("updated_at", "product_updated_at")
-        .drop("product_tags", "product_id")
-    )
-    joined = _with_products(lines, catalog, frequent)
-    derived = [name for name in ("cleaned_referring_site",) if name in joined.columns]
-    items = typed_lines(joined.select(*LINE_ITEM_COLUMNS, *derived))
+    return _items(_with_products(_renamed(lines), _catalog(products), frequent), stores, suffixes)
+
+
+def join_orders_and_products(
+    orders: DataFrame,
+    lines: DataFrame,
+    products: DataFrame,
+    stores: Sequence[Store] = (),
+    suffixes: Suffixes | DataFrame = DEFAULT_SUFFIXES,
+    frequent: DataFrame | None = None,
+) -> DataFrame:
+    """The line-item table from orders and from their lines as a table of their own.
+
+    What ``join_products`` gives for the orders joined with the lines. Here the lines meet the catalog
+    first, while they are narrow, and their orders after it; so no line is shuffled and sorted
+    with all columns of its order, and each order is sorted once, not once per line.
+    """
+    priced = _with_products(lines, _catalog(products), frequent)
+    return _items(_renamed(orders).join(priced, "order_id"), stores, suffixes)
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"updated_at": "order_updated_at", "email": "customer_email"})
+
+
+def _catalog(products: DataFrame) -> DataFrame:
+    """One row per product and SKU, with its columns' names in the line-item table."""
+    skus = product_skus(products).withColumnRenamed("updated_at", "product_updated_at")
+    return skus.drop("product_id")
+
+
+def _items(
+    joined: DataFrame, stores: Sequence[Store], suffixes: Suffixes | DataFrame
+) -> DataFrame:
+    """The line-item table from joined rows: a row per tag, made after the last join."""
+    tagged = joined.withColumn("individual_product_tag", F.explode_outer("product_tags"))
+    derived = [name for name in ("cleaned_referring_site",) if name in tagged.columns]
+    items = typed_lines(tagged.select(*LINE_ITEM_COLUMNS, *derived))
     return derived_columns(items, stores, suffixes)
 
 

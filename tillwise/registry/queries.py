@@ -19,7 +19,7 @@ from ..operators.choices import Cascade, cascading_choices
 from ..operators.hot_keys import frequent_keys
 from ..operators.line_items import (
     derived_columns,
-    join_products,
+    join_orders_and_products,
     last_sku_lines,
     order_lines,
     order_totals,
@@ -98,7 +98,7 @@ def _order_totals(
 def _line_items(shop: StarShop) -> DataFrame:
     """The full line-item table."""
     orders = with_source(shop.orders(geography=True, referrers=True), STORES)
-    return join_products(orders.join(shop.lines(), "order_id"), shop.products(), STORES)
+    return join_orders_and_products(orders, shop.lines(), shop.products(), STORES)
 
 
 # Line items
@@ -851,7 +851,7 @@ def hot_sku_line_items(shop):
     lines = _hot_lines(shop)
     orders = with_source(shop.orders(geography=True, referrers=True), STORES)
     frequent = frequent_keys(lines, "order_product_sku")
-    items = join_products(orders.join(lines, "order_id"), shop.products(), STORES, frequent=frequent)
+    items = join_orders_and_products(orders, lines, shop.products(), STORES, frequent=frequent)
     names = ("order_id", "order_product_sku", "quantity", "product_name", "product_sku")
     return items.select(*names, "product_tags_compound", "line_item_revenue", "order_channel")
 
