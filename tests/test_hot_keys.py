@@ -11,7 +11,8 @@ from tests.shop import order, orders, product, products
 from tillwise.operators.choices import Cascade, cascading_choices
 from tillwise.operators.filters import ALL, filter_rows, filter_values
 from tillwise.operators.hot_keys import frequent_keys, hot_join
-from tillwise.operators.line_items import line_items, order_lines, order_totals
+from tillwise.operators import line_items as line_items_module
+from tillwise.operators.line_items import line_items, order_lines, order_tasks, order_totals
 
 
 @pytest.mark.parametrize("share", [0.02, 0.1, 0.5])
@@ -137,3 +138,20 @@ def test_lists_of_odd_rows(spark, sold):
         cascading_choices(sold, [Cascade("c", {"missing": 1})])
     with pytest.raises(ValueError, match="names"):
         cascading_choices(sold, [Cascade("c", {"name": 1}), Cascade("c", {"size": 1})])
+
+
+def test_totals_in_as_many_tasks_as_their_orders_need(spark, monkeypatch):
+    monkeypatch.setattr(line_items_module, "ORDERS_PER_TASK", 10)
+    assert order_tasks(spark.range(500)) == 50
+    assert order_tasks(spark.range(0)) == spark.sparkContext.defaultParallelism
+    lines = spark.range(900).select(
+        (F.col("id") % 300).alias("order_id"),
+        F.concat(F.lit("s"), F.col("id") % 7).alias("order_product_sku"),
+        (F.col("id") % 5).cast("double").alias("quantity"),
+    )
+    catalog = products(spark, product("p", ["s1", "s2"], ["x", "y"]), product("q", ["s3"], ["z"], None))
+    for priced in (False, True):
+        plain = order_totals(lines, catalog, priced)
+        dealt = order_totals(lines, catalog, priced, tasks=50)
+        assert sorted(dealt.collect(), key=str) == sorted(plain.collect(), key=str)
+        assert dealt.rdd.getNumPartitions() == 50

@@ -294,11 +294,21 @@ def sku_sales(
 SALTS = 4
 
 
+# Orders whose sums one task holds at a time.
+ORDERS_PER_TASK = 100_000
+
+
+def order_tasks(orders: DataFrame) -> int:
+    """How many tasks sum the lines of these orders; the rows of a stored table cost no scan."""
+    return max(-(-orders.count() // ORDERS_PER_TASK), orders.sparkSession.sparkContext.defaultParallelism)
+
+
 def order_totals(
     lines: DataFrame,
     products: DataFrame,
     priced_only: bool = False,
     frequent: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Per order, ``quantity``, ``line_item_revenue`` and ``line_rows`` of its line items.
 
@@ -306,6 +316,10 @@ def order_totals(
     summed price, so a line never becomes more than one row. With ``priced_only`` only line
     items that have a revenue are counted. With ``frequent``, the SKUs that ``frequent_keys`` finds in
     the lines, only these are split and copied; else all SKUs have ``SALTS`` copies.
+
+    The lines of an order are summed in one of ``tasks`` tasks, and a join with the orders takes as
+    many; without it Spark decides by the bytes shuffled, which are few for very many orders.
+    ``order_tasks`` gives a number for a number of orders.
     """
     skus = product_skus(products).where(F.col("price").isNotNull() | F.lit(not priced_only))
     copies = F.size("product_tags")
@@ -331,6 +345,8 @@ def order_totals(
     )
     if priced_only:
         items = items.where(F.col("line_item_revenue").isNotNull())
+    if tasks is not None:
+        items = items.repartition(tasks, "order_id")
     return items.groupBy("order_id").agg(
         exact_sum("quantity").alias("quantity"),
         exact_sum("line_item_revenue").alias("line_item_revenue"),

@@ -22,6 +22,7 @@ from ..operators.line_items import (
     join_orders_and_products,
     last_sku_lines,
     order_lines,
+    order_tasks,
     order_totals,
     product_skus,
     sku_sales,
@@ -90,7 +91,8 @@ def _order_totals(
     shop: StarShop, *columns: str, priced_only: bool = False, **options
 ) -> DataFrame:
     """Line sums per order next to order columns."""
-    totals = order_totals(shop.lines(), shop.products(), priced_only)
+    tasks = order_tasks(shop.table("orders"))
+    totals = order_totals(shop.lines(), shop.products(), priced_only, tasks=tasks)
     orders = one_row_per_order(shop.orders(**options), columns, unique=True)
     return orders.join(totals, "order_id")
 
@@ -843,7 +845,8 @@ def hot_sku_order_totals(shop):
     lines = _hot_lines(shop)
     frequent = frequent_keys(lines, "order_product_sku")
     # Orders without a priced line: a sum of nothing is 0 in a result.
-    return order_totals(lines, shop.products(), frequent=frequent).fillna(0.0, "line_item_revenue")
+    totals = order_totals(lines, shop.products(), frequent=frequent, tasks=order_tasks(shop.table("orders")))
+    return totals.fillna(0.0, "line_item_revenue")
 
 
 @_query
