@@ -17,6 +17,7 @@ from tillwise.operators.line_items import line_items, products_by_sku
 from tillwise.operators.ranking import global_rank
 from tillwise.plans.rfm import customer_metrics, rfm_scores
 from tillwise.plans.rfm_state import read_rfm_metrics, read_rfm_scores, update_rfm
+from tillwise.sources import refresh
 from tillwise.sources.refresh import refresh_by_month
 from tillwise.sources.store import read_line_items
 
@@ -168,3 +169,28 @@ def test_line_sums_are_fan_out_sums_by_tags(spark):
     fan_out = line_items(raw, catalog).groupBy("order_id").agg(F.sum("quantity").alias("whole"))
     both = lines.join(fan_out, "order_id")
     assert both.count() == 20 and both.where("whole <> quantity * n").count() == 0
+
+
+def test_rows_that_go_and_rows_that_stay_come_from_one_join(spark, tmp_path, monkeypatch):
+    """Each batch is shuffled for its times and for its versions, the stored months once."""
+    path, made = str(tmp_path / "items"), []
+    refresh_by_month(_items(spark, *[_item(f"o{i}", (1 + i % 3, 2), 1) for i in range(30)]), path)
+    real = refresh.materialize
+    monkeypatch.setattr(refresh, "materialize", lambda df, name: made.append((name, df)) or real(df, name))
+    change = refresh_by_month(_items(spark, _item("o1", (2, 20), 2), _item("o2", (1, 1), None)), path)
+    assert [name for name, _ in made] == ["accepted", "come", "touched"]
+    assert rows(change.gone, "order_id") == [("o1",)] and "_went" not in change.gone.columns
+    # Times are added up as plain values: a maximum of structs would sort all rows of a batch.
+    plans = [df._jdf.queryExecution().toString() for _, df in made]
+    assert not any("max(struct" in plan for plan in plans)
+
+
+def test_null_times_are_the_oldest(spark, tmp_path):
+    path = str(tmp_path / "items")
+    refresh_by_month(_items(spark, _item("a", (1, 1), None), _item("b", (1, 1), 1), _item(None, (1, 1), None)), path)
+    batch = [_item("a", (1, 2), None), _item("b", (1, 2), None), _item(None, (1, 3), None), _item("c", (1, 4), None)]
+    batch += [_item("c", (1, 5), 2), _item("c", (1, 6), 2, "b")]
+    refresh_by_month(_items(spark, *batch), path)
+    want = [batch[0], _item("b", (1, 1), 1), batch[2], batch[4], batch[5]]
+    columns = ("order_id", "sku", "order_date", "order_updated_at")
+    assert rows(read_line_items(spark, path), *columns) == rows(_items(spark, *want), *columns)

@@ -130,6 +130,13 @@ def order_lines_from_arrays(shop):
     return order_lines(orders)
 
 
+def _written(shop: StarShop, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a stored table, for batches that are parts of it and are read several times."""
+    path = new_path(shop.spark, name)
+    rows.write.parquet(path)
+    return shop.spark.read.parquet(path)
+
+
 def _shop_of_arrays(shop: StarShop) -> tuple[DataFrame, DataFrame]:
     """Orders with arrays and products with several SKUs, written and read as tables."""
     paths = [new_path(shop.spark, name) for name in ("orders", "products")]
@@ -172,6 +179,7 @@ def line_items_refreshed(shop):
         "order_id", "order_date", "order_updated_at", "order_product_sku", "quantity",
         "total_order_value", "line_item_revenue", "product_tags_compound",
     )
+    items = _written(shop, items, "batches")
     path = new_path(shop.spark, "line-items")
     late, changed, stale = (F.col("order_id") % n == 0 for n in (5, 7, 11))
     older = items.withColumns(
@@ -219,6 +227,7 @@ def lines_of_orders(shop):
 def rfm_of_batches(shop):
     # Some orders come first with another customer and a later date than they have.
     orders = _orders(shop, "customer_id", "order_date", "total_order_value", "updated_at")
+    orders = _written(shop, orders, "batches")
     path = new_path(shop.spark, "rfm-state")
     late, changed = F.col("order_id") % 3 == 0, F.col("order_id") % 7 == 0
     before = orders.withColumns(

@@ -45,9 +45,8 @@ def refresh_by_month(
     require_columns(rows, (key, updated, date), "refreshed rows")
     spark = rows.sparkSession
     batch = rows.withColumn(MONTH, month_of(rows, date))
-    newest = batch.groupBy(F.col(key).alias("_of")).agg(
-        F.max(F.struct(F.col(updated).alias("at"))).alias("_at")
-    )
+    # A maximum passes over nulls, so it is null where all times are: the oldest.
+    newest = batch.groupBy(F.col(key).alias("_of")).agg(F.max(updated).alias("_at"))
     if not _exists(spark, path):
         come = materialize(_versions(batch, newest, key, updated), "come")
         write_by(come, MONTH, path)
@@ -56,20 +55,24 @@ def refresh_by_month(
     held = stored.select(F.col(key).alias("_held"), F.col(updated).alias("_when"), MONTH)
     known = held.join(newest, F.col("_held").eqNullSafe(F.col("_of")), "left_semi")
     known = known.groupBy("_held").agg(
-        F.max(F.struct(F.col("_when").alias("at"))).alias("_stored"), F.collect_set(F.struct(MONTH)).alias("_in")
+        F.max("_when").alias("_stored"), F.collect_set(F.struct(MONTH)).alias("_in")
     )
     same = F.col("_held").eqNullSafe(F.col("_of"))
     # Times are compared within structs, where a null comes before all others.
-    accepted = newest.join(known, same, "left").where("_stored is null or _at >= _stored")
+    not_older = F.struct(F.col("_at").alias("at")) >= F.struct(F.col("_stored").alias("at"))
+    accepted = newest.join(known, same, "left").where(F.col("_in").isNull() | not_older)
     accepted = materialize(accepted.select("_of", "_at", "_in"), "accepted")
     come = materialize(_versions(batch, accepted.select("_of", "_at"), key, updated), "come")
     left = accepted.select(F.inline("_in")).union(come.select(MONTH)).distinct()
     months = _months(left)
     touched = stored.where(_in_months(months))
-    of_batch = F.col(key).eqNullSafe(F.col("_of"))
-    gone = materialize(touched.join(accepted.select("_of"), of_batch, "left_semi"), "gone")
-    kept = touched.join(accepted.select("_of"), of_batch, "left_anti")
-    table = materialize(kept.unionByName(come.select(*stored.columns)), "refreshed")
+    of, went = (free_name(stored.columns, name) for name in ("_of", "_went"))
+    ids = accepted.select(F.col("_of").alias(of), F.lit(True).alias(went))
+    # One join tells the rows that go from those that stay, and one checkpoint holds both.
+    marked = touched.join(ids, F.col(key).eqNullSafe(F.col(of)), "left").drop(of)
+    marked = materialize(marked, "touched")
+    gone = marked.where(F.col(went))
+    table = marked.where(F.col(went).isNull()).drop(went).unionByName(come.select(*stored.columns))
     write_by(table, MONTH, path)
     _remove_months(spark, path, set(months) - set(_months(table)))
     return Change(gone.select(*come.columns), come, months)
@@ -79,7 +82,7 @@ def _versions(rows: DataFrame, newest: DataFrame, key: str, updated: str) -> Dat
     """The rows of each key's version in ``newest``."""
     of, at = (free_name(rows.columns, name) for name in ("_of", "_at"))
     newest = newest.withColumnsRenamed({"_of": of, "_at": at})
-    same = F.col(key).eqNullSafe(F.col(of)) & (F.struct(F.col(updated).alias("at")) == F.col(at))
+    same = F.col(key).eqNullSafe(F.col(of)) & F.col(updated).eqNullSafe(F.col(at))
     return rows.join(newest, same, "left_semi")
 
 
