@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tillwise.llm import alignment
@@ -121,5 +122,41 @@ def test_vectors_add_up(spark):
     assert counts.look_up(np.array([77], dtype=np.int64))[0].tolist() == [0]
 
 
+def test_every_pass_gets_small_batches_of_short_ids(spark, monkeypatch):
+    setting, kept = "spark.sql.execution.arrow.maxBytesPerBatch", alignment.store
+    text = "some words, and then more of them; " * 3000
+    docs = spark.createDataFrame([(i, text) for i in range(200)], "doc_id long, text string")
+    before, largest, ids = spark.conf.get(setting), {}, {}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    def spied(df, name, *more):
+        # A probe in the same place as the pass that is stored now.
+        probe = docs.coalesce(1).mapInArrow(sizes, "size long")
+        largest[name] = max(row["size"] for row in probe.collect())
+        made = kept(df, name, *more)
+        if name == "both-ids":
+            ids.update({row["doc_id"]: len(row["a"]) + len(row["b"]) for row in made.collect()})
+        return made
+
+    monkeypatch.setattr(alignment, "store", spied)
+    rows = alignment.align(docs).collect()
+    assert len(largest) == 3 and max(largest.values()) < 2 * alignment.BATCH_BYTES < docs.count() * len(text)
+    assert {row["doc_id"]: 2 * (row["n_a"] + row["n_b"]) for row in rows} == ids
+    assert spark.conf.get(setting) == before
+
+
+def test_wide_ids(spark, tokens):
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(TEXTS)], "doc_id long, text string")
+    found = []
+    for width in (2, 4):
+        encoded = alignment.encode(docs, "doc_id", width=width)
+        counts = alignment.Counts.of(alignment.pair_counts(encoded, width))
+        found.append(sorted(map(tuple, alignment.alignments(encoded, counts, "doc_id", width=width).collect())))
+    assert found[0] == found[1] and tokens.width() == 2
+
+
 def test_empty(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).collect() == []

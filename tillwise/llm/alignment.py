@@ -10,6 +10,10 @@ hash is made; counts go to dense vectors at the places it gives, and the vectors
 summed up as a tree. The second pass aligns the documents again and looks their pairs up: the
 hash gives a place, the key held there verifies it.
 
+Ids take several times the room of their texts, so they are stored in two bytes each where both
+vocabularies allow it, and all passes hand rows to Python in batches of few bytes: an executor
+holds such a batch twice for each of its tasks, beside the tokenizers.
+
 Neither tokenizer has a token in which white space follows something else, so both work apart on
 the two sides of a space after a character that is none. Texts are cut there; what lies between
 cuts is encoded once, and kept.
@@ -21,16 +25,17 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .stored import store
-from .texts import mix, schema_of, slices, text_rows
+from .texts import SLICE_BYTES, mix, schema_of, slices, text_rows
 from .tokenizer_files import vocabulary
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,7 +49,10 @@ KEPT_CHARS = 1 << 25
 HELD_PAIRS = 1 << 21
 CELL = 1 << 16
 FAN = 32
+# Bytes of rows that Spark hands to Python at a time; a longer row is one batch by itself.
+BATCH_BYTES = 1 << 22
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -98,6 +106,10 @@ class Tokens:
         first and, as bytes and as a piece, two of the second tokenizer."""
         return int(2 * self.sizes[0].sum() + self.sizes[1].sum())
 
+    def width(self) -> int:
+        """The bytes that hold any id of both: 2 or 4."""
+        return 2 if max(map(len, self.sizes)) <= 1 << 16 else 4
+
     def encode(self, piece: str) -> tuple[list[int], list[int]]:
         """Ids of text that begins with a space, which the second tokenizer adds itself."""
         (a,) = self.a.encode_batch_fast([piece], add_special_tokens=False)
@@ -270,9 +282,23 @@ def _summed(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, total
 
 
-def encode(docs: DataFrame, *keys: str) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run meanwhile hand rows to Python in batches of about ``BATCH_BYTES``."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
+def encode(docs: DataFrame, *keys: str, width: int = 4) -> DataFrame:
     """The ``keys`` of every row and the ids of both tokenizers, ``a`` and ``b``, as little-endian
-    unsigned 32-bit integers; none for texts whose tokens do not give their bytes back."""
+    unsigned integers of ``width`` bytes; none for texts whose tokens do not give their bytes back."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = encoder()
@@ -289,9 +315,9 @@ def encode(docs: DataFrame, *keys: str) -> DataFrame:
                     for side in (0, 1):
                         ids, sizes = held.ids_of(side, numbers)
                         ends = np.cumsum(np.bincount(at, sizes, minlength=len(texts)).astype(np.int64))
-                        flat = ids.astype("<u4").tobytes()
+                        flat = ids.astype(f"<u{width}").tobytes()
                         first = 0
-                        for i, end in enumerate((4 * ends).tolist()):
+                        for i, end in enumerate((width * ends).tolist()):
                             made[side][i] += flat[first:end]
                             first = end
                 ids = [
@@ -351,26 +377,26 @@ def _names(tokens: Tokens) -> list[str]:
 
 
 def _aligned(
-    batches: Iterable[pa.RecordBatch], sizes: list[np.ndarray]
+    batches: Iterable[pa.RecordBatch], sizes: list[np.ndarray], width: int
 ) -> Iterator[tuple[pa.RecordBatch, Alignment, list[np.ndarray]]]:
-    """Rows whose last two columns are ids, some at a time, with their alignment and how many ids of
-    each kind each row has."""
+    """Rows whose last two columns are ids of ``width`` bytes, some at a time, with their alignment and
+    how many ids of each kind each row has."""
     for batch in batches:
-        for start, stop in slices(batch.column(batch.num_columns - 1)):
+        for start, stop in slices(batch.column(batch.num_columns - 1), SLICE_BYTES * width // 4):
             some = batch.slice(start, stop - start)
             held = [some.column(some.num_columns - 2 + side).to_pylist() for side in (0, 1)]
-            a, b = (np.frombuffer(b"".join(cells), "<u4").astype(np.int64) for cells in held)
-            yield some, Alignment.of(a, b, sizes), [np.array([len(x) // 4 for x in c]) for c in held]
+            a, b = (np.frombuffer(b"".join(cells), f"<u{width}").astype(np.int64) for cells in held)
+            yield some, Alignment.of(a, b, sizes), [np.array([len(x) // width for x in c]) for c in held]
 
 
-def pair_counts(encoded: DataFrame) -> DataFrame:
+def pair_counts(encoded: DataFrame, width: int = 4) -> DataFrame:
     """``pair`` and ``n``: each task's distinct pairs with how many links of its documents hold them."""
     known = Tokens().sizes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[np.ndarray] = []
         times: list[np.ndarray] = []
-        for _, aligned, _ in _aligned(batches, known):
+        for _, aligned, _ in _aligned(batches, known, width):
             distinct, often = np.unique(aligned.pairs(), return_counts=True)
             pairs.append(distinct)
             times.append(often)
@@ -478,8 +504,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 
-
-def alignments(encoded: DataFrame, counts: Counts, *keys: str) -> DataFrame:
+def alignments(encoded: DataFrame, counts: Counts, *keys: str, width: int = 4) -> DataFrame:
     """The ``keys`` of every row of ``encode`` with its alignment: tokens of both, groups, links, those
     that are the best of their second id, the sum of their counts, and ``groups``, as text: first
     ids, a bar, second ids, and a semicolon between groups."""
@@ -487,7 +512,7 @@ def alignments(encoded: DataFrame, counts: Counts, *keys: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _names(encoder().tokens)
-        for some, aligned, (n_a, n_b) in _aligned(batches, known):
+        for some, aligned, (n_a, n_b) in _aligned(batches, known, width):
             a_ends, ends = np.cumsum(n_a), np.cumsum(n_a + n_b)
             groups = np.searchsorted(aligned.a_stops, a_ends, side="right")
             n_groups = np.diff(groups, prepend=0)
@@ -518,8 +543,10 @@ def align(docs: DataFrame) -> DataFrame:
     none. Other columns are not read.
     """
     own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"])
-    encoded = store(encode(own, "doc_id"), "both-ids")
-    counted = store(pair_counts(encoded), "pair-counts")
-    made = alignments(encoded, Counts.of(counted), "doc_id")
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return made.select("doc_id", *_MADE, digest.alias("groups_sha256"))
+    width = Tokens().width()
+    with small_batches(docs.sparkSession):
+        encoded = store(encode(own, "doc_id", width=width), "both-ids")
+        counted = store(pair_counts(encoded, width), "pair-counts")
+        made = alignments(encoded, Counts.of(counted), "doc_id", width=width)
+        return store(made.select("doc_id", *_MADE, digest.alias("groups_sha256")), "alignments")
