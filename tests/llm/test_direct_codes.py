@@ -43,6 +43,28 @@ def test_special_names(library):
     assert [x.tolist() for x in found] == [_ids(library, text) for text in texts]
 
 
+def test_letters_of_two_bytes_beside_punctuation(library):
+    signs = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    texts = [f"A{chr(i)}{sign}{chr(i)}b{sign}'s 1" for i in range(0x80, 0x800) for sign in signs]
+    flat, counts = WordBpe(vocabulary(direct_codes.VOCABULARY)).encode(pa.array(texts))
+    found = np.split(flat, np.cumsum(counts)[:-1])
+    made = library.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [text for text, ids, one in zip(texts, found, made, strict=True) if ids.tolist() != one.ids]
+    assert wrong == []
+
+
+def test_library_sees_each_word_once(monkeypatch):
+    """However it is written: in capitals, at a line's end, beside punctuation."""
+    bpe = WordBpe(vocabulary(direct_codes.VOCABULARY))
+    asked, ask = [], bpe._encode
+    monkeypatch.setattr(bpe, "_encode", lambda texts: asked.extend(" ".join(texts).split()) or ask(texts))
+    texts = ["tréma größe", "Tréma\ngröße###", "(größe) tréma.\nGRößE, tréma-größe", "größe/tréma;"]
+    bpe.encode(pa.array(texts[:2]))
+    bpe.encode(pa.array(texts))
+    assert sorted(word for word in asked if word[0].isalpha()) == ["größe", "tréma"]
+    assert len(asked) == len(set(asked))
+
+
 def test_random_access():
     pick = random.Random(5)
     edges = [0, 255, 256, 65535, 65536, 2**32 - 1]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .texts import slices, text_rows
+from .texts import slices, text_rows, utf8
 from .tokenizer_files import vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,10 +34,23 @@ END_ID = 2
 WIDTHS = (1, 1, 2)
 BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
-CACHED_CHUNKS = 1_000_000
-# Bytes of text whose distinct chunks are found at a time.
+CACHED_PIECES = 1_000_000
+# Bytes of text whose distinct pieces are found at a time.
 SLICE_BYTES = 4_000_000
-PUNCTUATION = ".,;:!?\"#$%&()*+-/<=>@[]^_`{|}~"
+SPACES = b" \t\n\r"
+PUNCTUATION = b".,;:!?\"#$%&()*+-/<=>@[\\]^_`{}~"
+# What a byte may be; LEAD and SECOND are those of U+00C0 to U+00FF, U+0140 to U+01BF and U+0400 to
+# U+047F: letters in either case, but U+00D7 and U+00F7, whose second bytes are left out. (Of those
+# between, U+0130 is a letter and a mark in lower case.)
+_SPACE, _PUNCTUATION, _ALNUM, _LEAD, _SECOND = 1, 2, 4, 8, 16
+_KINDS = bytes(
+    _SPACE * (byte in SPACES)
+    | _PUNCTUATION * (byte in PUNCTUATION)
+    | _ALNUM * (byte < 128 and chr(byte).isalnum())
+    | _LEAD * (byte in b"\xc3\xc5\xc6\xd0\xd1")
+    | _SECOND * (0x80 <= byte < 0xC0 and byte not in b"\x97\xb7")
+    for byte in range(256)
+)
 _POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 
 
@@ -133,74 +147,93 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces: dict[str, bytes] = {"": b""}
-        # Chunks by number: the ids of all on end, and where those of each begin.
+        # Pieces by number: the ids of all on end, and where those of each begin.
         self.numbers: dict[str, int] = {}
         self.ids = np.zeros(0, dtype="<u4")
         self.starts = np.zeros(1, dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts on end, and how many each has. No match spans a space, so texts
-        are cut there; a word and plain punctuation after it are apart in any case. Of the
-        chunks that Arrow finds, Python sees each distinct one only."""
-        if len(self.numbers) > CACHED_CHUNKS:
+        """The ids of all texts on end, and how many each has. Texts are cut where no match of
+        the tokenizer goes on, and Python sees each distinct piece only."""
+        if len(self.numbers) > CACHED_PIECES:
             self._forget()
         # A copy of its own, as Arrow folds the case of a slice at wrong places.
         texts = pa.concat_arrays([texts[:0], texts]).cast(pa.large_string())
         # The tokenizer takes no note of case, but for what may be a special token's name.
         special = pc.match_substring(texts, "<|")
-        cut = pc.split_pattern(pc.if_else(special, texts, pc.ascii_lower(texts)), " ")
-        coded = cut.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if new := set(distinct).difference(self.numbers):
-            self._learn(list(new))
-        known = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
-        numbers = known[np.asarray(coded.indices)]
-        sizes = np.diff(self.starts)[numbers]
+        pieces, bounds = _cut(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        coded = pieces.dictionary_encode()
+        # No piece holds a space, and cutting one string is cheaper than making many of Arrow's.
+        one = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        joined = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py()
+        distinct = joined.split(" ") if len(pieces) else []
+        known = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(known < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown.tolist()]
+            self._learn(new)
+            known[unknown] = np.fromiter(map(self.numbers.__getitem__, new), np.int64, len(new))
+        starts, sizes = self.starts[known], self.starts[known + 1] - self.starts[known]
+        indices = np.asarray(coded.indices)
+        sizes = sizes[indices]
         ends = np.cumsum(sizes)
-        first = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
-        bounds = np.concatenate([[0], ends])[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
-        return self.ids[first + np.arange(len(first))], np.diff(bounds)
-
-    def _learn(self, chunks: list[str]) -> None:
-        parts = [self._parts(chunk) for chunk in chunks]
-        self._ask(list({part for both in parts for part in both}.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        cells = [get(word) + get(tail) if tail else get(word) for word, tail in parts]
-        self.numbers.update(zip(chunks, range(len(self.numbers), len(self.numbers) + len(chunks)), strict=True))
-        sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(cells), "<u4")])
-
-    def _ask(self, pieces: list[str]) -> None:
+        first = np.repeat(starts[indices] - (ends - sizes), sizes)
+        first += np.arange(len(first))
+        return self.ids[first], np.diff(np.concatenate([[0], ends])[bounds])
+
+    def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces: words of letters many at a time, as the last id of each is one
         of a word's end; the others one by one."""
         words = [piece for piece in pieces if piece.isalpha()]
+        rest = [piece for piece in pieces if not piece.isalpha()]
         groups = [words[i : i + 100] for i in range(0, len(words), 100)]
-        lines = [" ".join(group) for group in groups]
-        for group, found in zip(groups, self._encode(lines), strict=True):
-            ends = (np.flatnonzero(self.ends[found]) + 1).tolist()
+        learnt, ids, sizes = [], [self.ids], []
+        for group, found in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[found]) + 1
             if len(ends) == len(group):
-                flat = found.astype("<u4").tobytes()
-                cuts = zip(group, [0, *ends], ends, strict=False)
-                self.pieces |= {word: flat[4 * i : 4 * j] for word, i, j in cuts}
-        rest = [piece for piece in pieces if piece not in self.pieces]
-        for piece, found in zip(rest, self._encode(rest), strict=True):
-            self.pieces[piece] = found.astype("<u4").tobytes()
+                learnt += group
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest += group
+        found = self._encode(rest)
+        learnt += rest
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self.numbers.update(zip(learnt, count(len(self.numbers)), strict=False))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate([*ids, *found])
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, dtype=np.int64) for one in found]
+        return [np.array(one.ids, dtype="<u4") for one in found]
 
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
-        if chunk.isalpha() and chunk.isascii():
-            return chunk.lower(), ""
-        word = chunk.rstrip(PUNCTUATION)
-        if not word.isalpha() or not word.lower().isalpha():
-            return chunk, ""
-        # The tokenizer takes no note of case; for other letters that is left to it.
-        return word.lower() if word.isascii() else word, chunk[len(word) :]
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of all texts on end, without spaces between, and the first of each text (one more
+    at the end).
+
+    Cuts are at spaces, between a letter or digit and punctuation after it, and between
+    punctuation and an ASCII letter or digit after it. Only ``'`` can match together with a
+    letter and only ``|`` lies beside the letters of a special token, so nothing is cut there.
+    """
+    data, bounds = utf8(texts)
+    plain = data.tobytes()
+    kinds = np.frombuffer(plain.translate(_KINDS), np.uint8)
+    inside = (kinds & _SPACE) == 0
+    # At the last byte of a letter or digit: ASCII, or of the letters with two bytes.
+    ended = (kinds & _ALNUM) > 0
+    ended[1:] |= ((kinds[:-1] & _LEAD) > 0) & ((kinds[1:] & _SECOND) > 0)
+    punctuation = (kinds & _PUNCTUATION) > 0
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[1:-1] = ended[:-1] & punctuation[1:]
+    begins[1:-1] |= punctuation[:-1] & ((kinds[1:] & _ALNUM) > 0)
+    begins[1:-1] |= ~inside[:-1]
+    begins[bounds] = True
+    begins = begins[:-1] & inside
+    offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside))
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(plain.translate(None, SPACES))]
+    pieces = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers)
+    return pieces, np.searchsorted(np.flatnonzero(begins), bounds)
 
 
 _loaded: dict[str, WordBpe] = {}
