@@ -2,7 +2,10 @@
 
 import datetime as dt
 import random
+import time
+import uuid
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -17,6 +20,7 @@ from tillwise.operators.line_items import line_items, products_by_sku
 from tillwise.operators.ranking import global_rank
 from tillwise.plans.rfm import customer_metrics, rfm_scores
 from tillwise.plans.rfm_state import read_rfm_metrics, read_rfm_scores, update_rfm
+from tillwise.registry import queries
 from tillwise.sources import refresh
 from tillwise.sources.refresh import refresh_by_month
 from tillwise.sources.store import read_line_items
@@ -194,3 +198,107 @@ def test_null_times_are_the_oldest(spark, tmp_path):
     want = [batch[0], _item("b", (1, 1), 1), batch[2], batch[4], batch[5]]
     columns = ("order_id", "sku", "order_date", "order_updated_at")
     assert rows(read_line_items(spark, path), *columns) == rows(_items(spark, *want), *columns)
+
+
+def _left(path):
+    return sorted(name.name for name in Path(path).glob("*"))
+
+
+@pytest.fixture
+def shared(tmp_path, monkeypatch):
+    """The folder of the steps of a refresh, empty at first."""
+    folder = tmp_path / "shared"
+    monkeypatch.setattr(refresh, "new_path", lambda _, name: f"{folder}/{name}-{uuid.uuid4().hex}")
+    return folder
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_a_refresh_leaves_no_shuffle_files_and_no_steps(spark, tmp_path, shared):
+    path = str(tmp_path / "items")
+    before = _shuffle_files(spark)
+    refresh_by_month(_items(spark, *[_item(f"o{i}", (1 + i % 3, 2), 1) for i in range(30)]), path).remove()
+    change = refresh_by_month(_items(spark, _item("o1", (2, 20), 2), _item("o2", (5, 1), 3)), path)
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    # What stays are the rows that went and came, until they are removed.
+    assert [name.split("-")[0] for name in _left(shared)] == ["come", "gone"]
+    assert rows(change.gone, "order_id") == rows(change.come, "order_id") == [("o1",), ("o2",)]
+    change.remove()
+    assert not _left(shared) and not [name for name in _left(tmp_path) if "new" in name]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_batch_is_not_shuffled_where_no_key_loses_rows(spark, tmp_path, monkeypatch):
+    path, plans = str(tmp_path / "items"), {}
+    real = refresh.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(refresh, "materialize", lambda df, name: plans.update({name: plan(df)}) or real(df, name))
+    refresh_by_month(_items(spark, *[_item(f"o{i}", (1 + i % 3, 2), 1) for i in range(30)]), path)
+    assert "hashpartitioning" not in plans["come"]
+    refresh_by_month(_items(spark, _item("o1", (2, 20), 2), _item("o2", (1, 1), 3)), path)
+    assert "hashpartitioning" not in plans["come"]
+
+
+def test_refreshes_in_turns_equal_a_plain_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "TURN_ROWS", 3)
+    real, made = refresh.materialize, []
+    monkeypatch.setattr(refresh, "materialize", lambda df, name: made.append(name) or real(df, name))
+    pick, path, table = random.Random(5), str(tmp_path / "items"), {}
+    columns = ("order_id", "sku", "quantity", "order_date", "order_updated_at")
+    for _ in range(4):
+        versions = {}
+        for _ in range(30):
+            key, at = pick.choice([None, *[f"o{i}" for i in range(25)]]), pick.choice([None, 1, 2, 3, 4])
+            days = [pick.choice([None, (1 + pick.randrange(9), 1 + pick.randrange(28))]) for _ in range(1 + pick.randrange(3))]
+            versions.setdefault(key, {}).setdefault(at, []).extend(_item(key, day, at, pick.choice("xyz")) for day in days)
+        change = refresh_by_month(_items(spark, *[row for v in versions.values() for some in v.values() for row in some]), path)
+        gone, come = [], []
+        for key, v in versions.items():
+            at = max(v, key=lambda at: at or 0)
+            if key not in table or (table[key][0] or 0) <= (at or 0):
+                gone += table[key][1] if key in table else []
+                come += v[at]
+                table[key] = (at, v[at])
+        whole = [row for _, some in table.values() for row in some]
+        assert rows(read_line_items(spark, path), *columns) == rows(_items(spark, *whole), *columns)
+        assert rows(change.gone, *columns) == rows(_items(spark, *gone), *columns)
+        assert rows(change.come, *columns) == rows(_items(spark, *come), *columns)
+        assert set(change.months) == {row[3] and row[3].date().replace(day=1) for row in gone + come}
+    assert made.count("touched") > 6
+
+
+def test_a_refresh_that_fails_leaves_the_table(spark, tmp_path, monkeypatch, shared):
+    path, batch = str(tmp_path / "items"), _items(spark, _item("o1", (2, 20), 2), _item("new", (6, 1), 1))
+    refresh_by_month(_items(spark, *[_item(f"o{i}", (1 + i % 6, 2), 1) for i in range(60)]), path).remove()
+    before, files = rows(read_line_items(spark, path)), _files(path)
+    monkeypatch.setattr(refresh, "TURN_ROWS", 1)
+    real, turns = refresh.write_by, []
+
+    def failing(*given):
+        turns.append(given)
+        if len(turns) == 2:
+            raise OSError("the disk is full")
+        return real(*given)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(refresh, "write_by", failing)
+        with pytest.raises(OSError, match="full"):
+            refresh_by_month(batch, path)
+    assert _files(path) == files and rows(read_line_items(spark, path)) == before
+    assert not [name for name in _left(tmp_path) if "new" in name]
+    assert {name.split("-")[0] for name in _left(shared)} <= {"come", "gone"}
+    refresh_by_month(batch, path)
+    assert read_line_items(spark, path).where("order_id in ('o1', 'new')").count() == 2
+
+
+def test_batches_written_in_turns_have_every_row(spark):
+    given = _items(spark, *[_item(None if i % 9 == 0 else f"o{i % 20}", (1 + i % 3, 2), 1) for i in range(60)])
+    stored = queries._written(SimpleNamespace(spark=spark), given, "batches", 3)
+    assert rows(stored) == rows(given)

@@ -33,6 +33,7 @@ def update_rfm(orders: DataFrame, path: str) -> None:
         gone.withColumns(minus | {"went": F.col("last"), "last": F.lit(None).cast("bigint")})
     )
     if not change.months:
+        change.remove()
         return
     if (stored := _stored(spark, path)) is not None:
         delta = delta.unionByName(stored.withColumn("went", F.lit(None).cast("bigint")))
@@ -41,6 +42,7 @@ def update_rfm(orders: DataFrame, path: str) -> None:
         *[F.sum(name).alias(name) for name in ADDED],
     )
     merged = materialize(merged.where("orders > 0"), "merged")
+    change.remove()
     stale = merged.where("went >= last").select("customer_id")
     again = spark.read.parquet(f"{path}/orders").dropna(subset=list(ORDER[:4]))
     again = again.join(stale, "customer_id", "left_semi").groupBy("customer_id")

@@ -41,7 +41,7 @@ from ..sources.bucketed import (
 from ..sources.losses import loss_table
 from ..sources.refresh import refresh_by_month
 from ..sources.star import STORES, StarShop
-from ..sources.store import new_path, read_line_items, write_line_items
+from ..sources.store import SMALL, new_path, read_line_items, shuffles_freed, write_line_items
 from ..sources.tables import (
     read_orders,
     read_products,
@@ -55,6 +55,9 @@ START, END = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
 PRODUCT = "red widget"
 TAG = "ECONOMY"
 MONEY = ("total_order_value", "discount_amount", "tax_amount", "shipping_cost")
+# Orders a turn holds at least, and the most turns: each reads the tables anew.
+ORDERS_A_TURN = 1_000_000
+MOST_TURNS = 2
 
 _registry: dict[str, Query] = {}
 
@@ -130,13 +133,26 @@ def order_lines_from_arrays(shop):
     return order_lines(orders)
 
 
-def _written(shop: StarShop, rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` as a stored table, for batches that are parts of it and are read several times."""
+def _written(shop: StarShop, rows: DataFrame, name: str, turns: int = 1) -> DataFrame:
+    """``rows`` as a stored table, for batches that are parts of it and are read several times.
+
+    All rows of an order are written in one of ``turns``, each a query of its own, so that only what
+    one of them shuffles is on disk at a time.
+    """
     path = new_path(shop.spark, name)
-    rows.write.parquet(path)
+    place = F.pmod(F.xxhash64("order_id"), F.lit(turns))
+    with shuffles_freed(shop.spark):
+        for turn in range(turns):
+            part = rows if turns == 1 else rows.where(place == turn)
+            part.write.mode("append").option("compression", SMALL).parquet(path)
     return shop.spark.read.parquet(path)
 
 
+def _turns(shop: StarShop) -> int:
+    """In how many turns a table of all lines is made; the rows of a stored table cost no scan."""
+    return min(MOST_TURNS, 1 + shop.table("orders").count() // ORDERS_A_TURN)
+
+
 def _shop_of_arrays(shop: StarShop) -> tuple[DataFrame, DataFrame]:
     """Orders with arrays and products with several SKUs, written and read as tables."""
     paths = [new_path(shop.spark, name) for name in ("orders", "products")]
@@ -179,7 +195,7 @@ def line_items_refreshed(shop):
         "order_id", "order_date", "order_updated_at", "order_product_sku", "quantity",
         "total_order_value", "line_item_revenue", "product_tags_compound",
     )
-    items = _written(shop, items, "batches")
+    items = _written(shop, items, "batches", _turns(shop))
     path = new_path(shop.spark, "line-items")
     late, changed, stale = (F.col("order_id") % n == 0 for n in (5, 7, 11))
     older = items.withColumns(
@@ -189,9 +205,9 @@ def line_items_refreshed(shop):
             "total_order_value": F.col("total_order_value") / 2,
         }
     )
-    refresh_by_month(items.where(~late & ~changed).union(older.where(~late & changed)), path)
-    refresh_by_month(items.where(late | changed), path)
-    refresh_by_month(older.where(stale), path)
+    first = items.where(~late & ~changed).union(older.where(~late & changed))
+    for batch in (first, items.where(late | changed), older.where(stale)):
+        refresh_by_month(batch, path).remove()
     return read_line_items(shop.spark, path)
 
 

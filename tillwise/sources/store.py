@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,11 @@ from .losses import written_rows
 MONTH = "order_month"
 SEGMENT = "RFM_Segment"
 
+# Of the codecs of Parquet that Spark brings along, the one that takes the fewest bytes.
+SMALL = "zstd"
+
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def write_line_items(lines: DataFrame, path: str, losses: Observation | None = None) -> None:
     """Write the line-item table by order month; months that ``lines`` has no row of stay.
@@ -30,14 +37,16 @@ def write_line_items(lines: DataFrame, path: str, losses: Observation | None = N
     write_by(lines.withColumn(MONTH, month_of(lines, "order_date")), MONTH, path)
 
 
-def write_by(df: DataFrame, column: str, path: str) -> None:
+def write_by(df: DataFrame, column: str, path: str, codec: str | None = None) -> None:
     """Write ``df`` by the values of a column; stored values that it has no row of stay."""
-    write_parts(df.hint("rebalance", column), column, path)
+    write_parts(df.hint("rebalance", column), column, path, codec)
 
 
-def write_parts(df: DataFrame, column: str, path: str) -> None:
+def write_parts(df: DataFrame, column: str, path: str, codec: str | None = None) -> None:
     """``write_by`` with the rows in the tasks they are in, for rows that are dealt already."""
     writer = df.write.mode("overwrite")
+    if codec is not None:
+        writer = writer.option("compression", codec)
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
@@ -88,6 +97,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.checkpoint().alias(name)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when it ends, not when the driver next collects its
+    garbage; so steps that are stored one after another do not keep those of all steps at once."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for a table of this run in the folder that all executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
