@@ -23,7 +23,7 @@ from tillwise.plans.rfm_state import read_rfm_metrics, read_rfm_scores, update_r
 from tillwise.registry import queries
 from tillwise.sources import refresh
 from tillwise.sources.refresh import refresh_by_month
-from tillwise.sources.store import read_line_items
+from tillwise.sources.store import read_line_items, rows_weighed
 
 ORDERS = "order_id string, customer_id string, order_date timestamp, updated_at timestamp, total_order_value double"
 
@@ -302,3 +302,13 @@ def test_batches_written_in_turns_have_every_row(spark):
     given = _items(spark, *[_item(None if i % 9 == 0 else f"o{i % 20}", (1 + i % 3, 2), 1) for i in range(60)])
     stored = queries._written(SimpleNamespace(spark=spark), given, "batches", 3)
     assert rows(stored) == rows(given)
+
+
+def test_stored_keys_are_weighed_as_rows(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    spark.range(100_000).write.option("compression", "zstd").parquet(path)
+    size = lambda: spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    plain = size()
+    with rows_weighed(spark):
+        assert size() == 8 * plain
+    assert size() == plain

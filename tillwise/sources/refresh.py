@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import free_name
 from ..schemas import require_columns
-from .store import MONTH, SMALL, month_of, new_path, shuffles_freed, write_by
+from .store import MONTH, SMALL, month_of, new_path, rows_weighed, shuffles_freed, write_by
 
 
 # A refresh rewrites its months in turns: so many, unless a turn would have fewer rows than this.
@@ -78,6 +78,7 @@ def refresh_by_month(
     require_columns(rows, (key, updated, date), "refreshed rows")
     with ExitStack() as scratch:
         scratch.enter_context(shuffles_freed(rows.sparkSession))
+        scratch.enter_context(rows_weighed(rows.sparkSession))
         batch = rows.withColumn(MONTH, month_of(rows, date))
         return _merge(batch, path, key, updated, scratch)
 

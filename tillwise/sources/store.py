@@ -6,7 +6,7 @@ import datetime as dt
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ SEGMENT = "RFM_Segment"
 # Of the codecs of Parquet that Spark brings along, the one that takes the fewest bytes.
 SMALL = "zstd"
 
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
 _FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -98,15 +99,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of a query go when it ends, not when the driver next collects its
-    garbage; so steps that are stored one after another do not keep those of all steps at once."""
-    before = spark.conf.get(_FREED, None)
-    spark.conf.set(_FREED, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold within it."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def shuffles_freed(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, the shuffle files of a query go when it ends, not when the driver next collects its
+    garbage; so steps that are stored one after another do not keep those of all steps at once."""
+    return settings(spark, {_FREED: "true"})
+
+
+def rows_weighed(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, Spark takes stored tables for as large as their rows are in memory, not for what
+    ``SMALL`` files of keys take; else it broadcasts tables of many more bytes than it may."""
+    return settings(spark, {_FACTOR: "8"})
 
 
 def new_path(spark: SparkSession, name: str) -> str:
